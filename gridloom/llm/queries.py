@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from gridloom.llm import decontaminate
+from gridloom.llm import decontaminate, simhash, substring
 
 _OPERATORS = {
     "op2_decontamination": decontaminate,
+    "op3_substring_dedup": substring,
+    "op10_simhash": simhash,
 }
 
 
