@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from gridloom.llm import decontaminate, simhash, substring
+from gridloom.llm import decontaminate, mixing, secrets, simhash, substring, tokenfiles
 
 _OPERATORS = {
+    "op1_secret_scan": secrets,
     "op2_decontamination": decontaminate,
     "op3_substring_dedup": substring,
+    "op4_token_files": tokenfiles,
+    "op7_source_mixing": mixing,
     "op10_simhash": simhash,
 }
 
