@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from gridloom.llm import decontaminate, mixing, secrets, simhash, substring, tokenfiles
+from gridloom.llm import classifier, decontaminate, lines, mixing, quality, secrets, simhash, substring, tokenfiles, warc
 
 _OPERATORS = {
     "op1_secret_scan": secrets,
     "op2_decontamination": decontaminate,
     "op3_substring_dedup": substring,
     "op4_token_files": tokenfiles,
+    "op5_quality_classifier": classifier,
+    "op6_line_dedup": lines,
     "op7_source_mixing": mixing,
+    "op8_warc_revisits": warc,
+    "op9_quality_rules": quality,
     "op10_simhash": simhash,
 }
 
