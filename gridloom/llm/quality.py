@@ -29,7 +29,7 @@ FEATURES = ("word_length", "symbols", "upper", "marks", "variety")
 FLOOR = (0.05, 0.05, 0.05, 0.05, 0.08)
 CORE, STEPS, PRIOR = 0.75, 3, 60
 #: Squared distance, times 1 + SHORT / words, beyond which a document goes.
-CUT, SHORT = 45.0, 100
+CUT, SHORT = 28.0, 100
 D = len(FEATURES)
 PAIRS = [(i, j) for i in range(D) for j in range(i, D)]
 
