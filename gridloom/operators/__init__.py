@@ -1,0 +1 @@
+"""operators of the sheet and document engine."""

@@ -1,0 +1 @@
+"""plans of the sheet and document engine."""

@@ -1,0 +1 @@
+"""sources of the sheet and document engine."""

@@ -1,0 +1 @@
+"""streaming of the sheet and document engine."""
