@@ -1,14 +1,13 @@
 """Token ids in binary files: frequency-ranked, byte-aligned, with control bytes apart from the data.
 
-Two passes tokenise the texts. The first counts ids (a count for each id of the vocabulary, no more),
-which ranks them by frequency. The second, over documents dealt out by ranges of doc_id and sorted,
-writes blocks of ranks: two bits for each rank in the control bytes give its length in the data bytes,
-1 to 4. So frequent ids take one byte, and a block is decoded by table lookups and gathers in numpy,
-without a loop. Blocks are rows of a Parquet table in the shared folder (executors reach no other
-store), each with a checksum; the ranking is a small table beside them.
+Documents are dealt out by ranges of doc_id, sorted, tokenised once and written in blocks. A block
+ranks its ids by frequency and stores ranks: two bits for each in the control bytes give its length in
+the data bytes, 1 to 4. So frequent ids take one byte, and a block is decoded by table lookups and
+gathers in numpy, without a loop. Blocks are rows of a Parquet table in the shared folder (executors
+reach no other store), each complete in itself: its table of ids, its documents and a checksum.
 
 The tokenizer drops white space, so each distinct white-space-separated chunk of text is encoded once
-in a task and looked up from then on; many chunks are encoded in one call, parted by a special token.
+in a task and looked up from then on.
 
 A null text is an empty one: its only id is the end id. Rows that repeat a doc_id, and rows without
 one, come in order of their text; missing ids and texts first. No documents: an empty result.
@@ -16,6 +15,9 @@ one, come in order of their text; missing ids and texts first. No documents: an
 
 from __future__ import annotations
 
+import itertools
+import os
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -29,10 +31,10 @@ from gridloom.llm.common import chunked, fresh_path, small_batches, table, text_
 
 END_ID = 2
 #: Ids of one block, about, and bytes of text in one of the files' ranges.
-BLOCK_IDS = 1 << 20
+BLOCK_IDS = 1 << 21
 RANGE_BYTES = 24 << 20
 MAGIC = b"GLT1"
-_HEAD = struct.Struct("<4sIIII")  # magic, documents, ids, data bytes, crc32 of what follows
+_HEAD = struct.Struct("<4sIIIII")  # magic, distinct ids, documents, ids, data bytes, crc32 of what follows
 #: By control byte, the lengths of its four values.
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
@@ -44,142 +46,172 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Ids of texts by way of a table of the chunks seen; the table is emptied when it has grown large."""
+    """Ids of texts by way of a table of the chunks seen; the table is emptied when it has grown large.
 
-    BOUND = 300_000
+    A chunk of letters with a tail of punctuation falls into just these two parts, whatever the case of
+    its ASCII letters. So texts are put in lower case (unless they might hold a special token, whose case
+    counts), tails are parted off, and most chunks are letters only: those are encoded many to a text,
+    where the tokens that end words show where each one ends. All other chunks are encoded alone."""
+
+    BOUND = 900_000
+    TAIL = b".,!?;:#*$%&|"
+    TOGETHER = 100
+    _TAILED = re.compile(rb"(?<=[a-z])([.,!?;:#*$%&|]+)(?![^\x20\x09-\x0d])")
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.mark, self.mark_id = next((t.content, i) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special)
+        self.ends = np.zeros(self.size, bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.pool, self.starts, self.lengths = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.known: dict[bytes, int] = {b"": 0}
+        self.pool, self.starts, self.lengths = np.empty(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
-    def _learn(self, chunks: list[bytes]) -> None:
-        plain = [c for c in chunks if self.mark.encode() not in c]
-        parts: list[np.ndarray] = []
-        for lo in range(0, len(plain), 20_000):
-            some = plain[lo : lo + 20_000]
-            ids = np.array(self.tokenizer.encode(self.mark.join(c.decode() for c in some) + self.mark, add_special_tokens=False).ids, np.uint32)
-            ends = np.flatnonzero(ids == self.mark_id)
-            if len(ends) != len(some):  # another token that only looks like the mark
-                parts += [np.array(self.tokenizer.encode(c.decode(), add_special_tokens=False).ids, np.uint32) for c in some]
-            else:
-                parts += np.split(ids, ends)[:-1]
-                parts[-len(some) :] = [p if k == 0 else p[1:] for k, p in enumerate(parts[-len(some) :])]
-        rest = [c for c in chunks if self.mark.encode() in c]
-        parts += [np.array(self.tokenizer.encode(c.decode(), add_special_tokens=False).ids, np.uint32) for c in rest]
-        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-        self.known.update(zip([*plain, *rest], range(len(self.starts), len(self.starts) + len(parts)), strict=True))
+    def _add(self, chunks: list[bytes], counts: list[np.ndarray], ids: list[np.ndarray]) -> None:
+        lengths = np.concatenate([np.empty(0, np.int64), *counts])
+        self.known.update(zip(chunks, range(len(self.starts), len(self.starts) + len(chunks)), strict=True))
         self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
-        self.pool = np.concatenate([self.pool, *parts]) if parts else self.pool
+        self.pool = np.concatenate([self.pool, *ids])
+
+    def _alone(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each chunk, and all their ids."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)] if chunks else []
+        return np.fromiter(map(len, found), np.int64, len(found)), np.array(list(itertools.chain.from_iterable(found)), np.uint32)
+
+    def _letters(self, words: list[bytes]) -> None:
+        lots = [words[lo : lo + self.TOGETHER] for lo in range(0, len(words), self.TOGETHER)]
+        counts, ids = [], []
+        for lot, found in zip(lots, self.tokenizer.encode_batch_fast([b" ".join(x).decode() for x in lots], add_special_tokens=False), strict=True):
+            own = np.array(found.ids, np.uint32)
+            cut = np.flatnonzero(self.ends[own]) + 1
+            if len(cut) == len(lot) and cut[-1] == len(own):
+                counts.append(np.diff(cut, prepend=0))
+            else:
+                n, own = self._alone(lot)
+                counts.append(n)
+            ids.append(own)
+        self._add(words, counts, ids)
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        letters, alone, tailed = set(), [], []
+        for chunk in chunks:
+            low = chunk.lower()
+            core = low.rstrip(self.TAIL)
+            if core not in self.known and core not in letters:
+                word = core.decode()
+                if not (word.isalpha() and word.lower().isalpha()):
+                    alone.append(chunk)
+                    continue
+                letters.add(core)
+            if core != chunk:
+                tailed.append((chunk, core, low[len(core) :]))
+        self._letters(sorted(letters))
+        alone += sorted({t for _, _, t in tailed}.difference(self.known, alone))
+        counts, ids = self._alone(alone)
+        self._add(alone, [counts], [ids])
+        tailed = [x for x in tailed if x[0] not in self.known]  # a tail may be a chunk too
+        segment = lambda c: self.pool[self.starts[k := self.known[c]] : self.starts[k] + self.lengths[k]]
+        both = [np.concatenate([segment(a), segment(b)]) for _, a, b in tailed]
+        self._add([c for c, _, _ in tailed], [np.fromiter(map(len, both), np.int64, len(both))], both)
+
+    def _chunks(self, text: bytes | None) -> list[bytes]:
+        text = text or b""
+        return text.split() if b"<|" in text else self._TAILED.sub(rb" \1", text.lower()).split()
 
     def places(self, words: list[bytes]) -> np.ndarray:
         if len(self.known) > self.BOUND:
             self._clear()
-        if new := set(words).difference(self.known):
-            self._learn(sorted(new))
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        found = np.fromiter(map(self.known.get, words, itertools.repeat(-1)), np.int64, len(words))
+        if len(new := np.flatnonzero(found < 0)):
+            new_words = [words[i] for i in new.tolist()]
+            self._learn(sorted(set(new_words)))
+            found[new] = np.fromiter(map(self.known.__getitem__, new_words), np.int64, len(new))
+        return found
 
     def encode(self, texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For runs of texts: their ids, the end id after each text, and the number of each text's ids."""
         for a, b in chunked(texts, 1 << 20):
-            words = [(t or b"").split() for t in texts[a:b]]
+            words = list(map(self._chunks, texts[a:b]))
             counts = np.fromiter(map(len, words), np.int64, len(words))
-            places = self.places([w for ws in words for w in ws])
-            lengths = self.lengths[places] if len(places) else places
+            places = self.places(list(itertools.chain.from_iterable(words)))
+            lengths = self.lengths[places]
             edges = np.concatenate([[0], np.cumsum(lengths)])
-            at = np.repeat(self.starts[places] - edges[:-1], lengths) + np.arange(edges[-1]) if len(places) else places
+            at = np.repeat(self.starts[places] - edges[:-1], lengths) + np.arange(edges[-1])
             ends = edges[np.cumsum(counts)]
             ids = np.insert(self.pool[at], ends, np.uint32(END_ID))
             yield ids, np.diff(ends, prepend=0) + 1
 
-    def counted(self, texts: list[bytes | None]) -> np.ndarray:
-        """How often each id of the vocabulary occurs in texts, end ids included."""
-        total = np.zeros(self.size, np.int64)
-        total[END_ID] += len(texts)
-        for a, b in chunked(texts, 1 << 20):
-            places = self.places([w for t in texts[a:b] for w in (t or b"").split()])
-            times = np.bincount(places, minlength=len(self.starts))
-            on = np.flatnonzero(times)
-            lengths = self.lengths[on]
-            at = np.repeat(self.starts[on] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-            total += np.bincount(self.pool[at], np.repeat(times[on], lengths), self.size).astype(np.int64)
-        return total
-
-
-def write_block(doc_ids: list[int | None], counts: np.ndarray, ranks: np.ndarray) -> bytes:
-    """A block of the file format: header, documents (id, whether it has one, ids), control, data."""
-    ranks = ranks.astype("<u4")
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One for each worker process, which serves many tasks: what it has seen need not be encoded again."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
+def write_block(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> bytes:
+    """A block of the file format: header, the block's ids by frequency, documents (id, whether it has
+    one, ids), control, data."""
+    times = np.bincount(ids)
+    table_ = np.flatnonzero(times)
+    table_ = table_[np.argsort(-times[table_], kind="stable")]
+    rank_of = np.zeros(len(times), "<u4")
+    rank_of[table_] = np.arange(len(table_))
+    ranks = rank_of[ids]
     lengths = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     codes = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
     codes[: len(ranks)] = lengths - 1
     control = codes.reshape(-1, 4) @ np.array([1, 4, 16, 64], np.uint8)
     data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) < lengths[:, None]]
-    body = np.array([d or 0 for d in doc_ids], "<i8").tobytes() + bytes(d is not None for d in doc_ids) + counts.astype("<u4").tobytes() + control.tobytes() + data.tobytes()
-    return _HEAD.pack(MAGIC, len(doc_ids), len(ranks), len(data), zlib.crc32(body)) + body
+    body = table_.astype("<u4").tobytes() + np.array([d or 0 for d in doc_ids], "<i8").tobytes() + bytes(d is not None for d in doc_ids) + counts.astype("<u4").tobytes() + control.tobytes() + data.tobytes()
+    return _HEAD.pack(MAGIC, len(table_), len(doc_ids), len(ranks), len(data), zlib.crc32(body)) + body
 
 
 def read_block(blob: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    magic, docs, n, size, crc = _HEAD.unpack_from(blob)
+    """Documents, the number of ids of each, and all ids."""
+    magic, kinds, docs, n, size, crc = _HEAD.unpack_from(blob)
     if magic != MAGIC or zlib.crc32(memoryview(blob)[_HEAD.size :]) != crc:
         raise ValueError("damaged block of token ids")
-    ids = np.frombuffer(blob, "<i8", docs, at := _HEAD.size)
+    table_ = np.frombuffer(blob, "<u4", kinds, at := _HEAD.size)
+    doc_ids = np.frombuffer(blob, "<i8", docs, at := at + 4 * kinds)
     there = np.frombuffer(blob, np.uint8, docs, at := at + 8 * docs)
     counts = np.frombuffer(blob, "<u4", docs, at := at + docs).astype(np.int64)
     control = np.frombuffer(blob, np.uint8, -(-n // 4), at := at + 4 * docs)
-    data = np.concatenate([np.frombuffer(blob, np.uint8, size, at + len(control)), np.zeros(3, np.uint8)])
+    data = np.frombuffer(blob, np.uint8, size, at + len(control))
     lengths = LENGTHS[control].ravel()[:n]
     starts = np.cumsum(lengths, dtype=np.int64) - lengths
     ranks = data[starts].astype(np.uint32)
     for k in range(1, int(lengths.max(initial=1))):
         on = np.flatnonzero(lengths > k)
         ranks[on] |= data[starts[on] + k].astype(np.uint32) << np.uint32(8 * k)
-    return [i if t else None for i, t in zip(ids.tolist(), there.tolist(), strict=True)], counts, ranks
-
-
-def id_counts(spark: SparkSession, docs: DataFrame, tokenizer: str) -> dict[int, int]:
-    """Occurrences of each id that occurs; at most the vocabulary's size."""
-
-    def count(batches: Iterable[pa.RecordBatch]):
-        encoder, total = Encoder(tokenizer), 0
-        for batch in batches:
-            total = total + encoder.counted(batch.column(0).cast(pa.binary()).to_pylist())
-        at = np.flatnonzero(total) if isinstance(total, np.ndarray) else np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at] if len(at) else at, pa.int64())], names=["id", "n"])
-
-    return {r[0]: r[1] for r in docs.select("text").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n")).collect()}
+    return [i if t else None for i, t in zip(doc_ids.tolist(), there.tolist(), strict=True)], counts, table_[ranks]
 
 
 def write(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str | None = None) -> None:
-    """Writes path/ranks and path/blocks."""
+    """Writes the blocks of docs to path."""
     small_batches(spark)
     tokenizer = tokenizer or default_tokenizer()
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text"))
-    counts = id_counts(spark, docs, tokenizer)
-    order = sorted(counts, key=lambda i: (-counts[i], i))
-    spark.createDataFrame(list(enumerate(order)), "rank long, id long").coalesce(1).write.parquet(f"{path}/ranks")
-    rank_of = np.zeros(max(order, default=0) + 1, np.uint32)
-    rank_of[order] = np.arange(len(order), dtype=np.uint32)
-    shared = spark.sparkContext.broadcast(rank_of)
 
     def blocks(batches: Iterable[pa.RecordBatch]):
         from pyspark import TaskContext
 
-        encoder, part, before, seq = Encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
+        coder, part, before, seq, size = encoder(tokenizer), TaskContext.get().partitionId(), 0, 0, 0
         held: tuple[list, list, list] = ([], [], [])
-        size = 0
 
         def out():
             nonlocal before, seq, size
             ids, counts = np.concatenate(held[2]), np.concatenate(held[1])
-            row = [pa.array([v], t) for v, t in ((part, pa.int32()), (seq, pa.int32()), (before, pa.int64()), (len(ids), pa.int64()), (write_block(held[0], counts, shared.value[ids]), pa.binary()))]
+            row = [pa.array([v], t) for v, t in ((part, pa.int32()), (seq, pa.int32()), (before, pa.int64()), (len(ids), pa.int64()), (write_block(held[0], counts, ids), pa.binary()))]
             before, seq, size = before + len(ids), seq + 1, 0
             for x in held:
                 x.clear()
@@ -187,7 +219,7 @@ def write(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str | None
 
         for batch in batches:
             doc_ids, at = batch.column(0).to_pylist(), 0
-            for ids, counts in encoder.encode(batch.column(1).cast(pa.binary()).to_pylist()):
+            for ids, counts in coder.encode(batch.column(1).cast(pa.binary()).to_pylist()):
                 held[0].extend(doc_ids[at : at + len(counts)])
                 held[1].append(counts)
                 held[2].append(ids)
@@ -198,42 +230,39 @@ def write(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str | None
             yield out()
 
     parts = 1 + text_bytes(docs) // RANGE_BYTES
-    sized = docs.repartitionByRange(int(parts), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    sized.mapInArrow(blocks, "part int, seq int, before long, n_ids long, block binary").write.option("compression", "zstd").parquet(f"{path}/blocks")
+    ordered = docs.repartitionByRange(int(parts), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    ordered.mapInArrow(blocks, "part int, seq int, before long, n_ids long, block binary").write.option("compression", "zstd").parquet(path)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each document written: doc_id, start, n_tokens, ids_crc32 and the ids."""
-    ids_of = np.zeros(0, np.uint32)
-    if ranked := spark.read.schema("rank long, id long").parquet(f"{path}/ranks").collect():  # the vocabulary at most
-        ids_of = np.zeros(len(ranked), np.uint32)
-        ids_of[[r[0] for r in ranked]] = [r[1] for r in ranked]
-    shared = spark.sparkContext.broadcast(ids_of)
+def _decoded(batches: Iterable[pa.RecordBatch]):
+    for batch in batches:
+        for part, before, blob in zip(*(batch.column(c) for c in (0, 1, 2)), strict=True):
+            doc_ids, counts, ids = read_block(blob.as_py())
+            edges = np.concatenate([[0], np.cumsum(counts)])
+            ids = ids.astype("<u4")
+            crcs = [zlib.crc32(ids[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part.as_py()] * len(counts), pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(before.as_py() + edges[:-1]), pa.array(counts), pa.array(crcs, pa.int64()), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids.astype(np.int32)))],
+                names=["part", "doc_id", "at", "n_tokens", "ids_crc32", "ids"],
+            )
 
-    def decode(batches: Iterable[pa.RecordBatch]):
-        for batch in batches:
-            for part, before, blob in zip(*(batch.column(c).to_pylist() for c in (0, 1, 2)), strict=True):
-                doc_ids, counts, ranks = read_block(blob)
-                ids = shared.value[ranks].astype("<u4")
-                edges = np.concatenate([[0], np.cumsum(counts)])
-                crcs = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * len(counts), pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(before + edges[:-1]), pa.array(counts), pa.array(crcs, pa.int64()), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids.astype(np.int32)))],
-                    names=["part", "doc_id", "at", "n_tokens", "ids_crc32", "ids"],
-                )
-
-    stored = spark.read.schema("part int, seq int, before long, n_ids long, block binary").parquet(f"{path}/blocks")
+
+def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """One row for each document written: doc_id, start, n_tokens, ids_crc32 and the ids."""
+    stored = spark.read.schema("part int, seq int, before long, n_ids long, block binary").parquet(path)
     totals = stored.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row for each range
     offsets = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
-    found = stored.select("part", "before", "block").mapInArrow(decode, "part int, doc_id long, at long, n_tokens long, ids_crc32 long, ids array<int>")
-    return found.join(offsets, "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "ids")
+    schema = "part int, doc_id long, at long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
+    decode = _decoded if with_ids else lambda batches: (b.select(b.schema.names[:-1]) for b in _decoded(batches))
+    found = stored.select("part", "before", "block").mapInArrow(decode, schema)
+    return found.join(offsets, "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """Writes docs to files in the shared folder and reads them back, without the ids themselves."""
     path = fresh_path(spark, "tokens")
     write(spark, docs, path, tokenizer)
-    return read(spark, path).drop("ids")
+    return read(spark, path, with_ids=False)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,13 +31,21 @@ def test_files_give_the_ids_back(spark, monkeypatch, tmp_path, block):
 
 
 def test_blocks_round_trip_and_damage_shows():
-    ranks = np.array([0, 255, 256, 65535, 65536, 1 << 24, 3, (1 << 32) - 1], np.uint32)
-    for n in range(len(ranks) + 1):
-        blob = tokenfiles.write_block([7, None], np.array([n, 0]), ranks[:n])
+    rng = np.random.default_rng(2)
+    for n, top in ((0, 1), (1, 1), (7, 300), (5000, 49000), (400_000, 100_000)):
+        ids = rng.integers(0, top, n).astype(np.uint32)
+        blob = tokenfiles.write_block([7, None], np.array([n, 0]), ids)
         docs, counts, back = tokenfiles.read_block(blob)
-        assert docs == [7, None] and counts.tolist() == [n, 0] and back.tolist() == ranks[:n].tolist()
+        assert docs == [7, None] and counts.tolist() == [n, 0] and back.tolist() == ids.tolist()
     with pytest.raises(ValueError):
-        tokenfiles.read_block(blob[:-1] + b"\0")
+        tokenfiles.read_block(blob[:-1] + bytes([blob[-1] ^ 1]))
+
+
+def test_chunks_share_letters_but_keep_their_ids():
+    texts = ["Ab ab. AB, ab., ab.. ..ab a.b Straße. STRASSE İx x.! !! | a| é. É, …. z…. Dz't don't. DON'T ''s", "<|endoftext|> <|ENDOFTEXT|> A<|b", "ends.\n", "ends.", "a.\u00a0b ﬁ. ǅ ª. ²a"]
+    coder = tokenfiles.Encoder(tokenfiles.default_tokenizer())
+    got = [ids.tolist() for t in texts for ids, _ in coder.encode([t.encode()])]
+    assert got == reference(texts)
 
 
 def test_no_documents(spark):
