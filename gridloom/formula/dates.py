@@ -45,6 +45,7 @@ def month_days(y: int, m: int) -> int:
 def add_months(s: float, months: int, end: bool, date1904: bool = False) -> float:
     y, m, d = ymd(s, date1904)
     y, m = y + (m - 1 + months) // 12, (m - 1 + months) % 12 + 1
+    y += 1900 if 0 <= y < 1900 else 0
     if not 1900 <= y <= 9999:
         fail("#NUM!")
     last = month_days(y, m)

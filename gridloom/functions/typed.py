@@ -5,6 +5,9 @@ from __future__ import annotations
 import datetime as dt
 import re
 
+import pandas as pd
+from pyspark.sql import functions as F
+
 _TIME = re.compile(r"(\d{1,2}):(\d{2})(?::(\d{2}))?(?:\s*([aApP])\.?[mM]\.?)?")
 
 
@@ -107,8 +110,6 @@ def parse_tsv(text: str) -> list[list[str]]:
 
 def infer_column(value, tag: str = "en", year: int | None = None):
     """A string column as struct<type, number, text>: numbers, fractions and epoch milliseconds as number."""
-    import pandas as pd
-    from pyspark.sql import functions as F
 
     @F.pandas_udf("type string, number double, text string")
     def typed(v: pd.Series) -> pd.DataFrame:
