@@ -39,8 +39,8 @@ def from_headings(blocks: DataFrame) -> DataFrame:
 
 def contents(blocks: DataFrame, sections: DataFrame) -> DataFrame:
     """(doc_id, key, content): the texts inside each section in order, joined by line breaks."""
-    inside = (blocks["doc_id"] == sections["doc_id"]) & blocks["ord"].between(sections["first"] + 1, sections["last"])
-    rows = blocks.join(sections, inside).select(sections["doc_id"], "key", blocks["ord"], blocks["text"])
+    own = sections.select(F.col("doc_id").alias("__doc"), "key", F.col("first").alias("__first"), F.col("last").alias("__last"))
+    rows = blocks.join(own, (F.col("doc_id") == F.col("__doc")) & F.col("ord").between(F.col("__first") + 1, F.col("__last"))).select("doc_id", "key", "ord", "text")
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"])
     return rows.groupBy("doc_id", "key").agg(F.array_join(ordered, "\n").alias("content"))
 
