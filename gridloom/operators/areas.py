@@ -133,3 +133,75 @@ def replace_cells(cells: DataFrame, pattern: str, replacement: str) -> DataFrame
     literal = replacement.replace("\\", "\\\\").replace("$", "\\$")
     count = lambda c: F.coalesce(F.regexp_count(c, F.lit(regex)), F.lit(0))
     return cells.withColumn("n_replaced", count(F.col("s")) + count(F.col("formula"))).withColumns({"s": F.regexp_replace("s", regex, literal), "formula": F.regexp_replace("formula", regex, literal)})
+
+
+def offsets(lines: DataFrame, axis: str = "row", size: str = "size") -> DataFrame:
+    """lines (sheet, axis, size, hidden) with the offset of each line on its sheet; hidden ones take no room."""
+    room = F.when(F.col("hidden"), F.lit(0.0)).otherwise(F.col(size))
+    w = Window.partitionBy("sheet").orderBy(axis).rowsBetween(Window.unboundedPreceding, 0)
+    return lines.withColumn("offset", F.sum(room).over(w) - room)
+
+
+def hide(lines: DataFrame, first: int, last: int, axis: str = "row", hidden: bool = True) -> DataFrame:
+    return lines.withColumn("hidden", F.when(F.col(axis).between(first, last), F.lit(hidden)).otherwise(F.col("hidden")))
+
+
+def merge(merges: DataFrame, cells: DataFrame, workbook: str, sheet: int, r1: int, c1: int, r2: int, c2: int) -> DataFrame:
+    """merges (workbook_id, sheet, r1, c1, r2, c2) and one more; refused where it would hide a value or
+    meet another merge."""
+    own = (F.col("workbook_id") == workbook) & (F.col("sheet") == sheet)
+    inside = F.col("row").between(r1, r2) & F.col("col").between(c1, c2) & ~((F.col("row") == r1) & (F.col("col") == c1))
+    meets = (F.col("r1") <= r2) & (F.col("r2") >= r1) & (F.col("c1") <= c2) & (F.col("c2") >= c1)
+    if not cells.filter(own & inside & F.col("k").isNotNull()).isEmpty() or not merges.filter(own & meets).isEmpty():
+        raise ValueError("the merge is refused")
+    return merges.unionByName(merges.sparkSession.createDataFrame([(workbook, sheet, r1, c1, r2, c2)], merges.schema))
+
+
+def unmerge(merges: DataFrame, workbook: str, sheet: int, row: int, col: int) -> DataFrame:
+    hit = (F.col("workbook_id") == workbook) & (F.col("sheet") == sheet) & F.lit(row).between(F.col("r1"), F.col("r2")) & F.lit(col).between(F.col("c1"), F.col("c2"))
+    return merges.filter(~hit)
+
+
+def all_areas(cells: DataFrame, declared: DataFrame) -> DataFrame:
+    """Declared areas (workbook_id, sheet, kind, name, r1, c1, r2, c2: tables, names, filters) and the regions
+    that none of them overlaps, each with kind and name."""
+    found = regions(cells).withColumns({"kind": F.lit("region"), "name": F.lit(None).cast("string")})
+    box = ["r1", "c1", "r2", "c2"]
+    other = declared.select("workbook_id", "sheet", *[F.col(c).alias(f"__{c}") for c in box])
+    meets = (F.col("r1") <= F.col("__r2")) & (F.col("r2") >= F.col("__r1")) & (F.col("c1") <= F.col("__c2")) & (F.col("c2") >= F.col("__c1"))
+    same = (found["workbook_id"] == other["workbook_id"]) & (found["sheet"] == other["sheet"])
+    free = found.join(other, same & meets, "left_anti")
+    columns = ["workbook_id", "sheet", "kind", "name", *box]
+    return declared.select(*columns).unionByName(free.select(*columns))
+
+
+def resolved(areas_: DataFrame, target: str) -> DataFrame:
+    """The area of a name, in any case, or of an address such as B2:D9."""
+    from gridloom.formula import parser as p
+
+    try:
+        e = p.parse(target)
+    except (p.Invalid, p.Unsupported):
+        e = None
+    named = areas_.filter(F.lower("name") == target.lower())
+    if isinstance(e, p.Ref) and e.first.row is not None:
+        r1, c1, r2, c2 = e.box()
+        return named.unionByName(areas_.filter((F.col("r1") == r1) & (F.col("c1") == c1) & (F.col("r2") == r2) & (F.col("c2") == c2)))
+    return named
+
+
+def context(cells: DataFrame, sheet: int, r1: int, c1: int, r2: int, c2: int, most_rows: int = 20) -> dict:
+    """What describes an area in short: its profile by column, its first rows, and both as Markdown. Only
+    the profile (a row for each column) and most_rows rows come to the driver."""
+    own = cells.filter((F.col("sheet") == sheet) & F.col("row").between(r1, r2) & F.col("col").between(c1, c2))
+    kinds = {(r.row, r.col): r.k for r in own.filter((F.col("row") <= r1 + 20) & F.col("k").isNotNull()).select("row", "col", "k").collect()}
+    titles, header = structure(kinds, (r1, c1, r2, c2))
+    first = (header + 1) if header else r1 + titles
+    shown = own.filter(F.col("row") < first + most_rows).select("row", "col", F.coalesce("s", F.col("n").cast("string"), F.upper(F.col("b").cast("string")), "e").alias("t")).collect()
+    at = {(r.row, r.col): r.t or "" for r in shown}
+    names = [at.get((header, c), "") if header else f"Column {c}" for c in range(c1, c2 + 1)]
+    rows = [[at.get((r, c), "") for c in range(c1, c2 + 1)] for r in range(first, min(r2, first + most_rows - 1) + 1)]
+    line = lambda xs: "| " + " | ".join(x.replace("|", "\\|") for x in xs) + " |"
+    profile_ = [r.asDict() for r in profile(own.filter(F.col("row") >= first)).orderBy("col").collect()]
+    title = next((at[k] for k in sorted(at) if k[0] < first and k[0] != header), None)
+    return {"title": title, "columns": names, "profile": profile_, "rows": rows, "markdown": "\n".join([line(names), line(["---"] * len(names)), *map(line, rows)])}

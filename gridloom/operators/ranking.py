@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,3 +47,30 @@ def mode(df: DataFrame, value: str, order: str, out: str = "mode") -> DataFrame:
     counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"), F.min(order).alias("first"))
     best = counts.filter("n > 1").agg(F.max_by(value, F.struct("n", F.struct((-F.col("first")).alias("f")))).cast("double").alias(out))
     return best.withColumn(f"{out}__err", F.when(F.col(out).isNull(), F.lit("#N/A")))
+
+
+def divisors(df: DataFrame, value: str, least: bool = False, out: str = "gcd") -> DataFrame:
+    """GCD (least: LCM) of a column: each partition folds its own rows, one task the partitions' results.
+    Negative numbers and results from 2^53 on are #NUM!."""
+    fold, none = (math.lcm, 1) if least else (math.gcd, 0)
+
+    def part(batches):
+        acc, bad, n = none, False, 0
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                if x is not None and not bad:
+                    n += 1
+                    bad = x < 0 or x >= 2**53
+                    acc = acc if bad else fold(acc, math.floor(x))
+                    bad = bad or acc >= 2**53
+        yield pa.RecordBatch.from_arrays([pa.array([None if bad else float(acc)], pa.float64()), pa.array([bad])], names=["v", "bad"])
+
+    own = df.select(F.col(value).cast("double").alias("v")).mapInArrow(part, "v double, bad boolean")
+
+    def whole(batches):
+        rows = [(v, b) for batch in batches for v, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        acc = None if any(b for _, b in rows) else fold(*[int(v) for v, _ in rows], none)
+        acc = None if acc is None or acc >= 2**53 else float(acc)
+        yield pa.RecordBatch.from_arrays([pa.array([acc], pa.float64()), pa.array([None if acc is not None else "#NUM!"], pa.string())], names=[out, f"{out}__err"])
+
+    return own.coalesce(1).mapInArrow(whole, f"{out} double, {out}__err string")

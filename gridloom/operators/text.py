@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: {{KEY: hint}}, {key: hint} or [pending text]; none of them crosses a line.
@@ -129,3 +129,17 @@ def title_key(title: Column) -> Column:
     low = F.translate(F.lower(F.regexp_replace(title, r"^\s*(\d+[.)]?)+\s*[-–.)]*\s*", "")), _MARKED, _BARE)
     joined = F.regexp_replace(F.regexp_replace(low, r"[^\p{L}\p{N}]+", "-"), "^-+|-+$", "")
     return F.regexp_replace(F.substring(joined, 1, KEY_LENGTH), "-+$", "")
+
+
+def next_markers(found: DataFrame, doc: str, order: str) -> DataFrame:
+    """markers() of ordered texts with the marker that comes next in each document."""
+    w = Window.partitionBy(doc).orderBy(order, "start")
+    return found.withColumn("next_raw", F.lead("raw").over(w)).withColumn("next_order", F.lead(order).over(w))
+
+
+def relocated(before: DataFrame, after: DataFrame, doc: str, order: str) -> DataFrame:
+    """For each marker of before the place in after of the nearest marker with the same text."""
+    new = after.select(F.col(doc).alias("__doc"), F.col("raw").alias("__raw"), F.col(order).alias("__order"), F.col("start").alias("__start"))
+    rows = before.select(doc, "raw", order, "start").distinct().join(new, (F.col(doc) == F.col("__doc")) & (F.col("raw") == F.col("__raw")), "left")
+    near = F.struct(F.abs(F.col("__order") - F.col(order)), F.abs(F.col("__start") - F.col("start")), "__order", "__start")
+    return rows.groupBy(doc, "raw", order, "start").agg(F.min_by(F.struct(F.col("__order").alias("order"), F.col("__start").alias("start")), near).alias("at"))

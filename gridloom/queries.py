@@ -347,3 +347,23 @@ def infer_typed(spark, d):
 
     rows = _t(spark, d, "orders").select("o_orderkey", infer_column(F.concat(F.lit(" $"), F.format_number("o_totalprice", 2))).alias("x"))
     return rows.select("o_orderkey", "x.type", "x.number")
+
+
+@query("""SELECT 1::DOUBLE AS gcd, NULL::VARCHAR AS gcd__err""")
+def gcd_sizes(spark, d):
+    return ranking.divisors(_t(spark, d, "part"), "p_size")
+
+
+@query("""SELECT CAST(conv_id AS BIGINT) AS doc_id, CAST(turn + CASE WHEN conv_id = 3 AND turn >= 1 THEN 2 ELSE 0 END AS INT) AS ord, substr(text, 1, 20) AS text FROM conversations
+  UNION ALL SELECT 3, 1, 'new one' UNION ALL SELECT 3, 2, 'new two'""")
+def insert_paragraphs(spark, d):
+    from gridloom.operators import blocks
+
+    return blocks.inserted(_blocks(spark, d).select("doc_id", "ord", "text"), 3, 1, ["new one", "new two"])
+
+
+@query("""WITH m AS (SELECT c_nationkey, c_custkey, unnest(['{{' || c_mktsegment || ': ' || c_name || '}}', '{id}', '[revisar ' || c_custkey || ']']) AS raw, unnest([0, 1, 2]) AS i FROM customer)
+  SELECT c_custkey, raw, lead(raw) OVER (PARTITION BY c_nationkey ORDER BY c_custkey, i) AS next_raw FROM m""")
+def next_marker(spark, d):
+    rows = _t(spark, d, "customer").select("c_nationkey", "c_custkey", F.expr(_TEMPLATE).alias("t"))
+    return text.next_markers(text.markers(rows, "t"), "c_nationkey", "c_custkey").select("c_custkey", "raw", "next_raw")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gridloom.formula import parser as p
 from gridloom.formula.interpreter import approximate
-from gridloom.operators import areas, fill, lookup, moves, ranking, sections, text
+from gridloom.operators import areas, blocks, fill, lookup, moves, ranking, sections, text
 from gridloom.plans import history, recalc
 from gridloom.sources import docx, package, xlsx
 
@@ -215,3 +215,45 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.big for r in spark.sql("select big from windowed").collect()) == [sum(range(5, 10)), sum(range(10, 20))]
+
+
+def test_divisors(spark):
+    df = spark.createDataFrame([(12.0,), (18.9,), (None,), (30.0,)], "x double").repartition(3)
+    assert ranking.divisors(df, "x").first().gcd == 6 and ranking.divisors(df, "x", least=True).first().gcd == 180
+    assert ranking.divisors(spark.createDataFrame([(-1.0,)], "x double"), "x").first()["gcd__err"] == "#NUM!"
+
+
+def test_edits_of_blocks(spark):
+    df = spark.createDataFrame([("d", i, c) for i, c in enumerate("abcd")] + [("e", 0, "z")], "doc_id string, ord int, text string")
+    show = lambda x: "|".join(r.text for r in x.filter("doc_id = 'd'").orderBy("ord").collect())
+    assert show(blocks.inserted(df, "d", 1, ["x", "y"])) == "a|x|y|b|c|d"
+    assert show(blocks.deleted(df, "d", 1, 2)) == "a|d" and show(blocks.moved(df, "d", 0, 2, 3)) == "c|a|b|d" and show(blocks.moved(df, "d", 2, 1, 0)) == "c|a|b|d"
+    assert show(blocks.replaced(df, "d", 1, "B")) == "a|B|c|d" and show(blocks.merged(df, "d", 1)) == "a|bc|d" and show(blocks.split(blocks.merged(df, "d", 1), "d", 1, 1)) == "a|b|c|d"
+    cells = spark.createDataFrame([("d", 0, r, c, f"{r}{c}") for r in range(3) for c in range(2)], "doc_id string, table int, row int, col int, text string")
+    assert blocks.with_rows(cells, "d", 0, moves.LineMove("delete", 1, 1)).filter("row = 1").select("text").first().text == "20"
+    assert blocks.duplicated_table(cells, "d", 0).filter("table = 1").count() == 6 and blocks.with_cell(cells, "d", 0, 1, 1, "!").filter("text = '!'").count() == 1
+
+
+def test_areas_declared_and_found(spark):
+    long = [(1, 1, 1, "Ventas 2024", None), (1, 2, 1, "Región", None), (1, 2, 2, "Importe", None), (1, 3, 1, "Norte", None), (1, 3, 2, 120.5, None), (1, 4, 1, "Sur", None), (1, 4, 2, 80.0, None), (1, 8, 5, "solo", None)]
+    cells = spark.createDataFrame(_cells(long).astype(object).where(lambda d: d.notna(), None), areas.CELLS)
+    declared = spark.createDataFrame([("w.xlsx", 1, "table", "Tabla", 8, 5, 9, 6)], "workbook_id string, sheet int, kind string, name string, r1 int, c1 int, r2 int, c2 int")
+    every = areas.all_areas(cells, declared)
+    assert sorted((r.kind, r.r1, r.c1, r.r2, r.c2) for r in every.collect()) == [("region", 1, 1, 4, 2), ("table", 8, 5, 9, 6)]
+    assert areas.resolved(every, "TABLA").count() == 1 and areas.resolved(every, "A1:B4").count() == 1
+    points = spark.createDataFrame([("w.xlsx", 1, 3, 2), ("w.xlsx", 1, 20, 2)], "workbook_id string, sheet int, row int, col int")
+    assert [None if r.area is None else tuple(r.area) for r in areas.region_at(every, points).orderBy("row").collect()] == [(1, 1, 4, 2), None]
+    seen = areas.context(cells, 1, 1, 1, 4, 2)
+    assert seen["title"] == "Ventas 2024" and seen["columns"] == ["Región", "Importe"] and seen["profile"][1]["sum"] == 200.5 and seen["markdown"].split("\n")[2] == "| Norte | 120.5 |"
+
+
+def test_side_tables(spark):
+    lines = spark.createDataFrame([(1, i, 10.0, False) for i in range(1, 5)], "sheet int, row int, size double, hidden boolean")
+    assert [r.offset for r in areas.offsets(areas.hide(lines, 2, 2)).orderBy("row").collect()] == [0, 10, 10, 20]
+    cells = spark.createDataFrame(_cells([(1, 1, 1, "a", None), (1, 3, 1, "b", None)]).astype(object).where(lambda d: d.notna(), None), areas.CELLS)
+    none = spark.createDataFrame([], "workbook_id string, sheet int, r1 int, c1 int, r2 int, c2 int")
+    one = areas.merge(none, cells, "w.xlsx", 1, 1, 1, 2, 2)
+    assert one.count() == 1 and areas.unmerge(one, "w.xlsx", 1, 2, 2).count() == 0
+    for box in ((1, 1, 3, 1), (2, 2, 4, 4)):
+        with pytest.raises(ValueError):
+            areas.merge(one, cells, "w.xlsx", 1, *box)
