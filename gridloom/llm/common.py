@@ -7,6 +7,7 @@ clash; a null text has no words; one output row comes back per input row.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -23,6 +24,7 @@ BATCH_ROWS = 1000
 CHUNK_BYTES = 3 << 20
 
 _local: list[str] = []
+_written: list[tuple[SparkSession, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,7 +43,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/gridloom-{label}-{uuid.uuid4().hex}"
+    """A place in the shared folder; what is written there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/gridloom-{label}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(release)
+    _written.append((spark, path))
+    return path
+
+
+def release() -> None:
+    """Removes all tables written so far; results that still read them must have been used."""
+    while _written:
+        spark, path = _written.pop()
+        with contextlib.suppress(Exception):  # the session may be gone
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

@@ -245,7 +245,10 @@ def repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     first = written(sent.groupBy("bucket").applyInArrow(_blocks_repeated, _ANSWER), "blocks")
     again = groups.cogroup(first.groupBy("shard")).applyInArrow(lambda k, r, a: plan.send_windows(k, r, a), "bucket int, shard int, hashes binary, recurs binary, second binary")
     both = first.union(written(again.groupBy("bucket").applyInArrow(_windows_repeated, _ANSWER), "windows"))
-    return groups.cogroup(both.groupBy("shard")).applyInArrow(lambda k, r, a: plan.finish(k, r, a), "doc_id long, n_words long, n_removed long, spans array<long>, kept_sha256 string")
+    out = groups.cogroup(both.groupBy("shard")).applyInArrow(lambda k, r, a: plan.finish(k, r, a), "doc_id long, n_words long, n_removed long, spans array<long>, kept_sha256 string")
+    out = written(out, "repeats")
+    spark.sql(f"DROP TABLE {name}")  # the texts' copy is large
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
