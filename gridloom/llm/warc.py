@@ -37,7 +37,8 @@ def resolved(pages: DataFrame) -> DataFrame:
     heads = rows.filter(F.col("bytes") >= LEAST_BYTES).select("page_id", "digest")
     first = heads.groupBy("digest").agg(F.max("page_id").alias("origin"), F.count("*").alias("n")).filter("n > 1 and origin is not null")
     again = heads.join(first, "digest").filter(~F.col("page_id").eqNullSafe(F.col("origin"))).select(F.col("page_id").alias("__page"), F.col("digest").alias("__digest"), "origin").distinct()
-    return rows.join(again, F.col("page_id").eqNullSafe(F.col("__page")) & (F.col("digest") == F.col("__digest")), "left").select("page_id", "url", "payload", "bytes", "digest", "origin")
+    # hashing the few revisits of a partition spares sorting payloads
+    return rows.join(again.hint("shuffle_hash"), F.col("page_id").eqNullSafe(F.col("__page")) & (F.col("digest") == F.col("__digest")), "left").select("page_id", "url", "payload", "bytes", "digest", "origin")
 
 
 def _record_id(page, digest):
