@@ -25,12 +25,15 @@ VARIABLE = "<*>"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, line, tokens, leaf, exact) for each line that is not blank."""
+    """(doc, line, masked, leaf, exact) for each line that is not blank; masked has its tokens parted by
+    single spaces. Regular expressions run only over lines that need them."""
     doc = F.xxhash64("doc_id", "text").alias("doc")
     split = docs.select(doc, F.posexplode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)).alias("line", "own"))
-    masked = F.regexp_replace("own", r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", VARIABLE)
-    out = split.select("doc", "line", F.array_remove(F.split(masked, r"[\x20\x09-\x0D]+", -1), "").alias("tokens")).filter(F.size("tokens") > 0)
-    return out.select("doc", "line", "tokens", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)).alias("leaf"), F.xxhash64("tokens").alias("exact"))
+    plain = F.when(F.col("own").rlike(r"[\x09-\x0D]|  |^ | $"), F.trim(F.regexp_replace("own", r"[\x20\x09-\x0D]+", " "))).otherwise(F.col("own"))
+    masked = F.when(F.col("plain").rlike("[0-9]"), F.regexp_replace("plain", r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", VARIABLE)).otherwise(F.col("plain"))
+    out = split.select("doc", "line", plain.alias("plain")).filter("plain <> ''").select("doc", "line", masked.alias("masked"))
+    size = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit("")))
+    return out.select("doc", "line", "masked", F.xxhash64(size, F.substring_index("masked", " ", DEPTH)).alias("leaf"), F.xxhash64("masked").alias("exact"))
 
 
 def _recurring(pairs: DataFrame, key: str) -> DataFrame:
@@ -44,8 +47,8 @@ def dropped(docs: DataFrame) -> DataFrame:
     slim = written(every.select("doc", "line", "leaf", "exact"), "lines")
     leaves = _recurring(slim, "leaf").select("leaf")
     counts = slim.select("exact", "doc").distinct().groupBy("exact").agg(F.count("*").alias("docs"))
-    kinds = every.select("leaf", "exact", "tokens").join(leaves, "leaf", "left_semi").groupBy("leaf", "exact").agg(F.first("tokens").alias("tokens"))
-    kinds = written(kinds.join(counts, "exact"), "line-kinds")
+    kinds = every.select("leaf", "exact", "masked").join(leaves, "leaf", "left_semi").distinct()
+    kinds = written(kinds.join(counts, "exact").select("leaf", "exact", "docs", F.split("masked", " ").alias("tokens")), "line-kinds")
     placed = kinds.select("leaf", "exact", "docs", F.posexplode("tokens").alias("place", "token"))
     support = placed.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("support"))
     judged = placed.join(support, ["leaf", "place", "token"])
