@@ -692,7 +692,7 @@ def _(c, _n, args):
     if len(args) > 2:
         raise Unsupported("holidays in a column formula")
     (a, b), e = _numbers(c, args)
-    lo, hi = _int(F.floor(F.least(a, b))), _int(F.floor(F.greatest(a, b)))
+    lo, hi = _int(F.floor(F.least(a, b)), 2e9), _int(F.floor(F.greatest(a, b)), 2e9)
     # whole weeks have five working days; those before serial n, counted from a Monday
     before = lambda n: F.floor((n - 2) / 7) * 5 + F.least(F.pmod(n - 2, F.lit(7)), F.lit(5))
     days = before(hi + 1) - before(lo)
