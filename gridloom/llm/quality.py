@@ -10,6 +10,7 @@ PRIOR rows; a floor keeps scatters regular where a statistic is constant. Vector
 rejected; the cut is wider for short texts, whose shares vary more.
 
 Groups are only ever aggregates: quantile sketches and moments, so hot groups need no task of their own.
+Estimates are written before they are joined: their size is known then, and Spark broadcasts them if small.
 Null texts have no words, so fail; null languages and sources are groups of their own. Repeated rows
 count and are judged each.
 """
@@ -116,7 +117,7 @@ def _moments(rows: DataFrame) -> DataFrame:
 
 def _first(rows: DataFrame) -> DataFrame:
     """The same from medians and median absolute deviations, without covariances."""
-    middle = rows.groupBy("__lang", "__group").agg(F.count("*").alias("n"), *[F.percentile_approx(f, F.lit(0.5), F.lit(1000)).alias(f"m{i}") for i, f in enumerate(FEATURES)])
+    middle = written(rows.groupBy("__lang", "__group").agg(F.count("*").alias("n"), *[F.percentile_approx(f, F.lit(0.5), F.lit(1000)).alias(f"m{i}") for i, f in enumerate(FEATURES)]), "middle")
     away = rows.join(middle, ["__lang", "__group"]).groupBy("__lang", "__group").agg(*[F.percentile_approx(F.abs(F.col(f) - F.col(f"m{i}")), F.lit(0.5), F.lit(1000)).alias(f"a{i}") for i, f in enumerate(FEATURES)])
     out = middle.join(away, ["__lang", "__group"])
     return out.select("__lang", "__group", "n", *[f"m{i}" for i in range(D)], *[(F.pow(F.col(f"a{i}") * 1.4826, 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in PAIRS])
@@ -173,7 +174,7 @@ def estimates(rows: DataFrame) -> DataFrame:
     groups = written(_inverse(written(_leaning(_first(rows)), "leaning")), "groups")
     for _ in range(STEPS):
         near = _distances(rows, groups)
-        core = near.groupBy("__group").agg(F.percentile_approx("d2", F.lit(CORE), F.lit(2000)).alias("most"))
+        core = written(near.groupBy("__group").agg(F.percentile_approx("d2", F.lit(CORE), F.lit(2000)).alias("most")), "core")
         moments = _moments(near.join(core, "__group").filter("d2 <= most"))
         groups = written(_inverse(written(_leaning(moments), "leaning")), "groups")
     return groups
