@@ -19,6 +19,7 @@ import itertools
 import os
 import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -84,6 +85,11 @@ class Encoder:
         found = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)] if chunks else []
         return np.fromiter(map(len, found), np.int64, len(found)), np.array(list(itertools.chain.from_iterable(found)), np.uint32)
 
+    @staticmethod
+    def _lettered(core: bytes) -> bool:
+        """Whether it is still letters throughout once the tokenizer has normalised it."""
+        return core.isalpha() or (word := core.decode()).isalpha() and unicodedata.normalize("NFC", word).lower().isalpha()
+
     def _letters(self, words: list[bytes]) -> None:
         lots = [words[lo : lo + self.TOGETHER] for lo in range(0, len(words), self.TOGETHER)]
         counts, ids = [], []
@@ -103,11 +109,10 @@ class Encoder:
         for chunk in chunks:
             low = chunk.lower()
             core = low.rstrip(self.TAIL)
-            if core not in self.known and core not in letters:
-                word = core.decode()
-                if not (word.isalpha() and word.lower().isalpha()):
-                    alone.append(chunk)
-                    continue
+            if not self._lettered(core):  # tested for known ones too: chunks of all kinds are known
+                alone.append(chunk)
+                continue
+            if core not in self.known:
                 letters.add(core)
             if core != chunk:
                 tailed.append((chunk, core, low[len(core) :]))

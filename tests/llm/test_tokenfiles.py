@@ -48,5 +48,14 @@ def test_chunks_share_letters_but_keep_their_ids():
     assert got == reference(texts)
 
 
+@pytest.mark.parametrize("before", ["", 'foo) word) end" x] done” <|endoftext|> য়'])
+def test_ids_do_not_depend_on_the_texts_before(before):
+    texts = ["foo).", "word), x];", 'end",', "done”.", "<|ENDOFTEXT|>.", "য়, aয়.", "foo) foo). foo"]
+    coder = tokenfiles.Encoder(tokenfiles.default_tokenizer())
+    list(coder.encode([before.encode()]))
+    got = [ids.tolist() for t in texts for ids, _ in coder.encode([t.encode()])]
+    assert got == reference(texts)
+
+
 def test_no_documents(spark):
     assert tokenfiles.encoded(spark, frame(spark, [])).count() == 0
