@@ -296,17 +296,18 @@ def sections_of_headings(spark, d):
     return sections.from_headings(_blocks(spark, d).dropDuplicates(["doc_id", "ord", "level"])).select("doc_id", "first", "last")
 
 
-def _spans(spark, d):
-    """Intervals over events' numbers: one for each hundred and, inside it, one for its first twenty."""
-    wide = spark.range(0, 2000).select(F.concat(F.lit("h"), F.col("id")).alias("key"), (F.col("id") * 100).alias("first"), (F.col("id") * 100 + 99).alias("last"), F.lit(0).alias("depth"))
-    deep = spark.range(0, 2000).select(F.concat(F.lit("t"), F.col("id")).alias("key"), (F.col("id") * 100).alias("first"), (F.col("id") * 100 + 19).alias("last"), F.lit(1).alias("depth"))
-    return wide.union(deep).withColumn("part", F.floor(F.col("first") / 100))
+def _spans(events):
+    """Intervals over events' numbers: one for each hundred that has events and, inside it, one for its first twenty."""
+    hundreds = events.select(F.floor(F.col("event_id") / 100).alias("part")).distinct()
+    interval = lambda name, size, depth: hundreds.select(F.concat(F.lit(name), F.col("part")).alias("key"), (F.col("part") * 100).alias("first"), (F.col("part") * 100 + size - 1).alias("last"), F.lit(depth).alias("depth"), "part")
+    return interval("h", 100, 0).union(interval("t", 20, 1))
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 100 < 20 THEN 't' ELSE 'h' END || CAST(event_id // 100 AS VARCHAR) AS key FROM events""")
 def innermost_section(spark, d):
-    points = _t(spark, d, "events").select("event_id", F.floor(F.col("event_id") / 100).alias("part"))
-    return lookup.innermost(points, "event_id", _spans(spark, d), ["part"]).select("event_id", "key")
+    events = _t(spark, d, "events")
+    points = events.select("event_id", F.floor(F.col("event_id") / 100).alias("part"))
+    return lookup.innermost(points, "event_id", _spans(events), ["part"]).select("event_id", "key")
 
 
 @query("""WITH h AS (SELECT DISTINCT o_custkey AS doc_id, o_orderpriority AS key FROM orders), w AS (SELECT unnest(['1-URGENT', '2-HIGH', '9-NONE']) AS key)
