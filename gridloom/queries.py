@@ -92,12 +92,23 @@ def text_customer(spark, d):
     return out.select("c_custkey", "u", "l", "a", "z", "mid", "n", "sub", "at", "at__err", "joined", "rep", "band", "code")
 
 
+def _dates(orders):
+    return with_formulas(orders.select("o_orderkey", "o_orderdate"), {"y": "YEAR(o_orderdate)", "m": "MONTH(o_orderdate)", "dd": "DAY(o_orderdate)", "wd": "WEEKDAY(o_orderdate)", "iso": "ISOWEEKNUM(o_orderdate)", "next": "EDATE(o_orderdate,1)", "eom": "EOMONTH(o_orderdate,0)", "days": "DAYS(DATE(2000,1,1),o_orderdate)", "work": "NETWORKDAYS(o_orderdate,DATE(1998,12,31))"}, errors=False).drop("o_orderdate")
+
+
 @query("""SELECT o_orderkey, year(o_orderdate)::DOUBLE AS y, month(o_orderdate)::DOUBLE AS m, day(o_orderdate)::DOUBLE AS dd, (dayofweek(o_orderdate) + 1)::DOUBLE AS wd, weekofyear(o_orderdate)::DOUBLE AS iso,
   date_diff('day', DATE '1899-12-30', CAST(o_orderdate + INTERVAL 1 MONTH AS DATE))::DOUBLE AS next, date_diff('day', DATE '1899-12-30', last_day(CAST(o_orderdate AS DATE)))::DOUBLE AS eom, date_diff('day', CAST(o_orderdate AS DATE), DATE '2000-01-01')::DOUBLE AS days,
   (SELECT count(*) FROM range(CAST(o_orderdate AS DATE)::TIMESTAMP, TIMESTAMP '1999-01-01', INTERVAL 1 DAY) t(x) WHERE dayofweek(x) NOT IN (0, 6))::DOUBLE AS work FROM orders WHERE o_orderdate < TIMESTAMP '1998-12-01'""")
 def dates_orders(spark, d):
-    rows = _t(spark, d, "orders").filter(F.col("o_orderdate") < F.lit("1998-12-01").cast("timestamp_ntz")).select("o_orderkey", "o_orderdate")
-    return with_formulas(rows, {"y": "YEAR(o_orderdate)", "m": "MONTH(o_orderdate)", "dd": "DAY(o_orderdate)", "wd": "WEEKDAY(o_orderdate)", "iso": "ISOWEEKNUM(o_orderdate)", "next": "EDATE(o_orderdate,1)", "eom": "EOMONTH(o_orderdate,0)", "days": "DAYS(DATE(2000,1,1),o_orderdate)", "work": "NETWORKDAYS(o_orderdate,DATE(1998,12,31))"}, errors=False).drop("o_orderdate")
+    return _dates(_t(spark, d, "orders").filter(F.col("o_orderdate") < F.lit("1998-12-01").cast("timestamp_ntz")))
+
+
+@query("""SELECT o_orderkey, year(o_orderdate)::DOUBLE AS y, month(o_orderdate)::DOUBLE AS m, day(o_orderdate)::DOUBLE AS dd, (dayofweek(o_orderdate) + 1)::DOUBLE AS wd, weekofyear(o_orderdate)::DOUBLE AS iso,
+  date_diff('day', DATE '1899-12-30', CAST(o_orderdate + INTERVAL 1 MONTH AS DATE))::DOUBLE AS next, date_diff('day', DATE '1899-12-30', last_day(CAST(o_orderdate AS DATE)))::DOUBLE AS eom, date_diff('day', CAST(o_orderdate AS DATE), DATE '2000-01-01')::DOUBLE AS days,
+  ((CASE WHEN CAST(o_orderdate AS DATE) > DATE '1998-12-31' THEN -1 ELSE 1 END) * (SELECT count(*) FROM range(least(CAST(o_orderdate AS DATE), DATE '1998-12-31')::TIMESTAMP, greatest(CAST(o_orderdate AS DATE), DATE '1998-12-31')::TIMESTAMP + INTERVAL 1 DAY, INTERVAL 1 DAY) t(x) WHERE dayofweek(x) NOT IN (0, 6)))::DOUBLE AS work FROM orders""")
+def dates_every_order(spark, d):
+    """As dates_orders, with the orders after NETWORKDAYS' end, whose days count negatively."""
+    return _dates(_t(spark, d, "orders"))
 
 
 @query("""SELECT o_orderkey, round(-(o_totalprice * pow(1 + 0.05 / 12, 24)) * (0.05 / 12) / (pow(1 + 0.05 / 12, 24) - 1), 4) AS pay, round(-(o_totalprice / 100 * (pow(1.01, 12) - 1) / 0.01), 4) AS worth, round(-(o_totalprice / 100 * (pow(1.01, 12) - 1) / 0.01) / pow(1.01, 12), 4) AS now FROM orders""")
