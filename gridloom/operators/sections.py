@@ -21,7 +21,7 @@ def from_headings(blocks: DataFrame) -> DataFrame:
     ends = blocks.groupBy("doc_id").agg(F.max("ord").alias("__end"))
     w = Window.partitionBy("doc_id").orderBy("ord")
     ahead = F.collect_list(F.struct("ord", "level")).over(w.rowsBetween(1, Window.unboundedFollowing))  # one document's headings
-    behind = F.collect_list(F.struct("ord", "level", "text")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    behind = F.collect_list(F.struct("ord", "level")).over(w.rowsBetween(Window.unboundedPreceding, -1))
     out = heads.withColumn("__ahead", ahead).withColumn("__behind", behind).join(ends, "doc_id")
     stop = F.try_element_at(F.filter("__ahead", lambda x: x["level"] <= F.col("level")), F.lit(1))["ord"]
     # ancestors: earlier headings above this level with none between that is as high

@@ -298,7 +298,7 @@ def document_statistics(spark, d):
 def _blocks(spark, d):
     """Conversations as documents: the system's and the user's turns are headings of levels 1 and 2."""
     level = F.when(F.col("role") == "system", 1).when(F.col("role") == "user", 2).otherwise(0)
-    return _t(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("ord"), level.alias("level"), F.substring("text", 1, 20).alias("text"))
+    return _t(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("ord"), level.alias("level"), "text")
 
 
 @query("""WITH b AS (SELECT DISTINCT conv_id, turn, CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 ELSE 0 END AS level FROM conversations)
@@ -369,6 +369,13 @@ def gcd_sizes(spark, d):
 @query("""SELECT CAST(conv_id AS BIGINT) AS doc_id, CAST(turn + CASE WHEN conv_id = 3 AND turn >= 1 THEN 2 ELSE 0 END AS INT) AS ord, substr(text, 1, 20) AS text FROM conversations
   UNION ALL SELECT 3, 1, 'new one' UNION ALL SELECT 3, 2, 'new two'""")
 def insert_paragraphs(spark, d):
+    """The starts of insert_whole_paragraphs' texts, as its SQL asks for."""
+    return insert_whole_paragraphs(spark, d).withColumn("text", F.substring("text", 1, 20))
+
+
+@query("""SELECT CAST(conv_id AS BIGINT) AS doc_id, CAST(turn + CASE WHEN conv_id = 3 AND turn >= 1 THEN 2 ELSE 0 END AS INT) AS ord, text FROM conversations
+  UNION ALL SELECT 3, 1, 'new one' UNION ALL SELECT 3, 2, 'new two'""")
+def insert_whole_paragraphs(spark, d):
     from gridloom.operators import blocks
 
     return blocks.inserted(_blocks(spark, d).select("doc_id", "ord", "text"), 3, 1, ["new one", "new two"])
