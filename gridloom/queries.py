@@ -331,6 +331,16 @@ def validate_sections(spark, d):
     return sections.validated(o, schema).filter("issue <> 'order'")
 
 
+@query()  # SQL has no longest rising run; tested by brute force
+def validate_every_issue(spark, d):
+    """All kinds of issues: sections of finished orders lie in '1-URGENT', those of small ones are empty."""
+    orders = _t(spark, d, "orders")
+    o = orders.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderpriority").alias("key"), F.col("o_orderkey").alias("first"), F.when(F.col("o_orderstatus") == "F", "1-URGENT").alias("parent"))
+    empty = orders.filter("o_totalprice < 50000").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderpriority").alias("key"))
+    schema = [(1, "1-URGENT", None, False), (2, "2-HIGH", "1-URGENT", False), (3, "3-MEDIUM", None, False), (4, "5-LOW", None, True), (5, "9-NONE", None, False)]
+    return sections.validated(o, spark.createDataFrame(schema, "pos int, key string, parent string, optional boolean"), empty)
+
+
 @query("""SELECT doc_id, key, after FROM (SELECT *, lag(key) OVER (PARTITION BY doc_id ORDER BY pos) AS after FROM (SELECT DISTINCT o_custkey AS doc_id FROM orders), (SELECT unnest([1, 2, 3]) AS pos, unnest(['1-URGENT', '2-HIGH', '9-NONE']) AS key)) g
   WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = g.doc_id AND o_orderpriority = g.key)""")
 def plan_sections(spark, d):
