@@ -4,22 +4,23 @@ Base rules count symbols, repeated lines and repeated 3-word windows of each who
 pass them are judged by language and source: transformed statistics (FEATURES) form a vector, and the
 minimum covariance determinant gives each group's centre and scatter. The estimate starts from medians
 and median absolute deviations; every concentration step then keeps the CORE share of the group with
-the smallest Mahalanobis distances and takes mean and covariance of those, which can only lower the
-determinant. Small groups lean on their language's pooled estimate, and that on the one of all, by
-PRIOR rows; a floor keeps scatters regular where a statistic is constant. Vectors beyond CUT are
-rejected; the cut is wider for short texts, whose shares vary more.
+the smallest Mahalanobis distances and takes mean and covariance of those, which lowers the determinant
+but for the sketches' error. Small groups lean on their language's pooled estimate, and that on the one of all, by
+PRIOR rows; a floor keeps scatters regular where a statistic is constant. Vectors beyond CUT, a
+chi-squared quantile, are rejected; the cut is wider for short texts, whose shares vary more.
 
 Groups are only ever aggregates: quantile sketches and moments, so hot groups need no task of their own.
 Estimates are written before they are joined: their size is known then, and Spark broadcasts them if small.
-Null texts have no words, so fail; null languages and sources are groups of their own. Repeated rows
-count and are judged each.
+Null and empty texts have no words, so fail; null languages and sources are groups of their own. Repeated
+rows count and are judged each; vectors at equal distances are all in the core, or none. Counts of very
+long texts are exact. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import table, written
@@ -29,8 +30,8 @@ FEATURES = ("word_length", "symbols", "upper", "marks", "variety")
 #: Added to the variances, in the features' own units.
 FLOOR = (0.05, 0.05, 0.05, 0.05, 0.08)
 CORE, STEPS, PRIOR = 0.75, 3, 60
-#: Squared distance, times 1 + SHORT / words, beyond which a document goes.
-CUT, SHORT = 28.0, 100
+#: Share of normal vectors that may be rejected; the cut is the chi-squared quantile there, times 1 + SHORT / words.
+REJECTED, SHORT = 1e-4, 100
 D = len(FEATURES)
 PAIRS = [(i, j) for i in range(D) for j in range(i, D)]
 
@@ -45,30 +46,44 @@ def chi2_cdf(x: float, k: int) -> float:
     return total * math.exp(-x / 2 + k / 2 * math.log(x / 2) - math.lgamma(k / 2))
 
 
-def _consistency() -> float:
-    """What makes the covariance of a normal's core as large as that of the whole."""
-    lo, hi = 1e-6, 100.0
+def chi2_quantile(share: float, k: int) -> float:
+    lo, hi = 1e-6, 1000.0
     for _ in range(100):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if chi2_cdf(mid, D) < CORE else (lo, mid)
-    return CORE / chi2_cdf(lo, D + 2)
+        lo, hi = (mid, hi) if chi2_cdf(mid, k) < share else (lo, mid)
+    return lo
 
 
-SCALE = _consistency()
+#: What makes the covariance of a normal's core as large as that of the whole.
+SCALE = CORE / chi2_cdf(chi2_quantile(CORE, D), D + 2)
+CUT = chi2_quantile(1 - REJECTED, D)
+
+#: Bits of a window's code that hold its position, at least; the others are of its hash.
+LEAST_WIDTH = 1
 
-_REPEATS = """
-aggregate(
-  sort_array(filter(
-    transform(codes, (x, k) -> if(
-      (k > 0 and shiftrightunsigned(x, width) = shiftrightunsigned(codes[k - 1], width)) or (k < size(codes) - 1 and shiftrightunsigned(x, width) = shiftrightunsigned(codes[k + 1], width)),
-      x & (shiftleft(1L, width) - 1L), -1L)),
-    p -> p >= 0)),
-  struct(0L as n, -9L as last), (s, p) -> struct(s.n + least(3L, p - s.last) as n, p as last), s -> s.n)
-"""
 _CODES = """
 case when size(ws) < 3 then cast(array() as array<bigint>)
 else sort_array(transform(sequence(0, size(ws) - 3), i -> shiftleft(xxhash64(ws[i], ws[i + 1], ws[i + 2]), width) | cast(i as bigint))) end
 """
+_AT = "cast({} & (shiftleft(1L, width) - 1L) as int)"
+#: Of each code: 0 if the hash before it is another, 1 if the words are the same too, 2 if only the hash is.
+_SAME = f"""
+transform(codes, (x, k) -> case
+  when k = 0 or shiftrightunsigned(x, width) <> shiftrightunsigned(codes[k - 1], width) then 0
+  when ws[{_AT.format("x")}] = ws[{_AT.format("codes[k - 1]")}] and ws[{_AT.format("x")} + 1] = ws[{_AT.format("codes[k - 1]")} + 1] and ws[{_AT.format("x")} + 2] = ws[{_AT.format("codes[k - 1]")} + 2] then 1
+  else 2 end)
+"""
+#: Positions of repeated windows: from the codes, or from the sorted words themselves where hashes clash.
+_FOUND = f"""
+if(array_contains(same, 2),
+  transform(
+    array(sort_array(transform(sequence(0, size(ws) - 3), i -> struct(ws[i] as a, ws[i + 1] as b, ws[i + 2] as c, i as at)))),
+    s -> filter(transform(s, (x, k) -> if(
+      (k > 0 and struct(x.a, x.b, x.c) = struct(s[k - 1].a, s[k - 1].b, s[k - 1].c)) or (k < size(s) - 1 and struct(x.a, x.b, x.c) = struct(s[k + 1].a, s[k + 1].b, s[k + 1].c)),
+      x.at, -1)), p -> p >= 0))[0],
+  filter(transform(codes, (x, k) -> if(same[k] = 1 or (k < size(codes) - 1 and same[k + 1] = 1), {_AT.format("x")}, -1)), p -> p >= 0))
+"""
+_REPEATS = "aggregate(sort_array(found), struct(0L as n, -9 as last), (s, p) -> struct(s.n + least(3, p - s.last) as n, p as last), s -> s.n)"
 
 
 def _count(pattern: str):
@@ -80,10 +95,11 @@ def counted(docs: DataFrame, keep: list) -> DataFrame:
     """The columns keep of docs, the base counts, base_failed and the features.
 
     A window's code is its hash with its position in the lowest bits, so sorting brings equal windows
-    together. A hash has 64 bits less those of the number of words."""
+    together. The words of neighbours with equal hashes are compared; where any differ, as in texts so
+    long that few bits are left for the hash, the text's windows are sorted by their words instead."""
     out = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("t"))
     out = out.withColumn("ws", F.array_remove(F.split("t", r"[\x20\x09-\x0D]+", -1), ""))
-    out = out.withColumn("width", F.length(F.bin(F.size("ws")))).withColumn("codes", F.expr(_CODES))
+    out = out.withColumn("width", F.greatest(F.length(F.bin(F.size("ws"))), F.lit(LEAST_WIDTH))).withColumn("codes", F.expr(_CODES)).withColumn("same", F.expr(_SAME)).withColumn("found", F.expr(_FOUND))
     lines = F.filter(F.split("t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     out = out.withColumns({
         "n_words": F.size("ws").cast("long"),
@@ -124,16 +140,16 @@ def _first(rows: DataFrame) -> DataFrame:
 
 
 def _leaning(groups: DataFrame) -> DataFrame:
-    """Each group's estimate drawn towards its language's, and that towards the one of all."""
+    """Each group's estimate drawn towards its language's, and that towards the one of all, which is one
+    row on the driver."""
     values = [f"m{i}" for i in range(D)] + [f"c{i}{j}" for i, j in PAIRS]
-    every, lang = Window.partitionBy(F.lit(0)), Window.partitionBy("__lang")  # a row for each group
-    for v in values:
-        total = F.sum(F.col(v) * F.col("n"))
-        wide = total.over(every) / F.sum("n").over(every)
-        mid = (total.over(lang) + wide * PRIOR) / (F.sum("n").over(lang) + PRIOR)
-        groups = groups.withColumn(f"__{v}", (F.col(v) * F.col("n") + mid * PRIOR) / (F.col("n") + PRIOR))
+    sums = [F.sum("n").alias("__n"), *[F.sum(F.col(v) * F.col("n")).alias(f"__{v}") for v in values]]
+    wide = groups.agg(*sums).first()
+    langs = groups.groupBy("__lang").agg(*sums)
+    mid = {v: (F.col(f"__{v}") + F.lit(PRIOR * (wide[f"__{v}"] or 0.0) / (wide["__n"] or 1))) / (F.col("__n") + PRIOR) for v in values}
+    leant = {v: (F.col(v) * F.col("n") + mid[v] * PRIOR) / (F.col("n") + PRIOR) for v in values}
     floors = {f"c{i}{j}": FLOOR[i] ** 2 if i == j else 0.0 for i, j in PAIRS}
-    return groups.select("__group", *[(F.col(f"__{v}") + F.lit(floors.get(v, 0.0))).alias(v) for v in values])
+    return groups.join(langs, "__lang").select("__group", *[(leant[v] + F.lit(floors.get(v, 0.0))).alias(v) for v in values])
 
 
 def _inverse(groups: DataFrame) -> DataFrame:
@@ -171,12 +187,12 @@ def grouped(rows: DataFrame) -> DataFrame:
 
 def estimates(rows: DataFrame) -> DataFrame:
     """Centre and precision of each group of rows, by concentration steps from a robust start."""
-    groups = written(_inverse(written(_leaning(_first(rows)), "leaning")), "groups")
+    groups = written(_inverse(_leaning(written(_first(rows), "moments"))), "groups")
     for _ in range(STEPS):
         near = _distances(rows, groups)
         core = written(near.groupBy("__group").agg(F.percentile_approx("d2", F.lit(CORE), F.lit(2000)).alias("most")), "core")
-        moments = _moments(near.join(core, "__group").filter("d2 <= most"))
-        groups = written(_inverse(written(_leaning(moments), "leaning")), "groups")
+        moments = written(_moments(near.join(core, "__group").filter("d2 <= most")), "moments")
+        groups = written(_inverse(_leaning(moments)), "groups")
     return groups
 
 

@@ -1,4 +1,5 @@
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -75,3 +76,74 @@ def test_chi_squared():
 def test_no_python_on_executors(spark):
     plan = quality.query(spark, HERE)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan) and F is not None
+
+
+@pytest.mark.parametrize("width", [1, 61])
+def test_counts_are_exact_where_hashes_clash(spark, monkeypatch, width):
+    monkeypatch.setattr(quality, "LEAST_WIDTH", width)  # 61: three bits are left for the hash
+    data = rows(25) + [(800, "a b c\na b c\n\na b c d a b c |", None, None, 1), (801, "x y x y x y " * 40, "en", "s1", 1), (802, "a a a", "en", "s1", 1)]
+    got = quality.counted(frame(spark, data), [F.col("doc_id")]).collect()
+    assert sorted((r.doc_id, r.n_repeat_words) for r in got) == sorted((r[0], counts(r[1])[-1]) for r in data)
+
+
+def test_counts_of_a_text_of_a_million_words(spark):
+    words = [f"w{i}" for i in range(1_000_000)]
+    words[700_000:700_003] = words[5:8]
+    words[900_000:900_004] = words[6:10]
+    got = quality.counted(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string"), [F.col("doc_id")]).first()
+    assert (got.n_words, got.n_repeat_words) == (1_000_000, 3 + 4 + 5)  # words 5 to 9 and their two copies
+
+
+def plain_features(text):
+    text = text or ""
+    n, chars, symbols, _, _ = counts(text)
+    upper = sum(unicodedata.category(c) == "Lu" for c in text)
+    marks = len(re.findall(r"[!?:;=@~^_\\/{}\[\]()+]", text))
+    distinct = len({w for w in re.split("[\x20\x09-\x0d]+", text) if w})
+    return [2 * np.log((chars + 1) / (n + 1)), np.sqrt(symbols / (n + 1)), np.sqrt(upper / (chars + 1)), np.sqrt(marks / (n + 1)), np.log(distinct + 1) / np.log(n + 2)]
+
+
+def test_kept_is_what_plain_code_keeps(spark):
+    docs = [tuple(r) for r in spark.read.parquet(f"{HERE}/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
+    docs += [(9001, None, None, None), (9002, "", "en", None)]
+    x, lang, group, base, size = [], [], [], [], []
+    for _, text, la, source in docs:
+        n = counts(text)
+        x.append(plain_features(text))
+        lang.append(la)
+        group.append((la, source))
+        base.append(n[0] < 50 or 100 * n[4] > 50 * n[0])
+        size.append(n[0])
+    x, base = np.array(x), np.array(base)
+    low = lambda v, q: np.sort(v, axis=0)[int(np.ceil(q * len(v))) - 1]
+    of = {g: np.array([i for i, h in enumerate(group) if h == g and not base[i]]) for g in set(group)}
+    of = {g: at for g, at in of.items() if len(at)}
+
+    def leant(est):
+        def mean(gs):
+            total = sum(est[g][0] for g in gs)
+            return total, [sum(est[g][k] * est[g][0] for g in gs) for k in (1, 2)]
+
+        n, sums = mean(est)
+        wide, out = [s / n for s in sums], {}
+        for g, (own, m, c) in est.items():
+            k, sums = mean([h for h in est if h[0] == g[0]])
+            mid = [(s + quality.PRIOR * w) / (k + quality.PRIOR) for s, w in zip(sums, wide, strict=True)]
+            m, c = ((v * own + quality.PRIOR * w) / (own + quality.PRIOR) for v, w in zip((m, c), mid, strict=True))
+            out[g] = m, np.linalg.inv(c + np.diag(np.array(quality.FLOOR) ** 2))
+        return out
+
+    d2 = lambda at, m, inverse: np.einsum("ij,jk,ik->i", x[at] - m, inverse, x[at] - m)
+    est = {g: (len(at), m := low(x[at], 0.5), np.diag((1.4826 * low(np.abs(x[at] - m), 0.5)) ** 2)) for g, at in of.items()}
+    for _ in range(quality.STEPS):
+        fitted, core = leant(est), {}
+        for g, at in of.items():
+            far = d2(at, *fitted[g])
+            core[g] = x[at[far <= low(far, quality.CORE)]]
+        est = {g: (len(c), c.mean(0), np.cov(c.T, bias=True).reshape(quality.D, quality.D) * quality.SCALE) for g, c in core.items()}
+    fitted, want = leant(est), {}
+    for i, (doc, *_) in enumerate(docs):
+        far = d2(np.array([i]), *fitted[group[i]])[0] if group[i] in fitted else 0.0
+        want[doc] = not base[i] and bool(far <= quality.CUT * (1 + quality.SHORT / (size[i] + 1)))
+    got = quality.judged(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).collect()
+    assert {r.doc_id: r.kept for r in got} == want and 0 < sum(want.values()) < len(docs)
