@@ -1,19 +1,26 @@
 """SimHash near-duplicates: tiled exact comparison of fingerprints.
 
-Fingerprints are made in Arrow batches, then only distinct ones go on. Two fingerprints at most three
-bits apart agree on one of their four 16-bit bands at least, so the distinct fingerprints are dealt
-out by (band, value); within each group numpy compares tiles by exclusive-or and bit counts, and
-skips pairs of tiles whose population counts differ by more than the radius. A group too large for
-one task is split by salt and its parts meet pairwise. Each task returns a spanning forest of its
-links, never all pairs; the forests' components are then found by min-label rounds over tables.
-
-Null and word-less texts have fingerprint zero, linked like any other. Texts of one or two words are
-one shingle. Repeated rows share a fingerprint. Rows whose doc_id is null form part of their group,
-whose id is the smallest doc_id that is not null (null if there is none).
+Fingerprints are made in Arrow batches, then only distinct ones go on. Of B blocks of their bits, two
+fingerprints at most three bits apart agree on B - 3 at least, so the distinct fingerprints are dealt
+out by every choice of B - 3 blocks and those blocks' value; within each group numpy compares tiles by
+exclusive-or and bit counts, and skips pairs of tiles whose population counts differ by more than the
+radius. Any B finds every link; the more fingerprints there are, the more blocks it takes for groups
+to stay small: 4 choices of 16 bits, 10 of some 25 or 20 of some 32, whichever costs least for their
+number. A group too large for one task is split by salt and its parts meet pairwise. Each task returns
+a spanning forest of its links, never all pairs; the forests' components are then found by min-label
+rounds over tables.
+
+Null and empty texts have fingerprint zero, linked like any other; long texts are hashed whole. Texts of
+one or two words are one shingle. Repeated rows share a fingerprint, so ties need no rule. Rows whose
+doc_id is null form part of their group, whose id is the smallest doc_id that is not null (null if there
+is none). An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -23,10 +30,13 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import chunked, small_batches, table, written
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
-BANDS, BAND_BITS = 4, 16
+#: Numbers of blocks to choose from, and comparisons that cost as much as a row that is shuffled.
+BLOCKS, COMPARED = (4, 5, 6), 200
 TILE = 1024
 #: Fingerprints of one group that a single task compares; larger groups are split.
 GROUP_ROWS = 20_000
+#: Rows of one call, about, that compares many small groups.
+LOT_ROWS = 4000
 _UPPER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -117,7 +127,7 @@ def _links(table_: pa.Table) -> pa.Table:
     value, side, prints = (np.array(table_.column(c).to_numpy()) for c in ("value", "side", "fp"))
     order = np.argsort(value, kind="stable")
     value, side, prints = value[order], side[order], prints[order].view(np.uint64)
-    edges = np.flatnonzero(np.diff(value, prepend=-1, append=-1))
+    edges = np.concatenate([[0], np.flatnonzero(value[1:] != value[:-1]) + 1, [len(value)]])
     xs, ys = [], []
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         own = side[a:b]
@@ -129,23 +139,39 @@ def _links(table_: pa.Table) -> pa.Table:
     return pa.table({"x": pa.array(both[0]), "y": pa.array(both[1])})
 
 
-def links(prints: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Links (x, y) between distinct fingerprints (fp) that join all that are within the radius."""
-    bands = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("fp", k * BAND_BITS).bitwiseAND((1 << BAND_BITS) - 1).cast("int").alias("value")) for k in range(BANDS)])
-    dealt = prints.select("fp", F.explode(bands).alias("b")).select("fp", "b.band", "b.value")
+def choices(blocks: int) -> list[int]:
+    """Masks of the bits of every choice of all but RADIUS blocks."""
+    edges = [64 * k // blocks for k in range(blocks + 1)]
+    own = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:], strict=False)]
+    return [sum(c) for c in itertools.combinations(own, blocks - RADIUS)]
+
+
+def blocks_for(n: int) -> int:
+    """The number of blocks that costs least for n fingerprints: rows shuffled and comparisons."""
+    cost = lambda b: sum(n + n * n / 2 / COMPARED / 2.0 ** m.bit_count() for m in choices(b))
+    return min(BLOCKS, key=cost)
+
+
+def links(prints: DataFrame, n: int, group_rows: int = GROUP_ROWS, blocks: int | None = None) -> DataFrame:
+    """Links (x, y) between n distinct fingerprints (fp) that join all that are within the radius."""
+    masks = [m - (1 << 64) if m >> 63 else m for m in choices(blocks or blocks_for(n))]
+    keys = F.array(*[F.struct(F.lit(k).alias("band"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("value")) for k, m in enumerate(masks)])
+    dealt = prints.select("fp", F.explode(keys).alias("b")).select("fp", "b.band", "b.value")
     sizes = dealt.groupBy("band", "value").agg(F.count("*").alias("n")).filter("n > 1").select("band", "value", F.ceil(F.col("n") / group_rows).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     met = dealt.join(sizes, ["band", "value"]).withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     met = met.select("fp", "band", "value", F.least("own", "with").alias("a"), F.greatest("own", "with").alias("b"), (F.col("own") > F.col("with")).cast("int").alias("side"))
-    # neighbouring values share a task's call: most groups are of a few rows
-    return met.withColumn("lot", F.shiftright("value", 6)).groupBy("band", "lot", "a", "b").applyInArrow(_links, "x long, y long")
+    # many values share a task's call: most groups are of a few rows
+    lot = F.pmod(F.xxhash64("value"), F.lit(math.ceil((n + 1) / LOT_ROWS)))
+    return met.withColumn("lot", lot).groupBy("band", "lot", "a", "b").applyInArrow(_links, "x long, y long")
 
 
 def components(pairs: DataFrame) -> DataFrame:
     """(fp, root) for each fingerprint in pairs (x, y); root is the smallest of its component.
 
     Large and small stars in turn: every round links each node to the least of its neighbours, which
-    halves paths; a hub has one row for each neighbour, pre-aggregated before the shuffle."""
+    halves paths. A hub has one row for each neighbour; the least of them is pre-aggregated before the
+    shuffle, and the join of the neighbours with it is on the adaptive planner's list for splitting."""
     edges = written(pairs.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).filter("x <> y").distinct(), "links")
     state = _state(edges)
     while True:
@@ -172,7 +198,7 @@ def _state(edges: DataFrame) -> tuple:
 def grouped(spark: SparkSession, rows: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """For rows (doc_id, __fp): each distinct __fp with __group, the smallest doc_id reachable."""
     prints = written(rows.groupBy(F.col("__fp").alias("fp")).agg(F.min("doc_id").alias("least")), "prints")
-    root_of = components(links(prints, group_rows))
+    root_of = components(links(prints, prints.count(), group_rows))
     labelled = prints.join(root_of, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = labelled.groupBy("root").agg(F.min("least").alias("__group"))
     return labelled.join(least, "root").select(F.col("fp").alias("__fp"), "__group")

@@ -1,6 +1,8 @@
+import itertools
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from gridloom.llm import simhash
@@ -68,3 +70,27 @@ def test_one_of_each_group_stays(spark):
     missing = [(None, "a b c", None, None, 1), (None, "a b c", None, None, 1), (None, None, None, None, None), (4, "a b c", None, None, 1)]
     kept = simhash.deduplicated(spark, spark.createDataFrame(missing, SCHEMA)).collect()
     assert sorted((r.doc_id or -1, r.text or "") for r in kept) == [(-1, ""), (4, "a b c")]
+
+
+@pytest.mark.parametrize("blocks", simhash.BLOCKS)
+def test_any_number_of_blocks_loses_no_link(spark, blocks):
+    rng = random.Random(blocks)
+    centres = [rng.getrandbits(64) for _ in range(60)] + [0, 2**64 - 1]
+    prints = sorted({c ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for c in centres for _ in range(4)} | set(centres))
+    signed = [p - 2**64 if p >= 2**63 else p for p in prints]
+    pairs = simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"), len(prints), blocks=blocks)
+    root = {r.fp: r.root for r in simhash.components(pairs).collect()}
+    found, want = {}, {}
+    for p, s, g in zip(prints, signed, groups(prints, list(range(len(prints)))), strict=True):
+        found.setdefault(root.get(s, s), set()).add(p)
+        want.setdefault(g, set()).add(p)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, want.values()))
+
+
+def test_blocks_grow_with_the_corpus():
+    assert [simhash.blocks_for(n) for n in (0, 10**6, 10**9, 10**11)] == [4, 4, 5, 6]
+    for b in simhash.BLOCKS:  # whichever three blocks differ, some choice holds only others
+        edges = [64 * k // b for k in range(b + 1)]
+        for hit in itertools.combinations(range(b), 3):
+            differ = sum(1 << edges[k] for k in hit)
+            assert any(not m & differ for m in simhash.choices(b))
