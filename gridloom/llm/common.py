@@ -8,8 +8,6 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -18,12 +16,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch; with long texts a larger batch would not fit a small executor.
-BATCH_ROWS = 1000
+#: Rows and bytes of one Arrow batch; with long texts a larger batch would not fit a small executor.
+BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
 #: Bytes of text that a Python worker splits into words at once.
 CHUNK_BYTES = 3 << 20
 
-_local: list[str] = []
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -32,14 +29,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir; where it is unset, the warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not _local:
-        _local.append(tempfile.mkdtemp(prefix="gridloom-"))
-        atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
-    return "file://" + _local[0]
+    return (found or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
@@ -70,6 +62,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def text_bytes(df: DataFrame, column: str = "text") -> int:
