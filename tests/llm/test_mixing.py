@@ -61,3 +61,8 @@ def test_no_documents_and_no_words(spark):
     assert mixing.mixed(mixing.sized(frame(spark, []))).count() == 0
     got = mixing.mixed(mixing.sized(frame(spark, [(1, None, None, None, None), (2, "", None, "a", 0)]))).collect()
     assert [(r.taken, r.target) for r in got] == [(0, 0.0)] * 2
+
+
+def test_no_python_on_executors(spark):
+    plan = mixing.query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
