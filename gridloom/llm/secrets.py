@@ -7,7 +7,10 @@ candidates are verified with the regular expression. Rules with a way to match t
 trigram scan every text. Offsets count code points, ends are exclusive.
 
 Base rules are assign, access and hex, leftmost and without overlap within a kind; the others add
-spans of their own kinds. Null texts are empty. Repeated rows share postings and are reported each.
+spans of their own kinds. Null texts are empty, and so are the spans of an empty text; very long texts are
+scanned whole. Repeated rows share postings and are reported each; rows of one doc_id with different texts
+are told apart by the text. Matches of several kinds at one place all count. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -39,6 +42,9 @@ WAYS = 64
 #: Put around matches; in texts it becomes its neighbour, which no rule tells from it.
 MARK, PLAIN = "\ue000", "\ue001"
 
+#: Parts of a marked text that are added up at once; even, so that every block begins outside a match.
+BLOCK = 512
+
 _GAP = None
 
 
@@ -115,8 +121,12 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 def _spans(text, number: int, expression: str, least):
-    """The matches of one rule as (start, kind, end), by marking them and adding up the parts' lengths."""
+    """The matches of one rule as (start, kind, end), by marking them and adding up the parts' lengths.
+
+    Every second part is a match. Parts are taken BLOCK at a time, as each step copies what a block has
+    found so far: a text of n matches costs n times BLOCK, not n times n."""
     parts = F.split(F.regexp_replace(text, expression, MARK + "$0" + MARK), MARK, -1)
+    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
 
     def step(s, part):
         end = s["at"] + F.length(part)
@@ -124,8 +134,18 @@ def _spans(text, number: int, expression: str, least):
         found = F.array(F.struct(s["at"].alias("start"), F.lit(number).alias("kind"), end.alias("end")))
         return F.struct(end.alias("at"), (~s["on"]).alias("on"), F.when(good, F.concat(s["found"], found)).otherwise(s["found"]).alias("found"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("on"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("found"))
-    return F.aggregate(parts, zero, step, lambda s: s["found"])
+    def block(own, start):
+        return F.aggregate(own, F.struct(start.alias("at"), F.lit(False).alias("on"), none.alias("found")), step, lambda s: s["found"])
+
+    def all_of(own):
+        cut = F.transform(F.sequence(F.lit(0), F.size(own) - 1, F.lit(BLOCK)), lambda a: F.slice(own, a + 1, F.lit(BLOCK)))
+        sizes = F.transform(cut, lambda b: F.aggregate(b, F.lit(0), lambda n, part: n + F.length(part)))
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        starts = F.aggregate(sizes, zero, lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")), lambda s: s["starts"])
+        return F.flatten(F.zip_with(cut, starts, block))
+
+    # bound by the lambda, so that texts are marked and split once
+    return F.transform(F.array(parts), lambda own: F.when(F.size(own) <= BLOCK, block(own, F.lit(0))).otherwise(all_of(own)))[0]
 
 
 def scanned(docs: DataFrame) -> DataFrame:
