@@ -9,8 +9,10 @@ otherwise the line as masked at first is. Templates of at least MIN_DOCS documen
 lines go. Unlike a parser that reads one line after the other, this depends on no order.
 
 Only hashes of lines are shuffled, but for the lines of leaves that recur, whose tokens are counted once
-for each different line. Blank lines stay. Null texts have no lines. Rows that repeat a document count
-as one document and are treated alike.
+for each different line. Documents, lines and leaves are known by 64-bit hashes: a clash would treat two
+as one. Blank lines stay. Null and empty texts have no lines; very long texts are split whole. Rows that
+repeat a document count as one document and are treated alike, so ties need no rule. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -45,14 +47,20 @@ def dropped(docs: DataFrame) -> DataFrame:
     """(doc, lines): of each document that loses lines, their numbers from 0 on."""
     every = _lines(docs)
     slim = written(every.select("doc", "line", "leaf", "exact"), "lines")
-    leaves = _recurring(slim, "leaf").select("leaf")
+    # written, so that their size is known: few leaves are broadcast and filter lines before these are
+    # shuffled; many meet lines that are distinct by then, so that a hot leaf can be split
+    leaves = written(_recurring(slim, "leaf").select("leaf"), "leaves")
     counts = slim.select("exact", "doc").distinct().groupBy("exact").agg(F.count("*").alias("docs"))
-    kinds = every.select("leaf", "exact", "masked").join(leaves, "leaf", "left_semi").distinct()
+    kinds = every.select("leaf", "exact", "masked").distinct().join(leaves, "leaf", "left_semi")
     kinds = written(kinds.join(counts, "exact").select("leaf", "exact", "docs", F.split("masked", " ").alias("tokens")), "line-kinds")
-    placed = kinds.select("leaf", "exact", "docs", F.posexplode("tokens").alias("place", "token"))
-    support = placed.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("support"))
-    judged = placed.join(support, ["leaf", "place", "token"])
-    constant = ((F.col("place") < DEPTH) | (F.col("support") >= MIN_DOCS)) & (F.col("token") != VARIABLE)
+    # all lines of a leaf have its leading tokens: these are not counted, and meet nothing
+    later = F.slice("tokens", DEPTH + 1, F.greatest(F.size("tokens") - DEPTH, F.lit(0)))
+    placed = kinds.select("leaf", "exact", "docs", F.posexplode(later).alias("place", "token"))
+    support = placed.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("support")).filter((F.col("support") >= MIN_DOCS) & (F.col("token") != VARIABLE))
+    judged = placed.join(support, ["leaf", "place", "token"], "left").withColumn("place", F.col("place") + DEPTH)
+    leading = kinds.select("leaf", "exact", F.posexplode(F.slice("tokens", 1, DEPTH)).alias("place", "token"))
+    judged = judged.select("leaf", "exact", "place", "token", F.col("support").isNotNull().alias("constant")).unionByName(leading.withColumn("constant", F.col("token") != VARIABLE))
+    constant = F.col("constant")
     shapes = judged.groupBy("leaf", "exact").agg(F.sort_array(F.collect_list(F.struct("place", F.when(constant, F.col("token")).alias("token")))).alias("ts"))  # one line's tokens
     fixed = F.size(F.filter("ts", lambda t: t["token"].isNotNull()))
     general = F.transform("ts", lambda t: F.coalesce(t["token"], F.lit(VARIABLE)))
