@@ -12,7 +12,9 @@ the hash range its distinct hashes, sorted and delta-coded, with a bit for those
 than once; the bucket answers with bits in the same order. A window that thousands of documents share
 is one entry for each shard, so no key makes a large task, and no pairs are ever made.
 
-Null texts have no words; texts of fewer than 35 words lose none. Repeated rows repeat each other.
+Null and empty texts have no words; texts of fewer than 35 words lose none; very long texts are a shard of
+their own at most. Repeated rows repeat each other. Windows are equal if 96 bits of their words' hashes
+are. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -238,17 +240,22 @@ def repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     shard = F.pmod(F.xxhash64("doc_id", "text"), F.lit(plan.shards)).cast("int")
     name = f"gridloom_shards_{uuid.uuid4().hex}"
     buckets = min(plan.shards, 20_000)
-    docs.withColumn("shard", shard).repartition(buckets, "shard").write.option("compression", "zstd").bucketBy(buckets, "shard").saveAsTable(name)
-    stored = spark.table(name)
+    try:
+        docs.withColumn("shard", shard).repartition(buckets, "shard").write.option("compression", "zstd").bucketBy(buckets, "shard").saveAsTable(name)
+        return _repeats(spark.table(name), plan)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")  # the texts' copy is large
+
+
+def _repeats(stored: DataFrame, plan: Plan) -> DataFrame:
+    """repeats() of documents stored by shard."""
     groups = stored.groupBy("shard")
     sent = groups.applyInArrow(lambda k, r: plan.send_blocks(k, r), "bucket int, shard int, hashes binary, recurs binary, block binary")
     first = written(sent.groupBy("bucket").applyInArrow(_blocks_repeated, _ANSWER), "blocks")
     again = groups.cogroup(first.groupBy("shard")).applyInArrow(lambda k, r, a: plan.send_windows(k, r, a), "bucket int, shard int, hashes binary, recurs binary, second binary")
     both = first.union(written(again.groupBy("bucket").applyInArrow(_windows_repeated, _ANSWER), "windows"))
     out = groups.cogroup(both.groupBy("shard")).applyInArrow(lambda k, r, a: plan.finish(k, r, a), "doc_id long, n_words long, n_removed long, spans array<long>, kept_sha256 string")
-    out = written(out, "repeats")
-    spark.sql(f"DROP TABLE {name}")  # the texts' copy is large
-    return out
+    return written(out, "repeats")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
