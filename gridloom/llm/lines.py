@@ -57,7 +57,8 @@ def dropped(docs: DataFrame) -> DataFrame:
     later = F.slice("tokens", DEPTH + 1, F.greatest(F.size("tokens") - DEPTH, F.lit(0)))
     placed = kinds.select("leaf", "exact", "docs", F.posexplode(later).alias("place", "token"))
     support = placed.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("support")).filter((F.col("support") >= MIN_DOCS) & (F.col("token") != VARIABLE))
-    judged = placed.join(support, ["leaf", "place", "token"], "left").withColumn("place", F.col("place") + DEPTH)
+    # aggregates are written before rows meet them: so the adaptive planner can split a hot key of the rows
+    judged = placed.join(written(support, "support"), ["leaf", "place", "token"], "left").withColumn("place", F.col("place") + DEPTH)
     leading = kinds.select("leaf", "exact", F.posexplode(F.slice("tokens", 1, DEPTH)).alias("place", "token"))
     judged = judged.select("leaf", "exact", "place", "token", F.col("support").isNotNull().alias("constant")).unionByName(leading.withColumn("constant", F.col("token") != VARIABLE))
     constant = F.col("constant")
@@ -65,9 +66,9 @@ def dropped(docs: DataFrame) -> DataFrame:
     fixed = F.size(F.filter("ts", lambda t: t["token"].isNotNull()))
     general = F.transform("ts", lambda t: F.coalesce(t["token"], F.lit(VARIABLE)))
     template = F.when(fixed >= F.size("ts") * SIMILAR, F.xxhash64("leaf", general)).otherwise(F.xxhash64(F.lit("exact"), "exact"))
-    shapes = shapes.select("exact", template.alias("template"))
+    shapes = written(shapes.select("exact", template.alias("template")), "shapes")
     found = written(slim.join(shapes, "exact").select("doc", "line", "template"), "templates")
-    gone = found.join(_recurring(found, "template"), "template", "left_semi")
+    gone = found.join(written(_recurring(found, "template").select("template"), "recurring"), "template", "left_semi")
     return gone.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("lines"))  # one document's lines
 
 
