@@ -171,15 +171,15 @@ def components(pairs: DataFrame) -> DataFrame:
 
     Large and small stars in turn: every round links each node to the least of its neighbours, which
     halves paths. A hub has one row for each neighbour; the least of them is pre-aggregated before the
-    shuffle, and the join of the neighbours with it is on the adaptive planner's list for splitting."""
+    shuffle and written, so that the adaptive planner can split the hub's rows where they meet it."""
     edges = written(pairs.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).filter("x <> y").distinct(), "links")
     state = _state(edges)
     while True:
         both = edges.union(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
+        least = written(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")), "least")
         large = both.join(least, "x").filter("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).filter("x <> y").distinct()
         large = written(large, "large-star")
-        low = large.groupBy("x").agg(F.min("y").alias("m"))
+        low = written(large.groupBy("x").agg(F.min("y").alias("m")), "least")
         small = large.join(low, "x")
         small = small.select(F.col("y").alias("x"), F.col("m").alias("y")).union(small.select("x", F.col("m").alias("y"))).filter("x <> y").distinct()
         edges = written(small, "small-star")
