@@ -43,9 +43,11 @@ def resolved(pages: DataFrame) -> DataFrame:
     html = F.coalesce(F.col("html"), F.lit(""))
     url = F.regexp_replace(F.coalesce(F.col("url"), F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")))), r"[\x00-\x20\x7F]", "%20")
     rows = pages.select("page_id", url.alias("url"), html.alias("payload"), F.octet_length(html).cast("long").alias("bytes"), F.sha1(html.cast("binary")).alias("digest"))
-    heads = rows.filter(F.col("bytes") >= LEAST_BYTES).select("page_id", "url", "digest")
+    heads = written(rows.filter(F.col("bytes") >= LEAST_BYTES).select("page_id", "url", "digest"), "heads")
     last = F.max(F.struct("page_id", "url"))
     first = heads.groupBy("digest").agg(last["page_id"].alias("origin"), last["url"].alias("origin_url"), F.count("*").alias("n")).filter("n > 1 and origin is not null")
+    # written, so that the adaptive planner can split the pages of a frequent payload where they meet it
+    first = written(first.drop("n"), "originals")
     again = heads.join(first, "digest").filter(~F.col("page_id").eqNullSafe(F.col("origin"))).select(F.col("page_id").alias("__page"), F.col("digest").alias("__digest"), "origin", "origin_url").distinct()
     # hashing the few revisits of a partition spares sorting payloads
     same = F.col("page_id").eqNullSafe(F.col("__page")) & (F.col("digest") == F.col("__digest"))
