@@ -45,13 +45,12 @@ def _recurring(pairs: DataFrame, key: str) -> DataFrame:
 
 def dropped(docs: DataFrame) -> DataFrame:
     """(doc, lines): of each document that loses lines, their numbers from 0 on."""
-    every = _lines(docs)
-    slim = written(every.select("doc", "line", "leaf", "exact"), "lines")
+    slim = written(_lines(docs), "lines")
     # written, so that their size is known: few leaves are broadcast and filter lines before these are
     # shuffled; many meet lines that are distinct by then, so that a hot leaf can be split
     leaves = written(_recurring(slim, "leaf").select("leaf"), "leaves")
     counts = slim.select("exact", "doc").distinct().groupBy("exact").agg(F.count("*").alias("docs"))
-    kinds = every.select("leaf", "exact", "masked").distinct().join(leaves, "leaf", "left_semi")
+    kinds = slim.select("leaf", "exact", "masked").distinct().join(leaves, "leaf", "left_semi")
     kinds = written(kinds.join(counts, "exact").select("leaf", "exact", "docs", F.split("masked", " ").alias("tokens")), "line-kinds")
     # all lines of a leaf have its leading tokens: these are not counted, and meet nothing
     later = F.slice("tokens", DEPTH + 1, F.greatest(F.size("tokens") - DEPTH, F.lit(0)))
