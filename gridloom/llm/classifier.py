@@ -8,7 +8,8 @@ sent to the tasks) plus the log odds of the labels.
 
 Only labelled rows outside the held-out fifth (crc32 of the id as text, modulo 5) are learnt from, all
 of them. Null texts are empty; an empty text has a score like any other. Without labels of both classes
-every score is the smoothed share of label 1. Repeated labels count each, null ones not at all.
+every score is the smoothed share of label 1. Repeated labels count each, null ones not at all; rows that
+tie have equal scores. Very long texts are measured whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations

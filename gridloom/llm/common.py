@@ -1,15 +1,18 @@
 """Helpers that the corpus operators share: tables in the shared folder, chunking, word hashes.
 
 Conventions of every operator here: input columns are selected by name, so extra columns never
-clash; a null text has no words; one output row comes back per input row.
+clash; names that begin with two underscores are the operators' own, and where an operator hands
+documents on, extra columns of such names come through it unharmed (shielded); a null text has no
+words; one output row comes back per input row.
 """
 
 from __future__ import annotations
 
 import atexit
 import contextlib
+import functools
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import xxhash
@@ -60,6 +63,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shielded(step: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For a step that hands documents on: columns named as if they were the step's own go by other names."""
+
+    @functools.wraps(step)
+    def run(*args: object) -> DataFrame:
+        at, docs = next((i, x) for i, x in enumerate(args) if isinstance(x, DataFrame))
+        other = {c: f"extra {i} of the caller" for i, c in enumerate(docs.columns) if c.startswith("__")}
+        out = step(*args[:at], docs.withColumnsRenamed(other), *args[at + 1 :])
+        return out.withColumnsRenamed({new: c for c, new in other.items()})
+
+    return run
+
+
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import chunked, small_batches, table, written
+from gridloom.llm.common import chunked, shielded, small_batches, table, written
 
 WINDOW = 13
 #: Bytes of benchmark text in one broadcast block.
@@ -327,6 +327,7 @@ def judged(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, block_byt
     return out.withColumn("__bad", (F.col("__hit") > 0) & (F.col("__hit") * 20 >= F.col("__n")))
 
 
+@shielded
 def decontaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with their columns as they were."""
     return judged(spark, docs, benchmark).filter(~F.col("__bad")).select(*[F.col(f"`{c}`") for c in docs.columns])

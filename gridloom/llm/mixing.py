@@ -14,7 +14,9 @@ at each copy's place in its source's stream; that gives the copy's position in t
 result is range-sorted.
 
 Running sums over a source go by buckets of the order, so a hot source is dealt to many tasks.
-Null and word-less texts have size 0 and are never taken. Repeated rows are taken each by itself.
+Null, empty and word-less texts have size 0 and are never taken; very long ones count whole, and one may
+be due in part. Repeated rows are taken each by itself: they tie in the order, any of them comes first.
+An empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import table, written
+from gridloom.llm.common import shielded, table, written
 
 WEIGHTS = (5, 2, 1)
 #: How the demand of a source leans over time, by the place of its weight.
@@ -94,6 +96,7 @@ def _time(f, a):
     return F.when(a == 0, f).otherwise((F.sqrt((F.lit(1.0) - a) * (F.lit(1.0) - a) + a * F.lit(4.0) * f) - (F.lit(1.0) - a)) / (a * F.lit(2.0)))
 
 
+@shielded
 def mixture(docs: DataFrame) -> DataFrame:
     """The documents as training meets them: each as often as the mix takes it, sorted by position."""
     plan = mixed(written(sized(docs), "sizes"))

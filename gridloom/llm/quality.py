@@ -23,7 +23,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import table, written
+from gridloom.llm.common import shielded, table, written
 
 LEAST_WORDS, MOST_REPEATED = 50, 50
 FEATURES = ("word_length", "symbols", "upper", "marks", "variety")
@@ -206,6 +206,7 @@ def judged(docs: DataFrame) -> DataFrame:
     return near.withColumn("kept", ~F.col("base_failed") & fine)
 
 
+@shielded
 def cleaned(docs: DataFrame) -> DataFrame:
     """The documents kept, with their columns as they were."""
     good = judged(docs).filter("kept").select(*[F.col(c).alias(f"__{c}") for c in ("doc_id", "text_key", "lang", "source")])

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import chunked, small_batches, table, written
+from gridloom.llm.common import chunked, shielded, small_batches, table, written
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Numbers of blocks to choose from, and comparisons that cost as much as a row that is shuffled.
@@ -210,6 +210,7 @@ def with_groups(spark: SparkSession, docs: DataFrame, group_rows: int = GROUP_RO
     return slim.join(grouped(spark, slim, group_rows), "__fp", "left").select("doc_id", "__fp", "__group")
 
 
+@shielded
 def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One document of each group: that with the smallest doc_id, or of rows that repeat it the first by
     text. Where a group has no doc_id at all, the first of each text."""

@@ -33,4 +33,11 @@ def frame(spark, data=None):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(rows() if data is None else data, SCHEMA).repartition(5)
-    return df.withColumns({c: F.lit(1) for c in ("shard", "bucket", "size", "words", "fp", "n_words", "row", "root")})
+    return df.withColumns({c: F.lit(1) for c in ("shard", "bucket", "size", "words", "fp", "n_words", "row", "root", "kinds", "found", "text_key", "held", "t", "ws", "codes", "same", "d2", "leaf", "doc", "line", "place", "key")})
+
+
+def with_own_names(df):
+    """With extra columns named as the operators name theirs."""
+    from pyspark.sql import functions as F
+
+    return df.withColumns({c: F.lit(7) for c in ("__n", "__key", "__fp", "__at", "__nth", "__same", "__group", "__keep", "__source", "__text_key", "__spans", "__bad")})

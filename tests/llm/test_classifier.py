@@ -1,3 +1,5 @@
+import math
+import re
 import zlib
 
 import numpy as np
@@ -41,3 +43,38 @@ def test_density_is_that_of_the_normal():
         y = x[0] - v.mean(0)
         logs.append(-0.5 * (np.einsum("ij,jk,ik->i", y, np.linalg.inv(c), y) + np.linalg.slogdet(c)[1]))
     assert np.allclose(model.score(x[0]), 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -60, 60))))
+
+
+def plain_vector(text):
+    text = text or ""
+    raw = text.encode()
+    words, n, size = re.findall(r"[^\x20\x09-\x0d]+", text), 0, len(raw) + 1
+    n = len(words) + 1
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0d]", x)]
+    of = lambda chars: sum(text.count(c) for c in chars)
+    upper = sum("A" <= c <= "Z" for c in text)
+    letters = sum(c.isascii() and c.isalpha() for c in text)
+    echo = sum(words[i] == words[i - 1] for i in range(1, len(words)))
+    roots = [of("#$%&*<>") / n, of("|") / n, of("!?:;=@~^_\\/{}[]()+") / n, upper / size]
+    more = [of(".,") / n, of("0123456789") / size, len(lines) / n, (len(lines) - len(set(lines))) / (len(lines) + 1), letters / size]
+    return [*map(math.sqrt, roots), math.log(len(set(words)) + 1) / math.log(n + 1), math.sqrt(echo / n), math.log(size / n), *map(math.sqrt, more)]
+
+
+def test_the_query_is_what_plain_code_makes_of_it(spark):
+    here = "/root/testdata/sf0.01"
+    docs = {r.doc_id: plain_vector(r.text) for r in spark.read.parquet(f"{here}/documents.parquet").collect()}
+    learnt = [(r.quality, docs[r.doc_id]) for r in spark.read.parquet(f"{here}/labels.parquet").collect() if r.quality in (0, 1) and zlib.crc32(str(r.doc_id).encode()) % 5]
+    own = {k: np.array([x for y, x in learnt if y == k]) for k in (0, 1)}
+    spread = {k: np.cov(x.T, bias=True) for k, x in own.items()}
+    pooled = sum(len(own[k]) * spread[k].diagonal() for k in (0, 1)) / len(learnt)
+    odds = math.log((len(own[1]) + 1) / (len(own[0]) + 1))
+    x, density = np.array(list(docs.values())), []
+    for k in (0, 1):
+        cov = (1 - classifier.SHRINK) * spread[k] + np.diag(classifier.SHRINK * pooled + classifier.FLOOR**2)
+        z = x - own[k].mean(0)
+        density.append(-0.5 * (np.einsum("ij,jk,ik->i", z, np.linalg.inv(cov), z) + np.linalg.slogdet(cov)[1]))
+    want = 1 / (1 + np.exp(-np.clip(odds + density[1] - density[0], -60, 60)))
+    got = {r.doc_id: r for r in classifier.query(spark, here).collect()}
+    assert list(map(len, (got, want))) == [len(docs)] * 2
+    assert np.allclose([got[d].score for d in docs], want, rtol=1e-6, atol=1e-9)
+    assert all(got[d].held_out == (zlib.crc32(str(d).encode()) % 5 == 0) and got[d].predicted == (got[d].score >= 0.3) for d in docs)

@@ -4,7 +4,8 @@ import numpy as np
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from gridloom.llm import mixing, quality, tokenfiles
+from gridloom.llm import decontaminate, mixing, quality, simhash, tokenfiles
+from tests.llm.data import frame, rows, with_own_names
 from tests.llm.test_decontaminate import brute as contaminated
 from tests.llm.test_simhash import groups
 from gridloom.llm.simhash import fingerprints
@@ -50,3 +51,13 @@ def test_empty_documents(spark, tmp_path):
     for t in ("documents", "benchmark"):
         spark.read.parquet(f"{HERE}/{t}.parquet").limit(0).write.parquet(f"file://{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
+
+
+def test_columns_named_as_the_operators_own_come_through(spark):
+    docs = with_own_names(frame(spark, [r for r in rows() if r[0] != 67]))
+    bench = spark.createDataFrame([(1, "w1 w2 w3")], "item_id long, text string")
+    for step in (quality.cleaned, lambda d: simhash.deduplicated(spark, d), lambda d: decontaminate.decontaminated(spark, d, bench), mixing.mixture):
+        plain = docs.drop(*[c for c in docs.columns if c.startswith("__")])
+        got = step(docs)
+        assert got.columns == docs.columns and all(r["__key"] == 7 for r in got.collect())
+        assert sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in step(plain).collect())
