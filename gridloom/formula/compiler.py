@@ -57,10 +57,44 @@ def guarded(kind: str, value: Column, *errors) -> V:
     return V(kind, value if error is None else F.when(error.isNull(), value), error)
 
 
+class Bindings:
+    """Expressions that a formula uses several times, as columns of projections beneath it. A formula's first one
+    goes into the first projection, the next one, which may use it, into the second, and so on."""
+
+    def __init__(self) -> None:
+        self.layers: list[list[Column]] = []
+        self.own: list[Column] = []
+        self.count = 0
+
+    def add(self, value: Column) -> Column:
+        name = f"__bound{self.count}"
+        self.count += 1
+        self.own.append(value.alias(name))
+        return F.col(name)
+
+    def keep(self) -> None:
+        """Ends a formula."""
+        self.layers += [[] for _ in range(len(self.own) - len(self.layers))]
+        for layer, value in zip(self.layers, self.own, strict=False):
+            layer.append(value)
+        self.own = []
+
+    def over(self, df: DataFrame) -> DataFrame:
+        return reduce(lambda d, layer: d.select("*", *layer), self.layers, df)
+
+
+_bindings: Bindings | None = None
+
+
+def once(value: Column) -> Column:
+    """value, to be used several times; where a projection's formulas are compiled it is evaluated once a row."""
+    return value if _bindings is None else _bindings.add(value)
+
+
 def finite(value: Column, *errors) -> V:
     """A number, or #NUM! where it is infinite or none."""
-    bad = value.isNull() | F.isnan(value) | (F.abs(value) == float("inf"))
-    return guarded(N, value, *errors, (bad, "#NUM!"))
+    value = once(value)
+    return guarded(N, value, *errors, (~(value * 0.0).eqNullSafe(F.lit(0.0)), "#NUM!"))
 
 
 def number(v: V) -> V:
@@ -74,10 +108,14 @@ def number(v: V) -> V:
     return guarded(N, F.when(v.value.isNull(), F.lit(0.0)).otherwise(parsed), v.error, (v.value.isNotNull() & parsed.isNull(), "#VALUE!"))
 
 
+#: White space around numbers in texts.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def text_number(text: Column) -> Column:
-    t = F.trim(text)
+    t = F.btrim(text, F.lit(WHITE))
     percent = t.endswith("%")
-    t = F.trim(F.regexp_replace(t, "%$", ""))
+    t = F.btrim(F.regexp_replace(t, "%$", ""), F.lit(WHITE))
     x = F.when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), t.try_cast("double"))
     x = F.when(F.abs(x) < float("inf"), x)
     return F.when(percent, x / 100).otherwise(x)
@@ -111,7 +149,7 @@ def boolean(v: V) -> V:
         return V(B, F.lit(False), v.error)
     if v.kind == N:
         return V(B, F.coalesce(v.value != 0, F.lit(False)), v.error)
-    low = F.lower(F.trim(v.value))
+    low = F.lower(v.value)
     return guarded(B, F.coalesce(low == "true", F.lit(False)), v.error, (v.value.isNotNull() & ~low.isin("true", "false"), "#VALUE!"))
 
 
@@ -337,8 +375,26 @@ def _numbers(c: Compiler, args, *defaults: float) -> tuple[list[Column], Column
     return [v.value for v in vs], first_error(*vs)
 
 
+def _whole(x: Column, how) -> Column:
+    """floor or ceil of a double as a double: beyond 2^53 all are whole, and a long could not hold them."""
+    return F.when(F.abs(x) < 2.0**53, how(x).cast("double")).otherwise(x)
+
+
 def _trunc(x: Column) -> Column:
-    return F.signum(x) * F.floor(F.abs(x))
+    return F.signum(x) * _whole(F.abs(x), F.floor)
+
+
+#: Twice the most by which rounding to 15 digits, and that of a product once more, can change a number.
+NEAR = 2.5e-14
+
+
+def _steady(x: Column, halves: bool = False) -> Column:
+    """x as 15 digits show it wherever that could change its whole part (halves: what it rounds to). Only
+    numbers next to a whole one (a half) take the slow way through digits."""
+    x = once(x)
+    u = x * 2 if halves else x
+    r = once(F.rint(u))
+    return F.when((u == r) & (F.abs(u) < 1e15), x).when(F.abs(u - r) <= F.abs(u) * NEAR, round_sig(x)).otherwise(x)
 
 
 def _int(x: Column, most: float = 1e8) -> Column:
@@ -346,26 +402,25 @@ def _int(x: Column, most: float = 1e8) -> Column:
     return F.greatest(F.least(x, F.lit(most)), F.lit(-most)).cast("int")
 
 
-def _decimal(x: Column) -> Column:
-    """Exact digits of what 15 digits show of x."""
-    return F.format_string("%.14e", x).try_cast("decimal(38,16)")
-
-
 @scalar("ROUND ROUNDUP ROUNDDOWN")
 def _(c, name, args):
     (x, d), error = _numbers(c, args)
     literal = args[1]
     sign = isinstance(literal, p.Unary) and literal.op == "-"
     literal = literal.of if sign else literal
-    if not isinstance(literal, p.Number):
-        scale = F.pow(F.lit(10.0), _trunc(d))
-        y = round_sig(F.abs(x) * scale)
-        y = {"ROUND": F.floor(y + 0.5), "ROUNDUP": F.ceil(y), "ROUNDDOWN": F.floor(y)}[name]
-        return finite(round_sig(F.signum(x) * y / scale), error)
-    k = int(literal.value) * (-1 if sign else 1)
-    exact = _decimal(F.abs(x))
-    near = {"ROUND": lambda: F.round(exact, k), "ROUNDUP": lambda: F.ceil(exact, F.lit(k)), "ROUNDDOWN": lambda: F.floor(exact, F.lit(k))}[name]()
-    return finite(F.signum(x) * near.cast("double"), error)
+    if isinstance(literal, p.Number):
+        k = max(-400, min(400, int(literal.value) * (-1 if sign else 1)))
+        scale, back = F.lit(float(f"1e{k}")), F.lit(float(f"1e{-k}"))
+    else:
+        k, scale, back = None, F.pow(F.lit(10.0), _trunc(d)), None
+    y = _steady(F.abs(x) * scale, halves=name == "ROUND")
+    y = once(y + 0.5 if name == "ROUND" else y)
+    y = once(_whole(y, F.ceil if name == "ROUNDUP" else F.floor))
+    if k is None or abs(k) > 15:
+        return finite(F.signum(x) * round_sig(F.try_divide(y, scale)), error, (scale == 0, "#NUM!"))
+    # a whole number of up to 15 digits by an exact power of ten is the nearest double there is
+    moved = y * back if k < 0 else y / scale
+    return finite(F.signum(x) * F.when(y < 1e15, moved).otherwise(round_sig(moved)), error)
 
 
 def _one(name: str, f, *bad):
@@ -375,15 +430,15 @@ def _one(name: str, f, *bad):
         return finite(f(x), error, *[(test(x), code) for test, code in bad])
 
 
-_one("INT", lambda x: F.floor(x).cast("double"))
+_one("INT", lambda x: _whole(x, F.floor))
 _one("ABS", F.abs)
 _one("SIGN", F.signum)
 _one("SQRT", F.sqrt, (lambda x: x < 0, "#NUM!"))
 _one("LN", F.ln, (lambda x: x <= 0, "#NUM!"))
 _one("LOG10", F.log10, (lambda x: x <= 0, "#NUM!"))
 _one("EXP", F.exp)
-_one("EVEN", lambda x: F.signum(x) * F.ceil(F.abs(x) / 2) * 2.0)
-_one("ODD", lambda x: F.when(F.abs(x) <= 1, F.when(x < 0, F.lit(-1.0)).otherwise(F.lit(1.0))).otherwise(F.signum(x) * (F.ceil((F.abs(x) - 1) / 2) * 2.0 + 1)))
+_one("EVEN", lambda x: F.signum(x) * _whole(F.abs(x) / 2, F.ceil) * 2.0)
+_one("ODD", lambda x: F.when(F.abs(x) <= 1, F.when(x < 0, F.lit(-1.0)).otherwise(F.lit(1.0))).otherwise(F.signum(x) * (_whole((F.abs(x) - 1) / 2, F.ceil) * 2.0 + 1)))
 
 
 @scalar("ISEVEN ISODD")
@@ -418,17 +473,17 @@ def _(c, _n, args):
 @scalar("CEILING FLOOR")
 def _(c, name, args):
     (x, s), error = _numbers(c, args)
-    q = round_sig(F.try_divide(x, s))
-    return finite(F.when((s == 0) | (x == 0), F.lit(0.0)).otherwise((F.ceil(q) if name == "CEILING" else F.floor(q)) * s), error, ((x > 0) & (s < 0), "#NUM!"))
+    q = _whole(once(_steady(F.try_divide(x, s))), F.ceil if name == "CEILING" else F.floor)
+    return finite(F.when((s == 0) | (x == 0), F.lit(0.0)).otherwise(q * s), error, ((x > 0) & (s < 0), "#NUM!"))
 
 
 @scalar("CEILING.MATH FLOOR.MATH")
 def _(c, name, args):
     (x, s, mode), error = _numbers(c, args, 0.0, 1.0, 0.0)
     s = F.abs(s)
-    q = round_sig(F.try_divide(x, s))
+    q = once(_steady(F.try_divide(x, s)))
     turned = (x < 0) & (mode != 0)
-    up, down = F.ceil(q) * s, F.floor(q) * s
+    up, down = _whole(q, F.ceil) * s, _whole(q, F.floor) * s
     return finite(F.when(s == 0, F.lit(0.0)).when(turned, down if name == "CEILING.MATH" else up).otherwise(up if name == "CEILING.MATH" else down), error)
 
 
@@ -442,13 +497,13 @@ def _(c, _n, args):
 def _(c, _n, args):
     (x, m), error = _numbers(c, args)
     q = F.try_divide(x, m)
-    return finite(F.when((x == 0) | (m == 0), F.lit(0.0)).otherwise(round_sig(F.round(_decimal(q), 0).cast("double") * m)), error, (x * m < 0, "#NUM!"))
+    return finite(F.when((x == 0) | (m == 0), F.lit(0.0)).otherwise(round_sig(F.signum(q) * _whole(once(_steady(F.abs(q), halves=True) + 0.5), F.floor) * m)), error, (x * m < 0, "#NUM!"))
 
 
 @scalar("QUOTIENT")
 def _(c, _n, args):
     (a, b), error = _numbers(c, args)
-    return finite(_trunc(F.try_divide(a, b)), error, (b == 0, "#DIV/0!"))
+    return finite(_trunc(once(F.try_divide(a, b))), error, (b == 0, "#DIV/0!"))
 
 
 @scalar("TRUE FALSE")
@@ -613,14 +668,14 @@ def _(c, name, args):
 
 def _ymd(x: Column) -> tuple[Column, Column, Column]:
     """Year, month and day of a serial, with the day that never was."""
-    day, n = from_serial(x), F.floor(x)
+    day, n = once(from_serial(x)), once(F.floor(x))
     return tuple(F.when(n == 60, F.lit(odd)).when(n == 0, F.lit(zero)).otherwise(f(day)) for f, odd, zero in ((F.year, 1900, 1900), (F.month, 2, 1), (F.dayofmonth, 29, 0)))
 
 
 def _month_start(months: Column) -> tuple[Column, Column]:
     """The serial of the first day of a month counted from year 0, and the month's days."""
-    first = F.add_months(F.lit("1900-01-01").cast("date"), months - 22_800)
-    n = F.datediff(first, F.lit("1899-12-30").cast("date"))
+    first = once(F.add_months(F.lit("1900-01-01").cast("date"), months - 22_800))
+    n = once(F.datediff(first, F.lit("1899-12-30").cast("date")))
     return F.when(n > 60, n).otherwise(n - 1), F.when(months == 22_801, F.lit(29)).otherwise(F.dayofmonth(F.last_day(first)))
 
 
@@ -652,12 +707,18 @@ def _(c, _n, args):
 @scalar("EDATE EOMONTH")
 def _(c, name, args):
     (x, m), e = _numbers(c, args)
+    # from March 1900 on serials are days on end, so dates serve; the rest goes by years and months
+    x, m = once(x), once(_int(_trunc(m), 1e5))
+    moved = once(F.add_months(from_serial(x), m))
+    plain = once((x >= 61) & (x <= 2_958_466) & (F.abs(m) < 24_000) & moved.between(F.lit("1900-03-01").cast("date"), F.lit("9999-12-31").cast("date")))
+    quick = F.datediff(F.last_day(moved) if name == "EOMONTH" else moved, F.lit("1899-12-30").cast("date"))
     year, month, day = _ymd(x)
-    months = year * 12 + month - 1 + _int(_trunc(m), 1e5)
-    months = F.when((months >= 0) & (months < 22_800), months + 22_800).otherwise(months)
+    months = year * 12 + month - 1 + m
+    months = once(F.when(plain, F.lit(None)).otherwise(F.when((months >= 0) & (months < 22_800), months + 22_800).otherwise(months)))
     first, days = _month_start(months)
     out = first + (days if name == "EOMONTH" else F.least(day, days)) - 1
-    return guarded(N, out.cast("double"), e, ((x < 0) | (x > 2_958_466) | (months < 22_800) | (months >= 120_000) | (out < 0), "#NUM!"))
+    bad = (x < 0) | (x > 2_958_466) | (months < 22_800) | (months >= 120_000) | (out < 0)
+    return guarded(N, F.when(plain, quick).otherwise(out).cast("double"), e, (F.when(plain, F.lit(False)).otherwise(bad), "#NUM!"))
 
 
 @scalar("DAYS")
@@ -963,14 +1024,21 @@ def with_formulas(df: DataFrame, formulas: dict[str, str], errors: bool = True,
     """df with a column for each formula, one projection for all, and a column __err for its errors.
 
     A formula whose value is of no one kind becomes struct<k, n, s, b> with the kind of each row."""
-    c, out = RowCompiler(df, order), []
-    for alias, f in formulas.items():
-        try:
-            out += _shown(c.compile(f), alias, errors)
-        except Unsupported:
-            value = c.tagged(p.parse(f))
-            out += [value["v"].alias(alias), *[value["e"].alias(f"{alias}__err")] * errors]
-    return df.select("*", *out)
+    global _bindings
+    c, out, bound = RowCompiler(df, order), [], Bindings()
+    _bindings = bound
+    try:
+        for alias, f in formulas.items():
+            try:
+                out += _shown(c.compile(f), alias, errors)
+            except Unsupported:
+                bound.own = []
+                value = c.tagged(p.parse(f))
+                out += [value["v"].alias(alias), *[value["e"].alias(f"{alias}__err")] * errors]
+            bound.keep()
+    finally:
+        _bindings = None
+    return bound.over(df).select(*[F.col(f"`{x}`") for x in df.columns], *out)
 
 
 def aggregated(df: DataFrame, formulas: dict[str, str], by: Iterable[str] = (), errors: bool = True, order: Column | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
-from decimal import ROUND_HALF_UP, Decimal
+from decimal import Decimal
 
 
 @dataclass(frozen=True)
@@ -89,7 +89,8 @@ def to_bool(v) -> bool:
         return v != 0
     if isinstance(v, Err):
         return fail(v.code)
-    return {"true": True, "false": False}.get(v.strip().lower(), None) if v.strip().lower() in ("true", "false") else fail("#VALUE!")
+    low = v.lower()
+    return low == "true" if low in ("true", "false") else fail("#VALUE!")
 
 
 def _rank(v) -> int:
@@ -120,15 +121,6 @@ def same(a, b) -> bool:
     return _rank(a) == _rank(b) and compare(a, b) == 0
 
 
-def decimal_round(x: float, digits: int, how=ROUND_HALF_UP) -> float:
-    """Rounds what 15 digits show of x, by default halves away from zero."""
-    if x == 0 or not math.isfinite(x):
-        return x
-    if digits > 300:
-        return x
-    return float(Decimal(f"{x:.14e}").quantize(Decimal(1).scaleb(-digits), rounding=how)) if abs(x) >= 10.0 ** min(300, -digits - 1) / 10 else 0.0
-
-
 def wildcard(pattern: str, whole: bool = True) -> re.Pattern:
     """* and ? stand for text, ~ takes the next one as it is; case does not count."""
     out, i = "", 0

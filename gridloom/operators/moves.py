@@ -65,8 +65,9 @@ class LineMove:
         return out
 
     def span(self, a: int, b: int) -> tuple[int, int] | None:
-        """Where a range of lines goes: it keeps its ends with what it held; lines that leave make it
-        shrink, lines that come in make it grow."""
+        """Where a range of lines goes. A range around both the block and its destination stays as it is; one
+        inside the block goes with it. Any other has its ends where the outermost of its own lines go that
+        stay in place: lines that leave make it shrink, lines that come in between make it grow."""
         if self.kind == "insert":
             return self.line(a), self.line(b)
         if self.kind == "delete":
@@ -74,23 +75,38 @@ class LineMove:
             lo = self.first if kept[0] is None else kept[0]
             hi = self.first - 1 if kept[1] is None else kept[1]
             return (lo, hi) if lo <= hi else None
-        first, last, before = self.first, self.first + self.count - 1, self.before
-        if first <= a and b <= last:
-            return self.line(a), self.line(b)
-        inside = max(0, min(b, last) - max(a, first) + 1)  # of the range's lines, those that move
-        target_in = a < before <= b
-        size = b - a + 1 - inside
-        rest = [i for i in (a, b) if not first <= i <= last]
-        if target_in and inside == self.count:
+        first, last = self.first, self.first + self.count - 1
+        if a <= first and last <= b and a <= self.before <= b + 1:
             return a, b
-        if not rest:
-            return self.line(a), self.line(b)
-        lo = a if not first <= a <= last else last + 1
-        lo = self.line(lo)
-        if target_in:
-            size += self.count
-            lo = min(lo, self.line(first)) if before == a else lo
-        return lo, lo + size - 1
+        if not (first <= a and b <= last):
+            a = last + 1 if first <= a <= last else a
+            b = first - 1 if first <= b <= last else b
+        return self.line(a), self.line(b)
+
+    def pieces(self, a: int, b: int) -> list[tuple[int, int]]:
+        """A range of lines where they end up, as runs of adjacent lines in order; for what may fall apart,
+        such as the area of a rule."""
+        runs: list[tuple[int, int]] = []
+        steps = sorted({a, b + 1, *(x for lo, hi, _ in self._steps() for x in (lo, hi + 1) if a < x <= b)})
+        for lo, end in zip(steps, steps[1:], strict=False):
+            if (at := self.line(lo)) is not None:
+                runs.append((at, at + end - lo - 1))
+        out: list[tuple[int, int]] = []
+        for lo, hi in sorted(runs):
+            if out and lo == out[-1][1] + 1:
+                out[-1] = (out[-1][0], hi)
+            else:
+                out.append((lo, hi))
+        return out
+
+    def torn(self, a: int, b: int) -> bool:
+        """Whether the lines a to b, of a merge or a table, would not stay together."""
+        edges = {"move": (self.first, self.first + self.count, self.before), "insert": (self.first,), "delete": ()}[self.kind]
+        return any(a < x <= b for x in edges)
+
+    def pushed_off(self, used: int, limit: int) -> bool:
+        """Whether lines in use would go beyond the sheet's last one."""
+        return self.kind == "insert" and used >= self.first and used + self.count > limit
 
 
 _REFERENCE = re.compile(
@@ -144,7 +160,8 @@ def renamed_formula(formula: str, old: str, new: str) -> str:
     return pattern.sub(one, formula)
 
 
-#: What sheet names may not hold, and their length.
+#: Lines of a sheet; what sheet names may not hold, and their length.
+ROWS, COLUMNS = 1_048_576, 16_384
 BAD_IN_NAMES, NAME_LENGTH = "[]:*?/\\", 31
 
 
@@ -168,3 +185,55 @@ def moved_cells(cells: DataFrame, sheet: int, name: str, move: LineMove, rows: b
     plain = placed.filter("formula is null")
     return plain.unionByName(placed.filter("formula is not null").withColumn("formula", follow("formula", "sheet")))
 
+
+def checked(move: LineMove, sheet: int, merges: list[dict], used: int = 0, rows: bool = True) -> None:
+    """Refuses a move that would tear a merged area (sheet, r1, c1, r2, c2) or push lines in use off the sheet."""
+    limit = ROWS if rows else COLUMNS
+    if move.pushed_off(used, limit):
+        raise ValueError("lines in use would go beyond the end of the sheet")
+    lo, hi = ("r1", "r2") if rows else ("c1", "c2")
+    if any(m["sheet"] == sheet and move.torn(m[lo], m[hi]) for m in merges):
+        raise ValueError("a merged area would be torn")
+
+
+def moved_areas(areas: DataFrame, sheet: int, move: LineMove, rows: bool = True) -> DataFrame:
+    """Areas (sheet, r1, c1, r2, c2, ...), such as merges, tables or targets of names, after lines of a sheet have
+    moved; those whose lines are all deleted go. Plain expressions: an area's ends follow the rule of span()."""
+    lo, hi = ("r1", "r2") if rows else ("c1", "c2")
+    a, b, own = F.col(lo), F.col(hi), F.col("sheet") == sheet
+    if move.kind == "delete":
+        first, last = move.first, move.first + move.count - 1
+        ends = F.when(a.between(first, last), first).otherwise(move.column(a)), F.when(b.between(first, last), first - 1).otherwise(move.column(b))
+    elif move.kind == "insert":
+        ends = move.column(a), move.column(b)
+    else:
+        first, last = move.first, move.first + move.count - 1
+        around = (a <= first) & (b >= last) & (a <= move.before) & (b + 1 >= move.before)
+        within = (a >= first) & (b <= last)
+        start = F.when(a.between(first, last) & ~within, last + 1).otherwise(a)
+        end = F.when(b.between(first, last) & ~within, first - 1).otherwise(b)
+        ends = F.when(around, a).otherwise(move.column(start)), F.when(around, b).otherwise(move.column(end))
+    moved = areas.withColumns({lo: F.when(own, ends[0]).otherwise(a).cast("int"), hi: F.when(own, ends[1]).otherwise(b).cast("int")})
+    return moved.filter(F.col(lo) <= F.col(hi))
+
+
+def moved_sizes(sizes: DataFrame, sheet: int, move: LineMove) -> DataFrame:
+    """Sizes of lines (sheet, line, ...) after lines of a sheet have moved; those of deleted lines go."""
+    return sizes.withColumn("line", F.when(F.col("sheet") == sheet, move.column(F.col("line"))).otherwise(F.col("line")).cast("int")).filter("line is not null")
+
+
+def moved_names(names: dict[str, str], sheet: str, move: LineMove, rows: bool = True) -> dict[str, str]:
+    """Defined names' formulas after lines of a sheet have moved."""
+    return {k: moved_formula(v, "", sheet, move, rows) for k, v in names.items()}
+
+
+def renamed_cells(cells: DataFrame, old: str, new: str) -> DataFrame:
+    """All cells after a sheet's new name: formulas that refer to it follow."""
+
+    @F.pandas_udf("string")
+    def follow(formula: pd.Series) -> pd.Series:
+        return formula.map(lambda f: renamed_formula(f, old, new), na_action="ignore")
+
+    # only formulas that name a sheet are looked at in Python
+    names = F.coalesce(F.contains(F.col("formula"), F.lit("!")), F.lit(False))
+    return cells.filter(~names).unionByName(cells.filter(names).withColumn("formula", follow("formula")))

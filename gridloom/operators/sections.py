@@ -5,7 +5,8 @@ blocks: (doc_id, ord, level, text), level 0 for text and 1 on for headings.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+import functools
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -16,25 +17,36 @@ from gridloom.operators.text import title_key
 
 def from_headings(blocks: DataFrame) -> DataFrame:
     """(doc_id, key, title, first, last, depth, parent) for each heading: it lasts until the next heading
-    of its level or a higher one. Keys that a document repeats get -2, -3, ..."""
+    of its level or a higher one. Keys that a document repeats get -2, -3, ... Of each document the last
+    heading of every level is carried along in an array, so nothing but a heading's levels is held for it."""
     heads = blocks.filter("level > 0")
     ends = blocks.groupBy("doc_id").agg(F.max("ord").alias("__end"))
-    w = Window.partitionBy("doc_id").orderBy("ord")
-    ahead = F.collect_list(F.struct("ord", "level")).over(w.rowsBetween(1, Window.unboundedFollowing))  # one document's headings
-    behind = F.collect_list(F.struct("ord", "level")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    out = heads.withColumn("__ahead", ahead).withColumn("__behind", behind).join(ends, "doc_id")
-    stop = F.try_element_at(F.filter("__ahead", lambda x: x["level"] <= F.col("level")), F.lit(1))["ord"]
-    # ancestors: earlier headings above this level with none between that is as high
-    above = F.aggregate("__behind", F.array().cast("array<struct<ord:int,level:int>>"), lambda s, x: F.concat(F.filter(s, lambda y: y["level"] < x["level"]), F.array(F.struct(x["ord"].cast("int").alias("ord"), x["level"].cast("int").alias("level")))))
-    parents = F.filter(above, lambda y: y["level"] < F.col("level"))
-    out = out.withColumn("__parents", parents).withColumn("last", F.coalesce(stop - 1, F.col("__end")))
+    top = heads.agg(F.max("level")).first()[0] or 0  # levels are few
+    by_doc = Window.partitionBy("doc_id").orderBy("ord")
+    ahead = by_doc.rowsBetween(1, Window.unboundedFollowing)
+    behind = by_doc.rowsBetween(Window.unboundedPreceding, -1)
     base = title_key(F.col("text"))
     nth = F.row_number().over(Window.partitionBy("doc_id", base).orderBy("ord"))
-    out = out.withColumn("key", F.when(nth == 1, base).otherwise(F.concat(base, F.lit("-"), nth.cast("string"))))
-    keyed = out.select("doc_id", F.col("ord").alias("__ord"), F.col("key").alias("parent"))
-    out = out.withColumn("__up", F.try_element_at("__parents", F.lit(-1))["ord"])
-    joined = out.join(keyed, (out["doc_id"] == keyed["doc_id"]) & (F.col("__up") == F.col("__ord")), "left")
-    return joined.select(out["doc_id"], "key", F.col("text").alias("title"), F.col("ord").alias("first"), "last", F.size("__parents").alias("depth"), "parent")
+    out = heads.withColumn("key", F.when(nth == 1, base).otherwise(F.concat(base, F.lit("-"), nth.cast("string"))))
+    # the next heading that ends one of a level is the next of that level or a higher one
+    stop = functools.reduce(lambda rest, k: F.when(F.col("level") == k, F.min(F.when(F.col("level") <= k, F.col("ord"))).over(ahead)).otherwise(rest), range(1, top + 1), F.lit(None).cast("int"))
+    out = out.withColumn("__stop", stop)
+    # a level's last heading is an ancestor if none of a higher level, and none of it, has ended it since
+    lasts = [F.max_by(F.when(F.col("level") == k, F.struct("ord", "key")), F.when(F.col("level") == k, F.col("ord"))).over(behind) for k in range(1, top)]
+    out = out.withColumns({f"__l{k}": x for k, x in enumerate(lasts, 1)})
+    none = F.lit(None).cast(out.schema["__l1"].dataType) if lasts else F.lit(None)
+    ups: list = []
+    for k in range(1, top):
+        higher = [F.coalesce(F.col(f"__l{j}.ord"), F.lit(-1)) for j in range(1, k)]
+        open_ = F.col(f"__l{k}").isNotNull() & (F.col("level") > k)
+        if higher:
+            open_ = open_ & (F.col(f"__l{k}.ord") > (F.greatest(*higher) if len(higher) > 1 else higher[0]))
+        ups.append(F.when(open_, F.col(f"__l{k}")).otherwise(none))
+    chain = F.array_compact(F.array(*ups)) if ups else None
+    depth = F.size(chain) if ups else F.lit(0)
+    parent = F.try_element_at(chain, F.lit(-1))["key"] if ups else F.lit(None).cast("string")
+    joined = out.withColumns({"__depth": depth, "__parent": parent}).join(ends, "doc_id")
+    return joined.select("doc_id", "key", F.col("text").alias("title"), F.col("ord").alias("first"), F.coalesce(F.col("__stop") - 1, F.col("__end")).alias("last"), F.col("__depth").alias("depth"), F.col("__parent").alias("parent"))
 
 
 def contents(blocks: DataFrame, sections: DataFrame) -> DataFrame:
@@ -46,66 +58,114 @@ def contents(blocks: DataFrame, sections: DataFrame) -> DataFrame:
 
 
 def longest_rising(xs: list[int]) -> set[int]:
-    """Places of one longest strictly rising run within xs."""
-    tails: list[int] = []
-    at: list[int] = []
+    """Places of the longest strictly rising run within xs that ends first, and of those the one whose places
+    before come first. Runs of one length end in falling values, so each pile is searched by halves."""
+    piles: list[tuple[list[int], list[int]]] = []  # of each length: the ends' values, negated, and places
     before: list[int | None] = []
     for i, x in enumerate(xs):
-        k = bisect_left(tails, x)
-        before.append(at[k - 1] if k else None)
-        tails[k : k + 1] = [x]
-        at[k : k + 1] = [i]
-    out, i = set(), at[-1] if at else None
+        lo, hi = 0, len(piles)
+        while lo < hi:
+            mid = (lo + hi) // 2
+            lo, hi = (mid + 1, hi) if -piles[mid][0][-1] < x else (lo, mid)
+        if lo == len(piles):
+            piles.append(([], []))
+        before.append(piles[lo - 1][1][bisect_right(piles[lo - 1][0], -x)] if lo else None)
+        piles[lo][0].append(-x)
+        piles[lo][1].append(i)
+    out, i = set(), piles[-1][1][0] if piles else None
     while i is not None:
         out.add(i)
         i = before[i]
     return out
 
 
+#: Sections of a schema at most: it is a table of a document type, held whole.
+MOST_SECTIONS = 10_000
+
+
+def schema_rows(schema: DataFrame) -> list[dict]:
+    """The sections of a schema (pos, key, parent, optional) in order. Keys are unique, parents come first."""
+    rows = [r.asDict() for r in schema.limit(MOST_SECTIONS + 1).collect()]
+    if len(rows) > MOST_SECTIONS:
+        raise ValueError(f"a schema of more than {MOST_SECTIONS} sections")
+    rows = sorted(({"parent": None} | r for r in rows), key=lambda r: r["pos"])
+    seen: set[str] = set()
+    for r in rows:
+        if r["key"] in seen or r["parent"] is not None and r["parent"] not in seen:
+            raise ValueError(f"a section twice, or before its parent: {r['key']}")
+        seen.add(r["key"])
+    return rows
+
+
 def validated(sections: DataFrame, schema: DataFrame, empty: DataFrame | None = None) -> DataFrame:
-    """(doc_id, key, issue) against an expected schema (pos, key, parent, optional): missing, duplicated,
-    parent, order, unexpected, and empty for the (doc_id, key) given. schema is a small table of its own."""
-    base = sections.withColumn("__key", F.regexp_replace("key", r"-\d+$", ""))
-    known = schema.select(F.col("key").alias("__want"), F.col("pos"), F.col("parent").alias("__parent"), "optional")
-    named = base.join(known.select("__want").distinct(), F.col("key") == F.col("__want"), "left")
-    named = named.withColumn("k", F.when(F.col("__want").isNotNull(), F.col("key")).otherwise(F.col("__key"))).select(*sections.columns, "k")
-    docs = sections.select("doc_id").distinct()
-    have = named.groupBy("doc_id", F.col("k").alias("key")).agg(F.count("*").alias("n"))
-    wanted = docs.join(F.broadcast(schema.filter("not optional").select("key")))  # a schema is a few rows
+    """(doc_id, key, issue) against a schema: missing, duplicated, unexpected; parent, order and (of required
+    ones) empty as the first section of a key in the document has it. empty: (doc_id, key) of empty sections."""
+    rows = schema_rows(schema)
+    known = sections.sparkSession.createDataFrame([(r["pos"], r["key"], r["parent"], r["optional"]) for r in rows], "pos int, __want string, __parent string, __optional boolean")
+    listed, required = (F.array(*[F.lit(r["key"]) for r in rows if not r["optional"] or every]).cast("array<string>") for every in (True, False))
+    # a schema is bounded, see above: a document's listed keys fit one array, and the schema may be broadcast
+    have = sections.groupBy("doc_id").agg(F.collect_set(F.when(F.array_contains(listed, F.col("key")), F.col("key"))).alias("__have"))
+    missing = have.select("doc_id", F.explode(F.array_except(required, "__have")).alias("key"))
+    counts = sections.groupBy("doc_id", "key").agg(F.count("*").alias("n"), F.min_by(F.struct("first", "parent"), "first").alias("__first"))
+    placed = counts.join(F.broadcast(known), F.col("key") == F.col("__want"), "left")
+    own = placed.filter("__want is not null")
     issue = lambda df, name: df.select("doc_id", "key", F.lit(name).alias("issue"))
     parts = [
-        issue(wanted.join(have, ["doc_id", "key"], "left_anti"), "missing"),
-        issue(have.join(schema.select("key"), "key").filter("n > 1"), "duplicated"),
-        issue(have.join(schema.select("key"), "key", "left_anti"), "unexpected"),
+        issue(missing, "missing"),
+        issue(own.filter("n > 1"), "duplicated"),
+        issue(placed.filter("__want is null"), "unexpected"),
+        issue(own.filter(~F.col("__first.parent").eqNullSafe(F.col("__parent"))), "parent"),
     ]
-    placed = named.join(known, F.col("k") == F.col("__want"))
-    parts.append(issue(placed.filter(~F.col("parent").eqNullSafe(F.col("__parent"))).select("doc_id", F.col("k").alias("key")), "parent"))
-
-    def disorder(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("first").drop_duplicates("k").reset_index(drop=True)
-        fine = longest_rising(pdf.pos.tolist())
-        return pd.DataFrame([(d, k, "order") for i, (d, k) in enumerate(zip(pdf.doc_id, pdf.k, strict=True)) if i not in fine], columns=["doc_id", "key", "issue"])
 
-    kind = dict(sections.dtypes)["doc_id"]
-    siblings = placed.select("doc_id", "k", "first", "pos", F.coalesce("__parent", F.lit("")).alias("__parent"))
-    parts.append(siblings.groupBy("doc_id", "__parent").applyInPandas(disorder, f"doc_id {kind}, key string, issue string"))
+    @F.pandas_udf("array<string>")
+    def disorder(groups: pd.Series) -> pd.Series:
+        out = []
+        for group in groups:
+            fine = longest_rising([x["pos"] for x in group])
+            out.append([x["key"] for i, x in enumerate(group) if i not in fine])
+        return pd.Series(out)
+
+    # siblings of a schema in the document's order: as many as the schema has at most
+    siblings = own.groupBy("doc_id", "__parent").agg(F.sort_array(F.collect_list(F.struct(F.col("__first.first").alias("first"), "pos", "key"))).alias("__group"))
+    several = siblings.filter(F.size("__group") > 1)
+    parts.append(issue(several.select("doc_id", F.explode(disorder("__group")).alias("key")), "order"))
     if empty is not None:
-        parts.append(issue(empty.join(schema.select("key"), "key"), "empty"))
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out.distinct()
-
-
-def planned(sections: DataFrame, schema: DataFrame) -> DataFrame:
-    """(doc_id, key, after): where missing sections go, after the nearest one before it in schema order that
-    is there or is itself planned; null for the start."""
-    docs = sections.select("doc_id").distinct()
-    grid = docs.join(F.broadcast(schema.select("pos", "key", "optional")))
-    there = sections.select("doc_id", "key").distinct().withColumn("__there", F.lit(True))
-    rows = grid.join(there, ["doc_id", "key"], "left").filter("__there or not optional")
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    return rows.withColumn("after", F.lag("key").over(w)).filter("__there is null").select("doc_id", "key", "after")
+        wanted = own.filter("not __optional").select("doc_id", "key")
+        parts.append(issue(wanted.join(empty.select("doc_id", "key").distinct(), ["doc_id", "key"], "left_semi"), "empty"))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def plan_of(rows: list[dict], present: frozenset[str], optional: bool = False) -> list[tuple[str, str, str | None, int]]:
+    """(key, place, relative_to, depth) of each section that is missing beside those present, in the order of the
+    schema: after the nearest sibling ahead of it that is there or planned, else before the next one that is there,
+    else inside its parent, else at the end. Sections of a parent that will not be there are left out."""
+    there, depth, out = set(present), {}, []
+    for at, r in enumerate(rows):
+        depth[r["key"]] = 0 if r["parent"] is None else depth[r["parent"]] + 1
+        if r["key"] in there or (r["optional"] and not optional) or (r["parent"] is not None and r["parent"] not in there):
+            continue
+        ahead = [x["key"] for x in rows[:at] if x["parent"] == r["parent"] and x["key"] in there]
+        behind = [x["key"] for x in rows[at + 1 :] if x["parent"] == r["parent"] and x["key"] in present]
+        place = ("after", ahead[-1]) if ahead else ("before", behind[0]) if behind else ("inside", r["parent"]) if r["parent"] is not None else ("end", None)
+        out.append((r["key"], *place, depth[r["key"]]))
+        there.add(r["key"])
+    return out
+
+
+def planned(sections: DataFrame, schema: DataFrame, optional: bool = False) -> DataFrame:
+    """(doc_id, nth, key, place, relative_to, depth): where missing sections go, see plan_of(). Documents that hold the
+    same sections share a plan, which each task makes once."""
+    rows = schema_rows(schema)
+    listed = F.array(*[F.lit(r["key"]) for r in rows]).cast("array<string>")
+    have = sections.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.when(F.array_contains(listed, F.col("key")), F.col("key")))).alias("__have"))
+
+    @F.pandas_udf("array<struct<key: string, place: string, relative_to: string, depth: int>>")
+    def plans(present: pd.Series) -> pd.Series:
+        made: dict = {}
+        names = ("key", "place", "relative_to", "depth")
+        return present.map(lambda x: made[k] if (k := frozenset(x)) in made else made.setdefault(k, [dict(zip(names, p, strict=True)) for p in plan_of(rows, k, optional)]))
+
+    return have.select("doc_id", F.posexplode(plans("__have")).alias("nth", "p")).select("doc_id", "nth", "p.*")
 
 
 def labels(items: DataFrame) -> DataFrame:

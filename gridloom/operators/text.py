@@ -8,32 +8,33 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: {{KEY: hint}}, {key: hint} or [pending text]; none of them crosses a line.
-_MARKER = r"\{\{([^{}\n]*)\}\}|\{([^{}\n]*)\}|\[([^\[\]\n]*)\]"
-_KEY = r"[\p{L}_][\p{L}\p{N}_.-]*"
-#: Bracketed texts that are no pending note: numbers and lists of them, a cross, sic.
-_NO_NOTE = r"(?i)^\s*$|^\s*\d+(\s*[-–,]\s*\d+)*\s*$|^\s*x\s*$|^\s*sic\s*$"
+#: The characters that end a line, which no marker crosses, and the rest of white space.
+_BREAK, _BLANK = "\\n\\r\\x0B\\u2028\\u2029", "\\t\\x0C \\x85\\xA0\\u1680\\u2000-\\u200A\\u202F\\u205F\\u3000"
+_INNER = rf"[^{{}}{_BREAK}]"
+#: {{KEY: hint}}, any key that is not blank; {key:hint} without white space.
+_DOUBLE = rf"\{{\{{[{_BLANK}]*(?![{_BLANK}:}}])((?:(?!:){_INNER})+)(?::({_INNER}*))?\}}\}}"
+_SINGLE = rf"\{{([^{{}}:{_BLANK}{_BREAK}]+)(?::([^{{}}{_BLANK}{_BREAK}]*))?\}}"
+#: [text], but for citations (numbers and lists of them), a cross or nothing in a box, and sic.
+_NOTE = rf"\[(?![{_BLANK}]*(?:[xX]|[sS][iI][cC])?[{_BLANK}]*\])(?![{_BLANK}]*[0-9,;\u2013 -]*[0-9][0-9,;\u2013 -]*[{_BLANK}]*\])([^\[\]{_BREAK}]*)\]"
+_MARKER = f"{_DOUBLE}|{_SINGLE}|{_NOTE}"
+#: Characters that fill a blank to be written on, so say nothing about it.
+_FILLER = "._-\u2026 \u00a0"
 
 SPAN = "kind string, syntax string, raw string, key string, hint string, start int, len int"
 
 
 def scan(text: str) -> list[tuple]:
-    """(kind, syntax, raw, key, hint, start, len) of each marker, offsets in code points."""
+    """(kind, syntax, raw, key, hint, start, len) of each marker, offsets in code points. What is no marker
+    hides none that begins inside it."""
     import regex
 
     out = []
     for m in regex.finditer(_MARKER, text):
-        syntax = "double" if m[1] is not None else "single" if m[2] is not None else "bracket"
-        inner = m[1] if m[1] is not None else m[2] if m[2] is not None else m[3]
-        if syntax == "bracket":
-            if regex.search(_NO_NOTE, inner):
-                continue
-            out.append(("pending", syntax, m[0], None, inner.strip(), m.start(), len(m[0])))
+        if (note := m[5]) is not None:
+            out.append(("pending", "bracket", m[0], None, note.strip() if note.strip().strip(_FILLER) else None, m.start(), len(m[0])))
             continue
-        key, _, hint = inner.partition(":")
-        key = key.strip()
-        if regex.fullmatch(_KEY, key):
-            out.append(("field", syntax, m[0], key, hint.strip() or None, m.start(), len(m[0])))
+        syntax, key, hint = ("double", m[1], m[2]) if m[1] is not None else ("single", m[3], m[4])
+        out.append(("field", syntax, m[0], key.strip(), (hint or "").strip() or None, m.start(), len(m[0])))
     return out
 
 
@@ -50,8 +51,8 @@ def markers(df: DataFrame, text: str) -> DataFrame:
 
 def field_keys(text: Column) -> Column:
     """The keys of a text's fields, each once, in order; generated code only."""
-    whole = F.regexp_extract_all(text, F.lit(rf"\{{\{{\s*({_KEY})\s*(?::[^{{}}\n]*)?\}}\}}|\{{\s*({_KEY})\s*(?::[^{{}}\n]*)?\}}"), F.lit(0))
-    return F.array_distinct(F.transform(whole, lambda m: F.trim(F.regexp_extract(m, rf"^\{{+\s*({_KEY})", 1))))
+    whole = F.filter(F.regexp_extract_all(text, F.lit(_MARKER), F.lit(0)), lambda m: m.startswith("{"))
+    return F.array_distinct(F.transform(whole, lambda m: F.regexp_extract(m, rf"^\{{+[{_BLANK}]*([^:}}]*[^:}}{_BLANK}])", 1)))
 
 
 def filled(text: Column, values: dict[str, str]) -> Column:
@@ -119,16 +120,17 @@ def statistics(df: DataFrame, text: str) -> DataFrame:
     return df.agg(F.count_if(words > 0).alias("paragraphs"), F.coalesce(F.sum(words), F.lit(0)).cast("long").alias("words"), F.coalesce(F.sum(F.length(t)), F.lit(0)).cast("long").alias("chars"))
 
 
-#: Letters with marks and what keys have for them.
-_MARKED, _BARE = "áàäâãéèëêíìïîóòöôõúùüûñç", "aaaaaeeeeiiiiooooouuuunc"
-KEY_LENGTH = 64
+#: Letters with marks and what keys have for them; the longest key, and that of a title without any.
+_MARKED, _BARE = "áàäâãåéèëêíìïîóòöôõúùüûñç", "aaaaaaeeeeiiiiooooouuuunc"
+KEY_LENGTH, NO_KEY = 64, "seccion"
 
 
 def title_key(title: Column) -> Column:
-    """A key from a title: without numbering and marks, in lower case, joined by -."""
-    low = F.translate(F.lower(F.regexp_replace(title, r"^\s*(\d+[.)]?)+\s*[-–.)]*\s*", "")), _MARKED, _BARE)
-    joined = F.regexp_replace(F.regexp_replace(low, r"[^\p{L}\p{N}]+", "-"), "^-+|-+$", "")
-    return F.regexp_replace(F.substring(joined, 1, KEY_LENGTH), "-+$", "")
+    """A key from a title: without numbering and marks, in lower case, joined by -; NO_KEY if nothing is left."""
+    low = F.translate(F.lower(F.regexp_replace(title, r"^\s*[0-9.)]*", "")), _MARKED, _BARE)
+    joined = F.regexp_replace(F.regexp_replace(low, r"[^\p{IsAlphabetic}\p{N}]+", "-"), "^-+|-+$", "")
+    key = F.regexp_replace(F.substring(joined, 1, KEY_LENGTH), "-+$", "")
+    return F.when(key == "", F.lit(NO_KEY)).otherwise(key)
 
 
 def next_markers(found: DataFrame, doc: str, order: str) -> DataFrame:

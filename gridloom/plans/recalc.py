@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.formula import parser as p
-from gridloom.formula.compiler import AGGREGATES, Compiler, RowCompiler, V, _shown
+from gridloom.formula.compiler import _TYPE, AGGREGATES, Compiler, RowCompiler, V, _shown
 from gridloom.formula.interpreter import Book, evaluate
 from gridloom.formula.parser import Invalid, Unsupported
 from gridloom.formula.values import Err, number_text
@@ -82,32 +82,35 @@ def _split(e: p.Expr, found: dict[str, p.Expr]) -> p.Expr:
 
 def recalculated(df: DataFrame, lanes: dict[str, str], order: Column | None = None) -> DataFrame:
     """df with a column for each lane and its errors in <lane>__err. Lanes may use each other in any order;
-    those in a cycle stay null with the error #CYCLE!. Aggregates of one level are made in a single pass
-    over the table and joined as the one row they are."""
+    those in a cycle stay null with the error #CYCLE!.
+
+    Lanes go by levels: all whose needs are there. What a level's lanes aggregate over whole columns is made in
+    one pass over the table and comes back as one row of values, which the lanes then hold as constants. So
+    the plan grows by a projection a level and never holds an aggregate of its own past."""
     parsed = {k.upper(): p.parse(v) for k, v in lanes.items()}
     named = {k.upper(): k for k in lanes}
-    order_of, cyclic = ordered({k: _used(e) & set(parsed) for k, e in parsed.items()})
-    out, kinds = df, {}
+    needs = {k: _used(e) & set(parsed) for k, e in parsed.items()}
+    order_of, cyclic = ordered(needs)
+    out, kinds, left = df, {}, [k for k in order_of if k not in cyclic]
     for k in order_of:
-        alias = named[k]
         if k in cyclic:
+            alias = named[k]
             out = out.withColumns({alias: F.lit(None).cast("double"), f"{alias}__err": F.lit("#CYCLE!")})
             kinds[k] = V("number", F.col(f"`{alias}`"), F.col(f"`{alias}__err`"), True)
-            continue
+    while left:
+        level = [k for k in left if needs[k] <= set(kinds)]
+        left = [k for k in left if k not in level]
         found: dict[str, p.Expr] = {}
-        rest = _split(parsed[k], found)
+        rest = {k: _split(parsed[k], found) for k in level}
         names = dict(kinds)
         if found:
             c = Compiler(out, order, names)
             made = {name: c.compile(e) for name, e in found.items()}
-            row = out.agg(*[x for name, v in made.items() for x in _shown(v, name)])
-            out = out.join(F.broadcast(row))  # one row
-            names |= {name: V(v.kind, F.col(name), F.col(f"{name}__err")) for name, v in made.items()}
-        v = RowCompiler(out, order, names).compile(rest)
-        value, error = _shown(v, alias)
-        keep = [F.col(f"`{x}`") for x in out.columns if x not in found and not x.removesuffix("__err") in found]
-        out = out.select(*keep, value, error)
-        kinds[k] = V(v.kind, F.col(f"`{alias}`"), F.col(f"`{alias}__err`"), True)
+            row = out.agg(*[x for name, v in made.items() for x in _shown(v, name)]).first()  # one row
+            names |= {name: V(v.kind, F.lit(row[name]).cast(_TYPE[v.kind]), F.lit(row[f"{name}__err"]).cast("string")) for name, v in made.items()}
+        compiled = {k: RowCompiler(out, order, names).compile(rest[k]) for k in level}
+        out = out.select("*", *[x for k, v in compiled.items() for x in _shown(v, named[k])])
+        kinds |= {k: V(v.kind, F.col(f"`{named[k]}`"), F.col(f"`{named[k]}__err`"), True) for k, v in compiled.items()}
     return out
 
 

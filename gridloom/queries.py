@@ -96,18 +96,11 @@ def _dates(orders):
     return with_formulas(orders.select("o_orderkey", "o_orderdate"), {"y": "YEAR(o_orderdate)", "m": "MONTH(o_orderdate)", "dd": "DAY(o_orderdate)", "wd": "WEEKDAY(o_orderdate)", "iso": "ISOWEEKNUM(o_orderdate)", "next": "EDATE(o_orderdate,1)", "eom": "EOMONTH(o_orderdate,0)", "days": "DAYS(DATE(2000,1,1),o_orderdate)", "work": "NETWORKDAYS(o_orderdate,DATE(1998,12,31))"}, errors=False).drop("o_orderdate")
 
 
-@query("""SELECT o_orderkey, year(o_orderdate)::DOUBLE AS y, month(o_orderdate)::DOUBLE AS m, day(o_orderdate)::DOUBLE AS dd, (dayofweek(o_orderdate) + 1)::DOUBLE AS wd, weekofyear(o_orderdate)::DOUBLE AS iso,
-  date_diff('day', DATE '1899-12-30', CAST(o_orderdate + INTERVAL 1 MONTH AS DATE))::DOUBLE AS next, date_diff('day', DATE '1899-12-30', last_day(CAST(o_orderdate AS DATE)))::DOUBLE AS eom, date_diff('day', CAST(o_orderdate AS DATE), DATE '2000-01-01')::DOUBLE AS days,
-  (SELECT count(*) FROM range(CAST(o_orderdate AS DATE)::TIMESTAMP, TIMESTAMP '1999-01-01', INTERVAL 1 DAY) t(x) WHERE dayofweek(x) NOT IN (0, 6))::DOUBLE AS work FROM orders WHERE o_orderdate < TIMESTAMP '1998-12-01'""")
-def dates_orders(spark, d):
-    return _dates(_t(spark, d, "orders").filter(F.col("o_orderdate") < F.lit("1998-12-01").cast("timestamp_ntz")))
-
-
 @query("""SELECT o_orderkey, year(o_orderdate)::DOUBLE AS y, month(o_orderdate)::DOUBLE AS m, day(o_orderdate)::DOUBLE AS dd, (dayofweek(o_orderdate) + 1)::DOUBLE AS wd, weekofyear(o_orderdate)::DOUBLE AS iso,
   date_diff('day', DATE '1899-12-30', CAST(o_orderdate + INTERVAL 1 MONTH AS DATE))::DOUBLE AS next, date_diff('day', DATE '1899-12-30', last_day(CAST(o_orderdate AS DATE)))::DOUBLE AS eom, date_diff('day', CAST(o_orderdate AS DATE), DATE '2000-01-01')::DOUBLE AS days,
   ((CASE WHEN CAST(o_orderdate AS DATE) > DATE '1998-12-31' THEN -1 ELSE 1 END) * (SELECT count(*) FROM range(least(CAST(o_orderdate AS DATE), DATE '1998-12-31')::TIMESTAMP, greatest(CAST(o_orderdate AS DATE), DATE '1998-12-31')::TIMESTAMP + INTERVAL 1 DAY, INTERVAL 1 DAY) t(x) WHERE dayofweek(x) NOT IN (0, 6)))::DOUBLE AS work FROM orders""")
-def dates_every_order(spark, d):
-    """As dates_orders, with the orders after NETWORKDAYS' end, whose days count negatively."""
+def dates_orders(spark, d):
+    """Orders after NETWORKDAYS' end have their days counted negatively."""
     return _dates(_t(spark, d, "orders"))
 
 
@@ -243,7 +236,7 @@ def move_rows(spark, d):
 @query("""SELECT n_name, CAST(CASE WHEN n_nationkey < 5 THEN n_nationkey ELSE n_nationkey - 3 END AS INT) AS row FROM nation WHERE n_nationkey NOT BETWEEN 5 AND 7""")
 def delete_rows(spark, d):
     cells = areas.to_cells(_t(spark, d, "nation"), ["n_name"], "n_nationkey")
-    return moves.moved_cells(cells, 1, "Hoja1", moves.LineMove.delete(5, 3)).select(F.col("s").alias("n_name"), "row")
+    return moves.moved_cells(cells, 1, "Stock", moves.LineMove.delete(5, 3)).select(F.col("s").alias("n_name"), "row")
 
 
 @query("""WITH p AS (SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS i, p_retailprice AS v FROM part), l AS (SELECT p_brand, regr_slope(v, i) AS b, regr_intercept(v, i) AS a, max(i) AS last FROM p GROUP BY p_brand HAVING count(*) > 1)
@@ -301,10 +294,15 @@ def _blocks(spark, d):
     return _t(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("ord"), level.alias("level"), "text")
 
 
-@query("""WITH b AS (SELECT DISTINCT conv_id, turn, CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 ELSE 0 END AS level FROM conversations)
-  SELECT conv_id AS doc_id, CAST(turn AS INT) AS first, CAST(coalesce((SELECT min(x.turn) FROM b x WHERE x.conv_id = b.conv_id AND x.turn > b.turn AND x.level > 0 AND x.level <= b.level) - 1, (SELECT max(x.turn) FROM b x WHERE x.conv_id = b.conv_id)) AS INT) AS last FROM b WHERE level > 0""")
+@query("""WITH b AS (SELECT conv_id, turn, role, CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 ELSE 0 END AS level FROM (SELECT DISTINCT conv_id, turn, role FROM conversations)),
+  k AS (SELECT *, role || CASE WHEN row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) = 1 THEN '' ELSE '-' || row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) END AS key FROM b WHERE level > 0),
+  u AS (SELECT *, (SELECT max_by(x.key, x.turn) FROM k x WHERE x.conv_id = k.conv_id AND x.turn < k.turn AND x.level < k.level) AS parent FROM k)
+  SELECT conv_id AS doc_id, key, CAST(turn AS INT) AS first, CAST(coalesce((SELECT min(x.turn) FROM b x WHERE x.conv_id = u.conv_id AND x.turn > u.turn AND x.level > 0 AND x.level <= u.level) - 1, (SELECT max(x.turn) FROM b x WHERE x.conv_id = u.conv_id)) AS INT) AS last,
+  CASE WHEN parent IS NULL THEN 0 ELSE 1 END AS depth, parent FROM u""")
 def sections_of_headings(spark, d):
-    return sections.from_headings(_blocks(spark, d).dropDuplicates(["doc_id", "ord", "level"])).select("doc_id", "first", "last")
+    role = _t(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("ord"), "role").distinct()
+    level = F.when(F.col("role") == "system", 1).when(F.col("role") == "user", 2).otherwise(0)
+    return sections.from_headings(role.select("doc_id", "ord", level.alias("level"), F.col("role").alias("text"))).drop("title")
 
 
 def _spans(events):
@@ -324,11 +322,12 @@ def innermost_section(spark, d):
 @query("""WITH h AS (SELECT DISTINCT o_custkey AS doc_id, o_orderpriority AS key FROM orders), w AS (SELECT unnest(['1-URGENT', '2-HIGH', '9-NONE']) AS key)
   SELECT d.doc_id, w.key, 'missing' AS issue FROM (SELECT DISTINCT doc_id FROM h) d, w WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.doc_id = d.doc_id AND h.key = w.key)
   UNION ALL SELECT o_custkey, o_orderpriority, 'duplicated' FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') GROUP BY 1, 2 HAVING count(*) > 1
-  UNION ALL SELECT doc_id, key, 'unexpected' FROM h WHERE key NOT IN ('1-URGENT', '2-HIGH')""")
+  UNION ALL SELECT doc_id, key, 'unexpected' FROM h WHERE key NOT IN ('1-URGENT', '2-HIGH')
+  UNION ALL SELECT o_custkey, '1-URGENT', 'order' FROM orders GROUP BY o_custkey HAVING min(o_orderkey) FILTER (WHERE o_orderpriority = '2-HIGH') < min(o_orderkey) FILTER (WHERE o_orderpriority = '1-URGENT')""")
 def validate_sections(spark, d):
     o = _t(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderpriority").alias("key"), F.col("o_orderkey").alias("first"), F.lit(None).cast("string").alias("parent"))
     schema = spark.createDataFrame([(1, "1-URGENT", None, False), (2, "2-HIGH", None, False), (3, "9-NONE", None, False)], "pos int, key string, parent string, optional boolean")
-    return sections.validated(o, schema).filter("issue <> 'order'")
+    return sections.validated(o, schema)
 
 
 @query()  # SQL has no longest rising run; tested by brute force
@@ -341,12 +340,15 @@ def validate_every_issue(spark, d):
     return sections.validated(o, spark.createDataFrame(schema, "pos int, key string, parent string, optional boolean"), empty)
 
 
-@query("""SELECT doc_id, key, after FROM (SELECT *, lag(key) OVER (PARTITION BY doc_id ORDER BY pos) AS after FROM (SELECT DISTINCT o_custkey AS doc_id FROM orders), (SELECT unnest([1, 2, 3]) AS pos, unnest(['1-URGENT', '2-HIGH', '9-NONE']) AS key)) g
-  WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = g.doc_id AND o_orderpriority = g.key)""")
+@query("""WITH h AS (SELECT o_custkey AS doc_id, bool_or(o_orderpriority = '1-URGENT') AS a, bool_or(o_orderpriority = '2-HIGH') AS b, bool_or(o_orderpriority = '3-MEDIUM') AS c FROM orders GROUP BY 1)
+  SELECT doc_id, '1-URGENT' AS key, 'end' AS place, NULL AS relative_to, 0 AS depth FROM h WHERE NOT a
+  UNION ALL SELECT doc_id, '2-HIGH', CASE WHEN c THEN 'before' ELSE 'inside' END, CASE WHEN c THEN '3-MEDIUM' ELSE '1-URGENT' END, 1 FROM h WHERE NOT b
+  UNION ALL SELECT doc_id, '3-MEDIUM', 'after', '2-HIGH', 1 FROM h WHERE NOT c
+  UNION ALL SELECT doc_id, '9-NONE', 'after', '1-URGENT', 0 FROM h""")
 def plan_sections(spark, d):
     o = _t(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderpriority").alias("key"))
-    schema = spark.createDataFrame([(1, "1-URGENT", False), (2, "2-HIGH", False), (3, "9-NONE", False)], "pos int, key string, optional boolean")
-    return sections.planned(o, schema)
+    schema = [(1, "1-URGENT", None, False), (2, "2-HIGH", "1-URGENT", False), (3, "3-MEDIUM", "1-URGENT", False), (4, "8-NEVER", None, True), (5, "9-NONE", None, False)]
+    return sections.planned(o, spark.createDataFrame(schema, "pos int, key string, parent string, optional boolean")).drop("nth")
 
 
 @query("""WITH i AS (SELECT user_id, event_id, CAST(event_id % 3 AS INT) AS level FROM events), r AS (SELECT *, coalesce(sum(CASE WHEN level < 1 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id), 0) AS r0, sum(CASE WHEN level < 2 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS r1 FROM i)
@@ -363,29 +365,30 @@ def number_formats(spark, d):
     return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", format_column(F.col("l_extendedprice"), "#,##0.00").alias("money"), format_column(F.col("l_discount"), "0%").alias("share"))
 
 
-@query("""SELECT o_orderkey, 'number' AS type, o_totalprice AS number FROM orders""")
+@query("""SELECT o_orderkey, ['number', 'percent', 'number', 'boolean', 'string', 'string'][o_orderkey % 6 + 1] AS type, CASE o_orderkey % 6 WHEN 0 THEN o_totalprice WHEN 1 THEN o_orderkey % 100 / 100 WHEN 2 THEN -o_orderkey WHEN 3 THEN 1 END::DOUBLE AS number FROM orders""")
 def infer_typed(spark, d):
     from gridloom.functions.typed import infer_column
 
-    rows = _t(spark, d, "orders").select("o_orderkey", infer_column(F.concat(F.lit(" $"), F.format_number("o_totalprice", 2))).alias("x"))
+    key = F.col("o_orderkey").cast("string")
+    kinds = [F.concat(F.lit(" $"), F.format_number("o_totalprice", 2)), F.concat((F.col("o_orderkey") % 100).cast("string"), F.lit("%")), F.concat(F.lit("-"), key), F.lit("TRUE"), F.concat(F.lit("'"), key), F.concat(F.lit("order "), key)]
+    typed = F.get(F.array(*kinds), (F.col("o_orderkey") % 6).cast("int"))
+    rows = _t(spark, d, "orders").select("o_orderkey", infer_column(typed).alias("x"))
     return rows.select("o_orderkey", "x.type", "x.number")
 
 
-@query("""SELECT 1::DOUBLE AS gcd, NULL::VARCHAR AS gcd__err""")
+@query("""SELECT list_reduce(list(DISTINCT p_size * 6), lambda x, y: gcd(x, y))::DOUBLE AS gcd, NULL::VARCHAR AS gcd__err FROM part""")
 def gcd_sizes(spark, d):
-    return ranking.divisors(_t(spark, d, "part"), "p_size")
+    return ranking.divisors(_t(spark, d, "part").select((F.col("p_size") * 6).alias("p_size")), "p_size")
 
 
-@query("""SELECT CAST(conv_id AS BIGINT) AS doc_id, CAST(turn + CASE WHEN conv_id = 3 AND turn >= 1 THEN 2 ELSE 0 END AS INT) AS ord, substr(text, 1, 20) AS text FROM conversations
-  UNION ALL SELECT 3, 1, 'new one' UNION ALL SELECT 3, 2, 'new two'""")
-def insert_paragraphs(spark, d):
-    """The starts of insert_whole_paragraphs' texts, as its SQL asks for."""
-    return insert_whole_paragraphs(spark, d).withColumn("text", F.substring("text", 1, 20))
+@query("""SELECT list_reduce(list(DISTINCT p_size % 13 + 1), lambda x, y: lcm(x, y))::DOUBLE AS lcm, NULL::VARCHAR AS lcm__err FROM part""")
+def lcm_sizes(spark, d):
+    return ranking.divisors(_t(spark, d, "part").select((F.col("p_size") % 13 + 1).alias("p_size")), "p_size", least=True, out="lcm")
 
 
 @query("""SELECT CAST(conv_id AS BIGINT) AS doc_id, CAST(turn + CASE WHEN conv_id = 3 AND turn >= 1 THEN 2 ELSE 0 END AS INT) AS ord, text FROM conversations
   UNION ALL SELECT 3, 1, 'new one' UNION ALL SELECT 3, 2, 'new two'""")
-def insert_whole_paragraphs(spark, d):
+def insert_paragraphs(spark, d):
     from gridloom.operators import blocks
 
     return blocks.inserted(_blocks(spark, d).select("doc_id", "ord", "text"), 3, 1, ["new one", "new two"])
@@ -396,3 +399,128 @@ def insert_whole_paragraphs(spark, d):
 def next_marker(spark, d):
     rows = _t(spark, d, "customer").select("c_nationkey", "c_custkey", F.expr(_TEMPLATE).alias("t"))
     return text.next_markers(text.markers(rows, "t"), "c_nationkey", "c_custkey").select("c_custkey", "raw", "next_raw")
+
+
+# the rest of the functions
+
+
+@query("""SELECT l_orderkey, l_linenumber, round(pow(l_discount * 10, 2), 8) AS pw, round(-l_quantity / 100, 8) AS neg, trunc(l_extendedprice / 7) AS tr, abs(l_quantity - 25) AS ab, sign(l_quantity - 25)::DOUBLE AS sg, round(sqrt(l_quantity), 8) AS sq, round(pow(l_quantity, 0.5), 8) AS po, round(pi() * l_quantity, 8) AS ar,
+  ceil(round(l_quantity / 3, 9)) * 3 AS cm, floor(round(l_quantity / 3, 9)) * 3 AS fm, round(exp(l_discount), 8) AS ex, round(log2(l_quantity), 8) AS lo, ceil(l_quantity / 2) * 2 AS ev, ceil((l_quantity - 1) / 2) * 2 + 1 AS od, floor(l_quantity / 4 + 0.5) * 4 AS mr, l_quantity % 2 = 0 AS ie, l_quantity % 2 = 1 AS io, floor(l_extendedprice * 10) / 10 AS rd FROM lineitem""")
+def math_more_lineitem(spark, d):
+    rows = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_discount")
+    out = with_formulas(rows, {"pw": "(l_discount*10)^2", "neg": "-l_quantity%", "tr": "TRUNC(l_extendedprice/7)", "ab": "ABS(l_quantity-25)", "sg": "SIGN(l_quantity-25)", "sq": "SQRT(l_quantity)", "po": "POWER(l_quantity,0.5)", "ar": "PI()*l_quantity", "cm": "CEILING.MATH(l_quantity,3)", "fm": "FLOOR.MATH(l_quantity,3)", "ex": "EXP(l_discount)", "lo": "LOG(l_quantity,2)", "ev": "EVEN(l_quantity)", "od": "ODD(l_quantity)", "mr": "MROUND(l_quantity,4)", "ie": "ISEVEN(l_quantity)", "io": "ISODD(l_quantity)", "rd": "ROUNDDOWN(l_extendedprice,1)"}, errors=False)
+    return _rounded(out.drop("l_extendedprice", "l_quantity", "l_discount"), 8)
+
+
+@query("""SELECT event_id, NOT (value > 50) AS n, false AS blank, true AS num, true AS txt, true AS lg, true AS nontext, value > 50 AS err, value > 50 AS iserr, value <= 50 AS isna, CASE WHEN value > 50 THEN -1 ELSE round(value, 8) END AS alt,
+  ['one', 'two', 'three'][event_id % 3 + 1] AS pick, true AS yes, false AS no, CASE WHEN value > 50 THEN NULL ELSE round(value, 8) END AS na, CASE WHEN value > 50 THEN '#N/A' END AS na__err FROM events""")
+def logic_more_events(spark, d):
+    rows = _t(spark, d, "events").select("event_id", "event_type", "value")
+    out = with_formulas(rows, {"n": "NOT(value>50)", "blank": "ISBLANK(value)", "num": "ISNUMBER(value)", "txt": "ISTEXT(event_type)", "lg": "ISLOGICAL(value>1)", "nontext": "ISNONTEXT(value)", "err": "ISERROR(IF(value>50,1/0,1))", "iserr": "ISERR(IF(value>50,1/0,1))", "isna": "ISNA(IF(value>50,1,NA()))", "alt": "IFNA(IF(value>50,NA(),value),-1)", "pick": 'CHOOSE(MOD(event_id,3)+1,"one","two","three")', "yes": "TRUE()", "no": "FALSE()", "na": "IF(value>50,NA(),value)"})
+    return _rounded(out.select("event_id", "n", "blank", "num", "txt", "lg", "nontext", "err", "iserr", "isna", "alt", "pick", "yes", "no", "na", "na__err"), 8)
+
+
+@query("""SELECT p_partkey, p_brand || '/' || p_size AS joined, p_type AS tr, array_to_string(list_transform(string_split(lower(p_type), ' '), lambda x: upper(x[1]) || x[2:]), ' ') AS pr, p_brand = 'Brand#11' AS ex, CASE WHEN regexp_matches(lower(p_type), 'e.l') THEN length(regexp_extract(lower(p_type), '^(.*?)e.l', 1)) + 1 END::DOUBLE AS at,
+  CASE WHEN NOT regexp_matches(lower(p_type), 'e.l') THEN '#VALUE!' END AS at__err, chr(CAST(65 + p_size % 26 AS INT)) AS ch, p_name AS cl, p_size::DOUBLE AS val, format('{:,.2f}', p_retailprice) AS shown, lpad(p_size::VARCHAR, 4, '0') AS padded FROM part""")
+def text_more_part(spark, d):
+    rows = _t(spark, d, "part").select("p_partkey", "p_brand", "p_type", "p_size", "p_name", "p_retailprice")
+    out = with_formulas(rows, {"joined": 'CONCATENATE(p_brand,"/",p_size)', "tr": 'TRIM("  "&SUBSTITUTE(p_type," ","   ")&" ")', "pr": "PROPER(p_type)", "ex": 'EXACT(p_brand,"Brand#11")', "at": 'SEARCH("e?l",p_type)', "ch": "CHAR(65+MOD(p_size,26))", "cl": "CLEAN(CHAR(7)&p_name)", "val": 'VALUE(" "&p_size&" ")', "shown": 'TEXT(p_retailprice,"#,##0.00")', "padded": 'TEXT(p_size,"0000")'})
+    return out.select("p_partkey", "joined", "tr", "pr", "ex", "at", "at__err", "ch", "cl", "val", "shown", "padded")
+
+
+@query("""SELECT o_orderkey, (o_orderkey % 24)::DOUBLE AS h, (o_orderkey % 60)::DOUBLE AS mi, 30::DOUBLE AS se, date_diff('day', CAST(o_orderdate AS DATE), DATE '2005-01-01')::DOUBLE AS dd, date_sub('month', CAST(o_orderdate AS DATE), DATE '2005-01-01')::DOUBLE AS dm, date_sub('year', CAST(o_orderdate AS DATE), DATE '2005-01-01')::DOUBLE AS dy,
+  date_diff('day', DATE '1899-12-30', (SELECT x FROM range(CAST(o_orderdate AS DATE)::TIMESTAMP + INTERVAL 1 DAY, CAST(o_orderdate AS DATE)::TIMESTAMP + INTERVAL 20 DAY, INTERVAL 1 DAY) t(x) WHERE dayofweek(x) NOT IN (0, 6) ORDER BY x LIMIT 1 OFFSET 9)::DATE)::DOUBLE AS wk,
+  ((dayofyear(o_orderdate) - 1 + dayofweek(date_trunc('year', o_orderdate))) // 7 + 1)::DOUBLE AS wn, isodow(o_orderdate)::DOUBLE AS w2, (isodow(o_orderdate) - 1)::DOUBLE AS w3, round((o_orderkey % 86400) / 86400, 10) AS tm, true AS later FROM orders""")
+def dates_more_orders(spark, d):
+    rows = _t(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    time = "TIME(MOD(o_orderkey,24),MOD(o_orderkey,60),30)"
+    out = with_formulas(rows, {"h": f"HOUR({time})", "mi": f"MINUTE({time})", "se": f"SECOND({time})", "dd": 'DATEDIF(o_orderdate,DATE(2005,1,1),"D")', "dm": 'DATEDIF(o_orderdate,DATE(2005,1,1),"M")', "dy": 'DATEDIF(o_orderdate,DATE(2005,1,1),"Y")', "wk": "WORKDAY(o_orderdate,10)", "wn": "WEEKNUM(o_orderdate)", "w2": "WEEKDAY(o_orderdate,2)", "w3": "WEEKDAY(o_orderdate,3)", "tm": "TIME(0,0,MOD(o_orderkey,86400))", "later": "AND(TODAY()>o_orderdate,NOW()>=TODAY())"}, errors=False)
+    return out.select("o_orderkey", "h", "mi", "se", "dd", "dm", "dy", "wk", "wn", "w2", "w3", F.round("tm", 10).alias("tm"), "later")
+
+
+@query("""SELECT o_orderkey, round(ln((o_totalprice / 20) / (o_totalprice / 20 - (o_totalprice - 100) * 0.01)) / ln(1.01), 6) AS n FROM orders""")
+def periods_orders(spark, d):
+    out = with_formulas(_t(spark, d, "orders").select("o_orderkey", "o_totalprice"), {"n": "NPER(0.01,-o_totalprice/20,o_totalprice-100)"}, errors=False)
+    return _rounded(out.drop("o_totalprice"), 6)
+
+
+@query("""SELECT s_nationkey, round(product(1 + s_acctbal / 100000), 8) AS p, round(stddev_pop(s_acctbal), 6) AS sp, round(coalesce(var_samp(s_acctbal), NULL), 4) AS vs, CASE WHEN count(*) < 2 THEN '#DIV/0!' END AS vs__err, round(coalesce(sum(s_acctbal) FILTER (WHERE s_acctbal > 1000), 0), 4) AS si,
+  count(*) FILTER (WHERE s_acctbal > 0 AND s_suppkey < 50)::DOUBLE AS cs, round(avg(s_acctbal) FILTER (WHERE s_acctbal > -2000 AND s_suppkey >= 0), 6) AS av FROM supplier GROUP BY s_nationkey""")
+def aggregates_by_nation(spark, d):
+    out = aggregated(_t(spark, d, "supplier"), {"p": "PRODUCT(1+s_acctbal/100000)", "sp": "STDEV.P(s_acctbal)", "vs": "VAR.S(s_acctbal)", "si": 'SUMIF(s_acctbal,">1000")', "cs": 'COUNTIFS(s_acctbal,">0",s_suppkey,"<50")', "av": 'AVERAGEIFS(s_acctbal,s_acctbal,">-2000",s_suppkey,">=0")'}, by=["s_nationkey"])
+    return out.select("s_nationkey", F.round("p", 8).alias("p"), F.round("sp", 6).alias("sp"), F.round("vs", 4).alias("vs"), "vs__err", F.round("si", 4).alias("si"), "cs", F.round("av", 6).alias("av"))
+
+
+@query("""SELECT (SELECT o_totalprice FROM orders ORDER BY o_totalprice LIMIT 1 OFFSET 24) AS kth, NULL::VARCHAR AS kth__err""")
+def small_order(spark, d):
+    return ranking.kth(_t(spark, d, "orders"), "o_totalprice", 25, largest=False)
+
+
+@query("""WITH a AS (SELECT l_orderkey, l_linenumber, l_quantity + 1 AS a FROM lineitem), b AS (SELECT *, a / (SELECT sum(a) FROM a) AS b FROM a), c AS (SELECT *, b - (SELECT avg(b) FROM b) AS c FROM b)
+  SELECT l_orderkey, l_linenumber, a, round(b, 12) AS b, round(c, 12) AS c, c = (SELECT max(c) FROM c) AS d, NULL::DOUBLE AS x, '#CYCLE!' AS x__err FROM c""")
+def recalculate_levels(spark, d):
+    """Lanes of four levels, each over the whole of the one below, and one that needs itself."""
+    rows = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    out = recalculated(rows, {"d": "c=MAX(c)", "c": "b-AVERAGE(b)", "b": "a/SUM(a)", "a": "l_quantity+1", "x": "x+a"})
+    return out.select("l_orderkey", "l_linenumber", "a", F.round("b", 12).alias("b"), F.round("c", 12).alias("c"), "d", "x", "x__err")
+
+
+def _book(spark, d):
+    """A workbook for each region: its nations' keys in column 1, formulas of one kind in each further column."""
+    place = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey"))
+    rows = _t(spark, d, "nation").select("n_regionkey", "n_nationkey", place.alias("row"))
+    r = F.col("row").cast("string")
+    kinds = [(None, F.col("n_nationkey").cast("double")), ("A{r}*2", None), ("INDEX($A$1:$A$5,ROW())+COLUMN(B1)", None), ("SUM(A$1:A{r})", None), ("ROWS(A1:A3)*COLUMNS(A1:B2)", None), ("HLOOKUP(A1,$A$1:$D$5,{r},FALSE)", None), ("MATCH(A{r},$A$1:$A$5,0)", None), ("VLOOKUP(A{r},$A$1:$D$5,2,FALSE)", None), ("XLOOKUP(A{r},$A$1:$A$5,$B$1:$B$5)+D{r}", None)]
+    cells = [F.struct(F.lit(c).alias("col"), F.lit("n" if n is not None else None).cast("string").alias("k"), (n if n is not None else F.lit(None).cast("double")).alias("n"), (F.lit(None).cast("string") if f is None else F.replace(F.lit(f), F.lit("{r}"), r)).alias("formula")) for c, (f, n) in enumerate(kinds, 1)]
+    one = rows.withColumn("c", F.explode(F.array(*cells)))
+    null = lambda t: F.lit(None).cast(t)
+    have = {"workbook_id": F.col("n_regionkey").cast("string"), "sheet": F.lit(1), "row": F.col("row"), "col": F.col("c.col"), "k": F.col("c.k"), "n": F.col("c.n"), "formula": F.col("c.formula")}
+    return one.select(*[have[x].cast(t).alias(x) if x in have else null(t).alias(x) for x, t in (y.rsplit(" ", 1) for y in areas.CELLS.split(", "))])
+
+
+@query("""WITH c AS (SELECT n_regionkey, n_nationkey AS a, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS r FROM nation), s AS (SELECT *, sum(a) OVER (PARTITION BY n_regionkey ORDER BY r) AS total FROM c),
+  v AS (SELECT n_regionkey, r, unnest([a, a * 2, a + 2, total, 6, a, r, a * 2, a * 2 + total]) AS n, unnest(range(1, 10)) AS col FROM s)
+  SELECT CAST(n_regionkey AS VARCHAR) AS workbook_id, CAST(r AS INT) AS row, CAST(col AS INT) AS col, n::DOUBLE AS n, col > 1 AS changed FROM v""")
+def recalculate_cells(spark, d):
+    from gridloom.plans.recalc import recalculated_cells
+
+    return recalculated_cells(_book(spark, d), {1: "Stock"}).select("workbook_id", "row", "col", "n", "changed")
+
+
+@query("""WITH f AS (SELECT n_nationkey AS i, n_nationkey + 1 AS a, n_nationkey + 4 AS b FROM nation),
+  k AS (SELECT *, CASE WHEN a BETWEEN 3 AND 5 AND NOT (b <= 5) THEN 6 ELSE a END AS ka, CASE WHEN b BETWEEN 3 AND 5 AND NOT (a >= 3) THEN 2 ELSE b END AS kb FROM f),
+  m AS (SELECT i, CASE WHEN a <= 3 AND b >= 5 AND b >= 10 THEN a WHEN ka BETWEEN 3 AND 5 THEN ka + 5 WHEN ka BETWEEN 6 AND 10 THEN ka - 3 ELSE ka END AS x, CASE WHEN a <= 3 AND b >= 5 AND b >= 10 THEN b WHEN kb BETWEEN 3 AND 5 THEN kb + 5 WHEN kb BETWEEN 6 AND 10 THEN kb - 3 ELSE kb END AS y FROM k)
+  SELECT CAST(i AS INT) AS row, 'SUM($B$' || x || ':B' || y || ')&"B3"' AS formula FROM m""")
+def move_references(spark, d):
+    """Formulas of one sheet after rows 3 to 5 of another, which they refer to, have moved before row 11."""
+    rows = _t(spark, d, "nation").select(F.lit("w").alias("workbook_id"), F.lit(2).alias("sheet"), F.col("n_nationkey").cast("int").alias("row"), F.lit(1).alias("col"), F.format_string("SUM(Stock!$B$%d:B%d)&\"B3\"", F.col("n_nationkey") + 1, F.col("n_nationkey") + 4).alias("formula"))
+    out = moves.moved_cells(rows, 1, "Stock", moves.LineMove.move(3, 3, 11), names={2: "Sum"})
+    return out.select("row", F.replace("formula", F.lit("Stock!"), F.lit("")).alias("formula"))
+
+
+@query("""SELECT n_name, CASE WHEN n_nationkey BETWEEN 3 AND 5 THEN NULL WHEN n_nationkey > 5 THEN n_nationkey - 3 ELSE n_nationkey END::INT AS r1, (CASE WHEN n_nationkey + 2 BETWEEN 3 AND 5 THEN 2 WHEN n_nationkey + 2 > 5 THEN n_nationkey - 1 ELSE n_nationkey + 2 END)::INT AS r2 FROM nation WHERE n_nationkey NOT BETWEEN 3 AND 5
+  UNION ALL SELECT n_name, 3, (n_nationkey - 1)::INT FROM nation WHERE n_nationkey BETWEEN 4 AND 5""")
+def move_areas(spark, d):
+    """Areas of three rows each after rows 3 to 5 were deleted."""
+    rows = _t(spark, d, "nation").select("n_name", F.lit(1).alias("sheet"), F.col("n_nationkey").cast("int").alias("r1"), F.lit(1).alias("c1"), (F.col("n_nationkey") + 2).cast("int").alias("r2"), F.lit(2).alias("c2"))
+    return moves.moved_areas(rows, 1, moves.LineMove.delete(3, 3)).select("n_name", "r1", "r2")
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, strftime(o_orderdate, '%d/%m/%y') AS short, printf('%.2E', o_totalprice) AS sci, printf('%.1f', floor(round(o_totalprice * 100) / 10 + 0.5) / 10) AS one, CASE WHEN o_orderkey % 2 = 0 THEN '(' || CAST(o_orderkey AS VARCHAR) || ')' ELSE CAST(o_orderkey AS VARCHAR) END AS signed_ FROM orders""")
+def formats_orders(spark, d):
+    from gridloom.functions.numfmt import format_column
+
+    serial = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1899-12-30").cast("date")).cast("double")
+    key = F.when(F.col("o_orderkey") % 2 == 0, -F.col("o_orderkey")).otherwise(F.col("o_orderkey")).cast("double")
+    return _t(spark, d, "orders").select("o_orderkey", format_column(serial, "yyyy-mm-dd").alias("day"), format_column(serial, "dd/mm/yy").alias("short"), format_column(F.col("o_totalprice"), "0.00E+00").alias("sci"), format_column(F.col("o_totalprice"), "0.0").alias("one"), format_column(key, "0;(0)").alias("signed_"))
+
+
+@query("""SELECT c_custkey, 'Dear ' || c_name || ' of {{CITY}}: ' || c_mktsegment AS t FROM customer""")
+def fill_from_row(spark, d):
+    values = F.create_map(F.lit("NAME"), F.col("c_name"), F.lit("TRADE: line"), F.lit("never"), F.lit("TRADE"), F.col("c_mktsegment"))
+    return _t(spark, d, "customer").select("c_custkey", text.filled_from(F.lit("Dear {{ NAME : who }} of {{CITY}}: {{TRADE}}"), values).alias("t"))
+
+
+@query("""SELECT p_partkey, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '-', 'g'), '-') AS key FROM part""")
+def title_keys(spark, d):
+    return _t(spark, d, "part").select("p_partkey", text.title_key(F.concat(F.lit(" 2.1) "), F.col("p_type"))).alias("key"))

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import Row
@@ -56,6 +57,24 @@ def test_row_formulas_are_what_the_interpreter_makes(table):
     assert not wrong, wrong[:20]
 
 
+EXTREMES = [0.0, 0.5, -0.5, 1.5, 2.5, 1e25, -1e25, 1.5e-17, -2.5e-17, 9007199254740993.0, 123456789012345.6, 0.1 + 0.2, 1.005, 2.675, 1e15 - 0.5, 4.35, 1e-300, 1e300, 0.285, -1.15, 33.333333333333336, 1e22]
+EXTREME_FORMULAS = [f"{f}(x,{d})" for f in ("ROUND", "ROUNDUP", "ROUNDDOWN") for d in (0, 1, 2, -1, 3, 17, -20, "y")] + ["INT(x)", "TRUNC(x)", "EVEN(x)", "ODD(x)", "CEILING(x,0.1)", "FLOOR(x,0.1)", "CEILING.MATH(x,0.3)", "FLOOR.MATH(x,3)", "MROUND(x,0.05)", "s+1", "IF(s,1,2)", "s&1"]
+TEXTS = ["\t12", "12\n", "\u00a012\u00a0", "1 2", " TRUE", "TRUE", "false", " 5 % ", "%", "1e3", ".5", "5.", "+3", "inf", "NaN", "0x10", "1e400", "", "\u30003"]
+
+
+def test_extremes_are_what_the_interpreter_makes(spark):
+    rng = random.Random(11)
+    numbers = EXTREMES + [rng.choice([-1, 1]) * round(rng.uniform(0, 10 ** rng.randint(-3, 12)), rng.randint(0, 4)) + 0.0 for _ in range(300)]
+    rows = [(i, x, float(rng.randint(-3, 6)), TEXTS[i % len(TEXTS)], None) for i, x in enumerate(numbers)]
+    got = with_formulas(spark.createDataFrame(rows, "id int, x double, y double, s string, b boolean"), {f"f{i}": f for i, f in enumerate(EXTREME_FORMULAS)}).orderBy("id").collect()
+    wrong = []
+    for row, out in zip(rows, got, strict=True):
+        for i, f in enumerate(EXTREME_FORMULAS):
+            if not _same(out[f"f{i}"], out[f"f{i}__err"], want := _interpreted(f, row)):
+                wrong.append((f, row, out[f"f{i}"], out[f"f{i}__err"], want))
+    assert not wrong, (len(wrong), wrong[:20])
+
+
 AGG_FORMULAS = [
     "SUM(x)", "SUM(x,1)", "PRODUCT(y)", "AVERAGE(x)", "MIN(x)", "MAX(x,y)", "MEDIAN(x)", "COUNT(x)", "COUNT(s)", "COUNTA(s)", "COUNTBLANK(x)", "SUMSQ(y)", "SUMPRODUCT(x,y)", "STDEV(x)", "VAR.P(y)", "LARGE(x,2)", "SMALL(x,3)", "LARGE(x,99)", "AND(b)", "OR(b)", "XOR(b)", "AND(s)",
     'SUMIF(x,">1")', 'SUMIF(s,"norte",x)', 'SUMIF(s,"*a*",y)', 'COUNTIF(s,"")', 'COUNTIF(s,"<>")', 'COUNTIF(s,"<>norte")', 'COUNTIF(x,"<=1.5")', "COUNTIF(x,1.5)", 'COUNTIF(s,12.5)', "COUNTIF(b,TRUE)", 'AVERAGEIF(s,"zzz",x)', 'SUMIFS(x,y,">0",s,"?*")', 'MAXIFS(x,b,TRUE)', 'MINIFS(y,x,">100000")', 'COUNTIFS(x,">0",y,">0")', "SUM(x)/COUNT(x)-AVERAGE(x)", 'IF(SUM(x)>10,"big","small")', "CONCAT(s)", 'TEXTJOIN("|",TRUE,s)', 'TEXTJOIN("|",FALSE,s)', "SUM(1/x)",
