@@ -122,7 +122,7 @@ def text_number(text: Column) -> Column:
 
 
 def round_sig(x: Column) -> Column:
-    return F.format_string("%.14e", x).cast("double")
+    return F.format_string("%.14e", x).try_cast("double")
 
 
 def number_text(x: Column) -> Column:

@@ -5,8 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges that an as-of join deals rows out to.
-RANGES = 64
+#: Rows of one range that rows are dealt out to by a key, about, and the most ranges there are.
+RANGE_ROWS, RANGES = 500_000, 1000
+
+
+def dealt(df: DataFrame, key: str, rows: int = RANGE_ROWS) -> tuple[DataFrame, int]:
+    """df with __range, which rises with a key, and the number of ranges; as many as its rows ask for, with
+    bounds from a quantile sketch."""
+    ranges = max(1, min(RANGES, -(-df.select(F.count(key)).first()[0] // rows)))
+    found = df.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 10 * RANGES)).first()[0] if ranges > 1 else []
+    cuts = sorted(set(found))
+    if not cuts:
+        return df.withColumn("__range", F.lit(0)), 1
+    kind = df.schema[key].dataType
+    at = F.transform(F.array(F.array(*[F.lit(x).cast(kind) for x in cuts])), lambda c: F.size(F.filter(c, lambda x: x <= F.col(key))))[0]
+    return df.withColumn("__range", F.when(F.col(key).isNull(), 0).otherwise(at)), len(cuts) + 1
+
+
+def carried(ranges: DataFrame, n: int, value: str, how) -> DataFrame:
+    """(__at, carried): for each of n ranges how(value) over all the ranges before it. A row for each range."""
+    every = ranges.sparkSession.range(n).select(F.col("id").cast("int").alias("__at"))
+    before = Window.partitionBy(F.lit(0)).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    return every.join(ranges, F.col("__at") == F.col("__range"), "left").select("__at", how(value).over(before).alias("carried"))
 
 
 def _fold(c: Column, text: bool) -> Column:
@@ -36,45 +56,48 @@ def exact(left: DataFrame, key: str, right: DataFrame, right_key: str, value: st
     return joined.select(*[left[c] for c in left.columns], got.alias(out), error.alias(f"{out}__err"))
 
 
-def as_of(left: DataFrame, key: str, right: DataFrame, right_key: str, values: list[str], out_prefix: str = "", upward: bool = False, ranges: int = RANGES) -> DataFrame:
+def as_of(left: DataFrame, key: str, right: DataFrame, right_key: str, values: list[str], out_prefix: str = "", upward: bool = False, range_rows: int = RANGE_ROWS) -> DataFrame:
     """left with the values of the row of right that has the largest right_key up to key (upward: the
     smallest from key on), null where there is none. Of equal right keys one row must remain: the first.
 
-    Right keys become disjoint intervals; both sides are dealt out by ranges of the key, found from a
-    quantile sketch, and joined on the range. No side is broadcast, no row meets more than its range."""
+    The answer depends on the key alone, so left's keys are made distinct, dealt out by ranges together with
+    right's, and sorted once: a key's answer is the last right row before it, in its range or carried on from
+    the ranges before. Then left meets the answers by its key, where a frequent key can be split."""
     sign = -1 if upward else 1
-    bands = right.select((F.col(right_key) * sign).cast("double").alias("__lo"), *[F.col(v).alias(f"{out_prefix}{v}") for v in values]).filter("__lo is not null").dropDuplicates(["__lo"])
-    cuts = bands.agg(F.percentile_approx("__lo", [i / ranges for i in range(1, ranges)], 1000)).first()[0] or []
-    cuts = F.array(*[F.lit(float(x)) for x in sorted(set(cuts))]).cast("array<double>")
-    place = lambda x: F.size(F.filter(cuts, lambda c: c <= x))
-    bands = bands.withColumn("__range", place(F.col("__lo")))
-    inside = Window.partitionBy("__range").orderBy("__lo")
-    tops = bands.groupBy("__range").agg(F.min("__lo").alias("__first"))
-    tops = tops.withColumn("__after", F.lead("__first").over(Window.partitionBy(F.lit(0)).orderBy("__range")))  # a row for each range
-    bands = bands.withColumn("__next", F.lead("__lo").over(inside)).join(tops.select("__range", "__after"), "__range")
-    bands = bands.withColumn("__hi", F.coalesce("__next", "__after"))
-    # an interval that goes on into later ranges is met there too
-    last = F.when(F.col("__hi").isNull(), F.size(cuts)).otherwise(place(F.col("__hi")))
-    bands = bands.withColumn("__at", F.explode(F.sequence(F.col("__range"), F.greatest(last, F.col("__range"))))).drop("__range", "__next", "__after")
-    x = (F.col(key) * sign).cast("double")
-    rows = left.withColumn("__x", x).withColumn("__place", place(F.col("__x")))
-    hit = (F.col("__place") == F.col("__at")) & (F.col("__x") >= F.col("__lo")) & (F.col("__hi").isNull() | (F.col("__x") < F.col("__hi")))
-    return rows.join(bands, hit, "left").select(*[F.col(f"`{c}`") for c in left.columns], *[f"{out_prefix}{v}" for v in values])
-
-
-def approximate_match(left: DataFrame, key: str, right: DataFrame, right_key: str, order: str, out: str) -> DataFrame:
+    bands = right.select((F.col(right_key) * sign).cast("double").alias("__x"), F.struct(*[F.col(v).alias(f"v{i}") for i, v in enumerate(values)]).alias("__band")).filter("__x is not null").dropDuplicates(["__x"])
+    keys = left.select((F.col(key) * sign).cast("double").alias("__x")).filter("__x is not null").distinct()
+    rows, n = dealt(keys.withColumn("__band", F.lit(None)).withColumn("__own", F.lit(1)).unionByName(bands.withColumn("__own", F.lit(0))), "__x", range_rows)
+    inside = Window.partitionBy("__range").orderBy("__x", "__own").rowsBetween(Window.unboundedPreceding, 0)
+    tops = rows.filter("__own = 0").groupBy("__range").agg(F.max_by("__band", "__x").alias("__top"))
+    before = carried(tops, n, "__top", lambda v: F.last(v, ignorenulls=True))
+    found = rows.withColumn("__hit", F.last("__band", ignorenulls=True).over(inside)).filter("__own = 1")
+    found = found.join(before, F.col("__range") == F.col("__at")).select("__x", F.coalesce("__hit", "carried").alias("__hit"))
+    joined = left.withColumn("__key", (F.col(key) * sign).cast("double")).join(found, F.col("__key") == F.col("__x"), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in left.columns], *[F.col("__hit")[f"v{i}"].alias(f"{out_prefix}{v}") for i, v in enumerate(values)])
+
+
+def approximate_match(left: DataFrame, key: str, right: DataFrame, right_key: str, order: str, out: str, range_rows: int = RANGE_ROWS) -> DataFrame:
     """left with out: the 1-based place in right, in its order, that an approximate MATCH finds; null for
     #N/A. It holds for unsorted tables too: the scan's stop for x is the first key above x, so the rows
-    that matter are the running maxima, and the place is the last row before the stop, or the first equal."""
-    every = Window.partitionBy(F.lit(0)).orderBy(order)
-    table = right.filter(F.col(right_key).isNotNull()).select(F.col(right_key).cast("double").alias("k"), F.row_number().over(every).alias("place"))
-    peak = F.max("k").over(Window.partitionBy(F.lit(0)).orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
-    peaks = table.withColumn("before", peak).filter("before is null or k > before")
+    that matter are the running maxima, and the place is the last row before the stop, or the first equal.
+    Places and maxima run over ranges of the order, and go on from one range to the next."""
+    rows, n = dealt(right.filter(F.col(right_key).isNotNull()).select(F.col(right_key).cast("double").alias("k"), F.col(order).alias("__order")), "__order", range_rows)
+    whole = rows.groupBy("__range").agg(F.count("*").alias("rows"), F.max("k").alias("top"))
+    inside = Window.partitionBy("__range").orderBy("__order")
+    own = rows.withColumns({"nth": F.row_number().over(inside), "peak": F.max("k").over(inside.rowsBetween(Window.unboundedPreceding, -1))})
+    counts, tops = carried(whole, n, "rows", F.sum), carried(whole, n, "top", F.max)
+    own = own.join(counts, F.col("__range") == F.col("__at")).withColumn("place", F.col("nth") + F.coalesce("carried", F.lit(0))).drop("__at", "carried")
+    own = own.join(tops, F.col("__range") == F.col("__at")).withColumn("before", F.greatest("peak", "carried")).select("k", "place", "before")
+    total = whole.agg(F.sum("rows")).first()[0] or 0
     # key x stops at the first peak above it; between two peaks the place is the one before the later peak
-    stops = peaks.withColumn("stop", F.lead("place").over(Window.partitionBy(F.lit(0)).orderBy("place"))).withColumn("end", F.coalesce(F.col("stop") - 1, F.lit(table.count())))
-    near = as_of(left, key, stops.select("k", "end"), "k", ["end"], "__")
-    firsts = table.groupBy("k").agg(F.min("place").alias("__same"))
-    joined = near.join(firsts, F.col(key).cast("double") == F.col("k"), "left")
+    peaks, m = dealt(own.filter("before is null or k > before").select("k", "place"), "place", range_rows)
+    firsts = peaks.groupBy("__range").agg((-F.min("place")).alias("first"))
+    after = carried(firsts.withColumn("__range", F.lit(m - 1) - F.col("__range")), m, "first", lambda v: F.last(v, ignorenulls=True)).withColumn("__at", F.lit(m - 1) - F.col("__at"))
+    stops = peaks.withColumn("stop", F.lead("place").over(Window.partitionBy("__range").orderBy("place"))).join(after, F.col("__range") == F.col("__at"))
+    stops = stops.withColumn("end", F.coalesce(F.col("stop") - 1, -F.col("carried") - 1, F.lit(total)))
+    near = as_of(left, key, stops.select("k", "end"), "k", ["end"], "__", range_rows=range_rows)
+    same = own.groupBy("k").agg(F.min("place").alias("__same"))
+    joined = near.join(same, F.col(key).cast("double") == F.col("k"), "left")
     place = F.when((F.col("__same").isNotNull()) & (F.col("__same") <= F.col("__end")), F.col("__same")).otherwise(F.col("__end"))
     return joined.select(*[F.col(f"`{c}`") for c in left.columns], place.cast("double").alias(out))
 

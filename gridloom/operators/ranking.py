@@ -8,26 +8,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
+from gridloom.operators.lookup import RANGE_ROWS, carried, dealt
 
 
-def running_counts(df: DataFrame, value: str, ranges: int = RANGES) -> DataFrame:
+def running_counts(df: DataFrame, value: str, range_rows: int = RANGE_ROWS) -> DataFrame:
     """(value, n, before): of each distinct value its rows and the rows of smaller ones, dealt out by ranges."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
-    cuts = counts.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 1000)).first()[0] or []
-    cuts = F.array(*[F.lit(x) for x in sorted(set(cuts))]) if cuts else F.array().cast(f"array<{dict(df.dtypes)[value]}>")
-    placed = counts.withColumn("__range", F.size(F.filter(cuts, lambda c: c <= F.col(value))))
-    sums = placed.groupBy("__range").agg(F.sum("n").alias("__n"))
-    sums = sums.withColumn("__before", F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__range")) - F.col("__n"))  # a row for each range
+    counts, ranges = dealt(df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n")), value, range_rows)
+    sums = carried(counts.groupBy("__range").agg(F.sum("n").alias("rows")), ranges, "rows", F.sum)
     inner = F.sum("n").over(Window.partitionBy("__range").orderBy(value)) - F.col("n")
-    return placed.withColumn("__own", inner).join(sums, "__range").select(value, "n", (F.col("__own") + F.col("__before")).alias("before"))
+    return counts.withColumn("__own", inner).join(sums, F.col("__range") == F.col("__at")).select(value, "n", (F.col("__own") + F.coalesce("carried", F.lit(0))).alias("before"))
 
 
 def ranked(df: DataFrame, value: str, out: str, ascending: bool = False) -> DataFrame:
     """df with RANK of each value among all; ties share. Null values have none."""
     counts = running_counts(df, value)
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    rank = F.col("before") + 1 if ascending else F.lit(total) - F.col("before") - F.col("n") + 1
+    total = F.lit(0) if ascending else F.lit(df.select(F.count(value)).first()[0])
+    rank = F.col("before") + 1 if ascending else total - F.col("before") - F.col("n") + 1
     ranks = counts.select(F.col(value).alias("__v"), rank.cast("double").alias(out))
     return df.join(ranks, F.col(value) == F.col("__v"), "left").drop("__v")
 
@@ -35,7 +31,7 @@ def ranked(df: DataFrame, value: str, out: str, ascending: bool = False) -> Data
 def kth(df: DataFrame, value: str, k: int, largest: bool = True, out: str = "kth") -> DataFrame:
     """LARGE or SMALL of a column by its distinct values' counts; #NUM! beyond its ends."""
     counts = running_counts(df, value)
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    total = df.select(F.count(value)).first()[0]
     place = total - k + 1 if largest else k
     hit = counts.filter((F.col("before") < place) & (F.col("before") + F.col("n") >= place))
     got = hit.agg(F.max(value).cast("double").alias(out))

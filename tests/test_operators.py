@@ -20,8 +20,9 @@ def at(cells):
 
 
 def test_regions_unite():
-    assert areas.boxes(at("A1 B2 C2 A5 B6 E1 E2")) == [(1, 1, 2, 3), (1, 5, 2, 5), (5, 1, 6, 2)]
-    assert areas.boxes(at("A1 B2 C3 D2")) == [(1, 1, 3, 4)]
+    assert areas.boxes(at("B2 B3 C4 H2 G3 B9 D9")) == [(2, 2, 4, 3), (2, 7, 3, 8), (9, 2, 9, 2), (9, 4, 9, 4)]
+    # a box that grows takes in what it then touches
+    assert areas.boxes(at("A1 B2 C3 E2 D1")) == [(1, 1, 3, 5)]
 
 
 def test_titles_and_headers():
@@ -30,9 +31,72 @@ def test_titles_and_headers():
     assert areas.structure({(1, 1): "s", (1, 2): "s", (2, 1): "s", (2, 2): "s"}, (1, 1, 2, 2)) == (0, None)
 
 
-@pytest.mark.parametrize("first,count,before,a,b,want", [(3, 1, 8, 1, 10, (1, 10)), (3, 1, 20, 1, 10, (1, 9)), (20, 2, 3, 1, 10, (1, 12)), (3, 4, 20, 4, 5, (17, 18)), (8, 5, 30, 5, 10, (5, 7))])
-def test_spans_follow_moves(first, count, before, a, b, want):
-    assert moves.LineMove.move(first, count, before).span(a, b) == want
+LINES = 9
+
+
+def _small_moves():
+    for first in range(1, LINES + 1):
+        for count in range(1, LINES + 2 - first):
+            yield from (moves.LineMove.move(first, count, before) for before in range(1, LINES + 2) if not first < before < first + count)
+            yield moves.LineMove.delete(first, count)
+            yield moves.LineMove.insert(first, count)
+
+
+def _shuffled(m):
+    """The lines from 1 on as a list, after a move; 0 for new ones."""
+    lines = list(range(1, LINES + 1))
+    own = lines[m.first - 1 : m.first + m.count - 1]
+    if m.kind == "insert":
+        return lines[: m.first - 1] + [0] * m.count + lines[m.first - 1 :]
+    rest = [x for x in lines if x not in own]
+    if m.kind == "delete":
+        return rest
+    gap = len([x for x in rest if x < m.before])
+    return rest[:gap] + own + rest[gap:]
+
+
+def test_spans_follow_every_small_move():
+    for m in _small_moves():
+        new, block = _shuffled(m), set(range(m.first, m.first + m.count)) if m.kind != "insert" else set()
+        place = {x: i for i, x in enumerate(new, 1) if x}
+        assert all(m.line(x) == place.get(x) for x in range(1, LINES + 1))
+        for a in range(1, LINES + 1):
+            for b in range(a, LINES + 1):
+                own = set(range(a, b + 1))
+                stay = sorted(own - block)
+                if m.kind == "move" and block <= own and a <= m.before <= b + 1:
+                    want = (a, b)
+                elif not stay:
+                    want = None if m.kind == "delete" else (place[a], place[b])
+                else:
+                    want = (place[stay[0]], place[stay[-1]])
+                assert m.span(a, b) == want, (m, a, b)
+                runs = m.pieces(a, b)
+                assert sorted(place[x] for x in own if x in place) == [i for lo, hi in runs for i in range(lo, hi + 1)]
+                assert all(x[1] + 1 < y[0] for x, y in zip(runs, runs[1:], strict=False))
+                if m.kind != "delete":
+                    assert m.torn(a, b) == ([place[x] - place[a] for x in sorted(own)] != list(range(b - a + 1)) or any(0 < e - a <= b - a for e in ((m.first, m.first + m.count, m.before) if m.kind == "move" else (m.first,))))
+
+
+def test_areas_follow_moves(spark):
+    boxes = [(a, b) for a in range(1, LINES + 1) for b in range(a, LINES + 1)]
+    df = spark.createDataFrame([(1, a, 1, b, 1) for a, b in boxes] + [(2, 4, 1, 5, 1)], "sheet int, r1 int, c1 int, r2 int, c2 int").cache()
+    for m in (moves.LineMove.move(3, 2, 8), moves.LineMove.move(5, 3, 2), moves.LineMove.delete(3, 3), moves.LineMove.insert(4, 2)):
+        got = sorted((r.r1, r.r2) for r in moves.moved_areas(df, 1, m).filter("sheet = 1").collect())
+        assert got == sorted(x for a, b in boxes if (x := m.span(a, b)))
+    assert moves.moved_areas(df, 1, moves.LineMove.delete(1, 9)).collect()[0].asDict() == {"sheet": 2, "r1": 4, "c1": 1, "r2": 5, "c2": 1}
+    sizes = spark.createDataFrame([(1, 2, 9.0), (1, 6, 7.0)], "sheet int, line int, size double")
+    assert [(r.line, r.size) for r in moves.moved_sizes(sizes, 1, moves.LineMove.delete(2, 1)).collect()] == [(5, 7.0)]
+
+
+def test_moves_that_are_refused():
+    merge = [{"sheet": 1, "r1": 4, "c1": 1, "r2": 6, "c2": 2}]
+    moves.checked(moves.LineMove.move(4, 3, 1), 1, merge)
+    moves.checked(moves.LineMove.move(5, 1, 9), 2, merge)
+    for m, used in ((moves.LineMove.move(5, 1, 9), 0), (moves.LineMove.insert(5, 1), 0), (moves.LineMove.insert(2, 5), moves.ROWS - 3)):
+        with pytest.raises(ValueError):
+            moves.checked(m, 1, merge, used)
+    assert moves.moved_names({"RATE": "Stock!$B$7", "OTHER": "Sum!$B$7"}, "Stock", moves.LineMove.delete(2, 2)) == {"RATE": "Stock!$B$5", "OTHER": "Sum!$B$7"}
 
 
 def test_lines_follow_moves(spark):
@@ -44,35 +108,53 @@ def test_lines_follow_moves(spark):
         moves.LineMove.move(2, 3, 4)
 
 
-def test_formulas_follow_moves_and_names():
-    m = moves.LineMove.delete(3, 2)
-    assert moves.moved_formula('SUM(A3:A9)+B2&"A3"+Otra!A3+$A$3+H!B$9', "H", "H", m) == 'SUM(A3:A7)+B2&"A3"+Otra!A3+#REF!+H!B$7'
-    assert moves.moved_formula("A1+LOG10(B2)+C:D", "H", "H", moves.LineMove.insert(2, 1), rows=False) == "A1+LOG10(C2)+D:E"
-    assert moves.renamed_formula("Hoja1!A1+'Hoja1'!B2&\"Hoja1!\"+[2]Hoja1!A1", "Hoja1", "Mi hoja") == "'Mi hoja'!A1+'Mi hoja'!B2&\"Hoja1!\"+[2]Hoja1!A1"
-    for bad in ("", "a/b", "x" * 32, "'a", "one"):
+def test_formulas_follow_moves_and_names(spark):
+    m = moves.LineMove.delete(6, 3)
+    assert moves.moved_formula('MAX(D5:D12)-D9&"D9"&Plan!D9+D$6+T!$D10', "T", "T", m) == 'MAX(D5:D9)-D6&"D9"&Plan!D9+#REF!+T!$D7'
+    assert moves.moved_formula("EXP1(A2)+B7+LOG10(D4)+F:H", "T", "T", moves.LineMove.insert(3, 2), rows=False) == "EXP1(A2)+B7+LOG10(F4)+H:J"
+    assert moves.renamed_formula("Q1!C3-'Q1'!C4&\"Q1!\"&[7]Q1!C3", "Q1", "First quarter") == "'First quarter'!C3-'First quarter'!C4&\"Q1!\"&[7]Q1!C3"
+    cells = spark.createDataFrame([(1, "Q1!A1*2"), (2, "B1"), (3, None)], "row int, formula string")
+    assert {r.row: r.formula for r in moves.renamed_cells(cells, "Q1", "Late").collect()} == {1: "Late!A1*2", 2: "B1", 3: None}
+    for bad in ("", "in?out", "n" * 32, "end'", "PLAN"):
         with pytest.raises(ValueError):
-            moves.check_sheet_name(bad, ["One"])
+            moves.check_sheet_name(bad, ["Plan"])
 
 
-@pytest.mark.parametrize("source,count,want", [([1.0, 3.0], 3, [5, 7, 9]), ([0.1, 0.2, 0.3], 3, [0.4, 0.5, 0.6]), (["Lote 9"], 1, ["Lote 10"]), (["L08"], 1, ["L09"]), (["LUNES"], 1, ["MARTES"]), (["Q1", "Q3"], 2, ["Q5", "Q7"]), (["dic"], 2, ["ene", "feb"]), ([5.0], 2, [5, 5]), (["=A1+$B$1"], 2, ["=A2+$B$1", "=A3+$B$1"]), (["a", "b"], 3, ["a", "b", "a"])])
+@pytest.mark.parametrize("source,count,want", [([4.0, 1.0], 2, [-2, -5]), ([2.0, 2.5, 3.0], 2, [3.5, 4]), (["Box 99"], 2, ["Box 100", "Box 101"]), (["v007"], 1, ["v008"]), (["TUESDAY"], 2, ["WEDNESDAY", "THURSDAY"]), (["W2", "W6"], 2, ["W10", "W14"]), (["Apr"], 3, ["May", "Jun", "Jul"]), ([8.0], 2, [8, 8]), (["=C3-C$1"], 2, ["=C4-C$1", "=C5-C$1"]), (["on", "off"], 3, ["on", "off", "on"])])
 def test_fills(source, count, want):
     assert fill.series(source, count) == want
 
 
-def test_markers():
-    found = text.scan("Hola {{CLIENTE}}, {{ FECHA : dd/mm }} y {ciudad}.")
-    assert [(m[0], m[3], m[4], m[5]) for m in found] == [("field", "CLIENTE", None, 5), ("field", "FECHA", "dd/mm", 18), ("field", "ciudad", None, 40)]
-    assert text.scan("[1], [2, 3], [4-6], [sic], [ ], [x]") == []
-    assert [(m[5], m[6]) for m in text.scan("ñandú 🦙 {{X}}")] == [(8, 5)]
-    assert text.across_runs(["ab{{", "X", "}} c{{X}}"], "{{X}}", "1") == (["ab1", "", " c1"], 2)
-    assert text.longest_first({"A": "1", "AB": "2"}) == [("AB", "2"), ("A", "1")]
+MARKED = [
+    ("Dear {{FULL NAME}}, on {{ DAY : any day }} at {place:town}", [("FULL NAME", None, 5), ("DAY", "any day", 23), ("place", "town", 46)]),
+    ("{{7}} {{a/b}} {{ : x}} {{}} {x y} {} {:h}", [("7", None, 0), ("a/b", None, 6)]),
+    ("{{a\rb}} {{a\x0bb}} {{a\u2028b}} {{a\u2029b}} {a\nb}", []),
+    ("{so [check this] on} [see {{KEY}}] [{{K2}", [(None, "check this", 4), (None, "see {{KEY}}", 21), ("K2", None, 37)]),
+    ("[12; 14] [3 - 5] [7] [X] [ SIC ] [\t] [1a] [;]", [(None, "1a", 37), (None, ";", 42)]),
+    ("[____] [. . .] [-…-] [\u00a0_]", [(None, None, 0), (None, None, 7), (None, None, 15), (None, None, 21)]),
+    ("🍊ž {{K}}{ {{L:}} }", [("K", None, 3), ("L", None, 10)]),
+]
+
+
+@pytest.mark.parametrize("line,want", MARKED)
+def test_markers(spark, line, want):
+    assert [(m[3], m[4], m[5]) for m in text.scan(line)] == want
+    assert all(line[m[5] : m[5] + m[6]] == m[2] for m in text.scan(line))
+    df = spark.createDataFrame([(line * 2,)], "t string")
+    assert df.select(text.field_keys(F.col("t")).alias("k")).first().k == list(dict.fromkeys(k for k, _, _ in want if k))
+
+
+def test_replacements_across_runs():
+    assert text.across_runs(["to <<", "WH", "O>> and <<WHO>>"], "<<WHO>>", "Bo") == (["to Bo", "", " and Bo"], 2)
+    assert text.longest_first({"K": "1", "KEY": "2", "KE": "3"}) == [("KEY", "2"), ("KE", "3"), ("K", "1")]
 
 
 def test_texts_on_columns(spark):
-    df = spark.createDataFrame([("1.2 Introducción  General", "{{A}} {{ B : x}} {{C}} {d}")], "t string, m string")
+    df = spark.createDataFrame([("3.1) Año  Über-Ålesund", "{{A}} {{ B : x}} {{C}} {d}"), ("12.", "")], "t string, m string")
     values = F.create_map(F.lit("A"), F.lit("1"), F.lit("B"), F.lit("$2"))
     r = df.select(text.title_key(F.col("t")).alias("key"), text.field_keys(F.col("m")).alias("keys"), text.filled_from(F.col("m"), values).alias("filled"), text.replaced(F.col("m"), [(r"\{\{(\w)\}\}", "<$1>")], regex=True).alias("re")).first()
-    assert (r.key, r["keys"], r.filled, r.re) == ("introduccion-general", ["A", "B", "C", "d"], "1 $2 {{C}} {d}", "<A> {{ B : x}} <C> {d}")
+    assert df.select(text.title_key(F.col("t")).alias("key")).collect()[1].key == text.NO_KEY
+    assert (r.key, r["keys"], r.filled, r.re) == ("ano-uber-alesund", ["A", "B", "C", "d"], "1 $2 {{C}} {d}", "<A> {{ B : x}} <C> {d}")
     with pytest.raises(ValueError):
         text.replaced(F.col("m"), [("(?=x)", "")], regex=True)
 
@@ -83,7 +165,7 @@ def test_approximate_match_is_the_scan(spark):
         keys = [float(rng.randrange(12)) for _ in range(rng.randrange(1, 15))]
         table = spark.createDataFrame(list(enumerate(keys)), "ord int, k double")
         left = spark.createDataFrame([(x / 2,) for x in range(-2, 28)], "x double")
-        for r in lookup.approximate_match(left, "x", table, "k", "ord", "place").collect():
+        for r in lookup.approximate_match(left, "x", table, "k", "ord", "place", range_rows=4).collect():
             want = approximate(keys, r.x)
             assert (r.place is None) == (want is None) and (want is None or r.place == want + 1), (keys, r)
 
@@ -94,7 +176,7 @@ def test_as_of_both_ways(spark):
     right = spark.createDataFrame([(float(k), f"v{k}") for k in keys], "k double, v string")
     left = spark.createDataFrame([(float(x),) for x in range(-5, 510, 3)] + [(None,)], "x double")
     for up in (False, True):
-        for r in lookup.as_of(left, "x", right, "k", ["v"], upward=up, ranges=7).collect():
+        for r in lookup.as_of(left, "x", right, "k", ["v"], upward=up, range_rows=9).collect():
             fit = [k for k in keys if r.x is not None and (k >= r.x if up else k <= r.x)]
             assert r.v == (f"v{min(fit) if up else max(fit)}" if fit else None)
 
@@ -138,18 +220,54 @@ def test_sections(spark):
     assert [(r.key, r["first"], r["last"], r.depth, r.parent) for r in got] == [("uno", 0, 3, 0, None), ("dos", 2, 3, 1, "uno"), ("anexo", 4, 4, 0, None), ("anexo-2", 5, 5, 0, None)]
     inside = sections.contents(blocks, sections.from_headings(blocks)).collect()
     assert {r.key: r.content for r in inside} == {"uno": "x\n1.1 Dos\ny", "dos": "y"}
-    assert sections.longest_rising([3, 1, 2, 5, 4]) in ({1, 2, 3}, {1, 2, 4})
     assert [sections.label(n, s) for n, s in ((27, "upperLetter"), (28, "lowerLetter"), (14, "upperRoman"), (7, "decimalZero"))] == ["AA", "bb", "XIV", "07"]
 
 
+def test_longest_rising_run_is_the_first_found():
+    """By the definition: of each place the longest run that ends there, by way of the first place that gives it."""
+    rng = random.Random(9)
+    for _ in range(400):
+        xs = [rng.randrange(8) for _ in range(rng.randrange(12))]
+        size, before = [1] * len(xs), [None] * len(xs)
+        for i, x in enumerate(xs):
+            for j in range(i):
+                if xs[j] < x and size[j] + 1 > size[i]:
+                    size[i], before[i] = size[j] + 1, j
+        want, i = set(), size.index(max(size)) if xs else None
+        while i is not None:
+            want.add(i)
+            i = before[i]
+        assert sections.longest_rising(xs) == want, xs
+    assert sections.longest_rising([2, 1]) == {0}
+
+
 def test_validation_and_plan(spark):
-    names = ["conclusiones", "introduccion", "alcance", "caracterizacion", "caracterizacion-2", "anexo"]
-    found = spark.createDataFrame([("d", k, i * 10, None) for i, k in enumerate(names)], "doc_id string, key string, first int, parent string")
-    schema = spark.createDataFrame([(1, "introduccion", None, False), (2, "alcance", "introduccion", False), (3, "caracterizacion", None, False), (4, "resultados", None, False), (5, "conclusiones", None, False)], "pos int, key string, parent string, optional boolean")
-    empty = spark.createDataFrame([("d", "introduccion")], "doc_id string, key string")
-    got = {(r.key, r.issue) for r in sections.validated(found, schema, empty).collect()}
-    assert got == {("alcance", "parent"), ("caracterizacion", "duplicated"), ("resultados", "missing"), ("introduccion", "empty"), ("conclusiones", "order"), ("anexo", "unexpected")}
-    assert [(r.key, r.after) for r in sections.planned(found, schema).collect()] == [("resultados", "caracterizacion")]
+    names = [("totals", None), ("methods", None), ("sources", "totals"), ("methods", "totals"), ("methods-2", None), ("notes", None), ("scope", None)]
+    found = spark.createDataFrame([("d", k, i * 10, up) for i, (k, up) in enumerate(names)], "doc_id string, key string, first int, parent string")
+    rows = [(1, "scope", None, False), (2, "sources", "methods", False), (3, "methods", None, False), (4, "notes", None, True), (5, "results", None, False), (6, "tables", "results", False), (7, "totals", None, False), (8, "extra", None, True)]
+    schema = spark.createDataFrame(sorted(rows, key=lambda r: (r[1] == "sources", r[0])), "pos int, key string, parent string, optional boolean")
+    with pytest.raises(ValueError):
+        sections.schema_rows(schema)  # sources before its parent
+    schema = schema.withColumn("pos", F.when(F.col("key") == "sources", 4).when(F.col("key") == "notes", 5).when(F.col("pos") > 4, F.col("pos") + 1).otherwise(F.col("pos")))
+    empty = spark.createDataFrame([("d", "notes"), ("d", "scope"), ("d", "methods-2")], "doc_id string, key string")
+    got = sorted((r.key, r.issue) for r in sections.validated(found, schema, empty).collect())
+    # in the document: totals, methods, notes, scope; methods and notes rise
+    want = [("results", "missing"), ("tables", "missing"), ("methods", "duplicated"), ("methods-2", "unexpected"), ("sources", "parent"), ("scope", "empty"), ("totals", "order"), ("scope", "order")]
+    assert got == sorted(want)
+    plan = lambda keys, optional=False: [(r.key, r.place, r.relative_to, r.depth) for r in sections.planned(spark.createDataFrame([("d", k) for k in keys], "doc_id string, key string"), schema, optional).orderBy("nth").collect()]
+    assert plan(["notes", "other"]) == [("scope", "before", "notes", 0), ("methods", "after", "scope", 0), ("sources", "inside", "methods", 1), ("results", "after", "notes", 0), ("tables", "inside", "results", 1), ("totals", "after", "results", 0)]
+    assert plan(["scope", "methods", "sources", "results", "tables", "totals"], True) == [("notes", "after", "methods", 0), ("extra", "after", "totals", 0)]
+    assert plan(["other"])[0] == ("scope", "end", None, 0)
+
+
+def test_many_levels_plan_in_linear_size(spark):
+    df = spark.createDataFrame([(i, float(i)) for i in range(1, 9)], "id int, lane0 double")
+    sizes = []
+    for n in (5, 10, 20):
+        out = recalc.recalculated(df, {f"lane{k}": f"lane{k - 1}+MAX(lane{k - 1})" for k in range(n, 0, -1)})
+        sizes.append(len(out._jdf.queryExecution().optimizedPlan().toString()))
+        assert {r.id: r[f"lane{n}"] for r in out.collect()} == {i: i + 8 * (2**n - 1) for i in range(1, 9)}
+    assert sizes[2] < 5 * sizes[0]
 
 
 def test_workbooks_round_trip(spark, tmp_path):
@@ -235,16 +353,16 @@ def test_edits_of_blocks(spark):
 
 
 def test_areas_declared_and_found(spark):
-    long = [(1, 1, 1, "Ventas 2024", None), (1, 2, 1, "Región", None), (1, 2, 2, "Importe", None), (1, 3, 1, "Norte", None), (1, 3, 2, 120.5, None), (1, 4, 1, "Sur", None), (1, 4, 2, 80.0, None), (1, 8, 5, "solo", None)]
+    long = [(1, 1, 1, "Fruit picked", None), (1, 2, 1, "Grower", None), (1, 2, 2, "Crates", None), (1, 3, 1, "Ana", None), (1, 3, 2, 41.5, None), (1, 4, 1, "Bo", None), (1, 4, 2, 18.0, None), (1, 8, 5, "alone", None)]
     cells = spark.createDataFrame(_cells(long).astype(object).where(lambda d: d.notna(), None), areas.CELLS)
-    declared = spark.createDataFrame([("w.xlsx", 1, "table", "Tabla", 8, 5, 9, 6)], "workbook_id string, sheet int, kind string, name string, r1 int, c1 int, r2 int, c2 int")
+    declared = spark.createDataFrame([("w.xlsx", 1, "table", "Fruit", 8, 5, 9, 6)], "workbook_id string, sheet int, kind string, name string, r1 int, c1 int, r2 int, c2 int")
     every = areas.all_areas(cells, declared)
     assert sorted((r.kind, r.r1, r.c1, r.r2, r.c2) for r in every.collect()) == [("region", 1, 1, 4, 2), ("table", 8, 5, 9, 6)]
-    assert areas.resolved(every, "TABLA").count() == 1 and areas.resolved(every, "A1:B4").count() == 1
+    assert areas.resolved(every, "FRUIT").count() == 1 and areas.resolved(every, "A1:B4").count() == 1
     points = spark.createDataFrame([("w.xlsx", 1, 3, 2), ("w.xlsx", 1, 20, 2)], "workbook_id string, sheet int, row int, col int")
     assert [None if r.area is None else tuple(r.area) for r in areas.region_at(every, points).orderBy("row").collect()] == [(1, 1, 4, 2), None]
     seen = areas.context(cells, 1, 1, 1, 4, 2)
-    assert seen["title"] == "Ventas 2024" and seen["columns"] == ["Región", "Importe"] and seen["profile"][1]["sum"] == 200.5 and seen["markdown"].split("\n")[2] == "| Norte | 120.5 |"
+    assert seen["title"] == "Fruit picked" and seen["columns"] == ["Grower", "Crates"] and seen["profile"][1]["sum"] == 59.5 and seen["markdown"].split("\n")[2] == "| Ana | 41.5 |"
 
 
 def test_side_tables(spark):
