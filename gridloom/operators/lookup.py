@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of one range that rows are dealt out to by a key, about, and the most ranges there are.
 RANGE_ROWS, RANGES = 500_000, 1000
+#: Rows of a table that a lookup searches in memory, at most.
+SMALL = 20_000
 
 
 def dealt(df: DataFrame, key: str, rows: int = RANGE_ROWS) -> tuple[DataFrame, int]:
@@ -56,15 +60,20 @@ def exact(left: DataFrame, key: str, right: DataFrame, right_key: str, value: st
     return joined.select(*[left[c] for c in left.columns], got.alias(out), error.alias(f"{out}__err"))
 
 
-def as_of(left: DataFrame, key: str, right: DataFrame, right_key: str, values: list[str], out_prefix: str = "", upward: bool = False, range_rows: int = RANGE_ROWS) -> DataFrame:
+def as_of(left: DataFrame, key: str, right: DataFrame, right_key: str, values: list[str], out_prefix: str = "", upward: bool = False, range_rows: int = RANGE_ROWS, small: int = SMALL) -> DataFrame:
     """left with the values of the row of right that has the largest right_key up to key (upward: the
     smallest from key on), null where there is none. Of equal right keys one row must remain: the first.
 
-    The answer depends on the key alone, so left's keys are made distinct, dealt out by ranges together with
+    Up to SMALL rows of right are searched by halves in Arrow batches, and left is not shuffled. Beyond: the
+    answer depends on the key alone, so left's keys are made distinct, dealt out by ranges together with
     right's, and sorted once: a key's answer is the last right row before it, in its range or carried on from
     the ranges before. Then left meets the answers by its key, where a frequent key can be split."""
     sign = -1 if upward else 1
     bands = right.select((F.col(right_key) * sign).cast("double").alias("__x"), F.struct(*[F.col(v).alias(f"v{i}") for i, v in enumerate(values)]).alias("__band")).filter("__x is not null").dropDuplicates(["__x"])
+    # one more than may be: so many values of one column at most come to the driver
+    lows = sorted(r[0] for r in bands.select("__x").limit(small + 1).collect())
+    if len(lows) <= small:
+        return _searched(left, (F.col(key) * sign).cast("double"), bands, np.array(lows, float), values, out_prefix)
     keys = left.select((F.col(key) * sign).cast("double").alias("__x")).filter("__x is not null").distinct()
     rows, n = dealt(keys.withColumn("__band", F.lit(None)).withColumn("__own", F.lit(1)).unionByName(bands.withColumn("__own", F.lit(0))), "__x", range_rows)
     inside = Window.partitionBy("__range").orderBy("__x", "__own").rowsBetween(Window.unboundedPreceding, 0)
@@ -76,7 +85,19 @@ def as_of(left: DataFrame, key: str, right: DataFrame, right_key: str, values: l
     return joined.select(*[F.col(f"`{c}`") for c in left.columns], *[F.col("__hit")[f"v{i}"].alias(f"{out_prefix}{v}") for i, v in enumerate(values)])
 
 
-def approximate_match(left: DataFrame, key: str, right: DataFrame, right_key: str, order: str, out: str, range_rows: int = RANGE_ROWS) -> DataFrame:
+def _searched(left: DataFrame, x: Column, bands: DataFrame, lows: np.ndarray, values: list[str], out_prefix: str) -> DataFrame:
+    """as_of() with the keys of few bands, which are also broadcast: their number has been checked."""
+
+    @F.pandas_udf("int")
+    def place(v: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(lows, v.to_numpy(float), side="right"))
+
+    numbered = bands.select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("__x")).alias("__nth"), "__band")
+    joined = left.withColumn("__place", F.when(x.isNotNull(), place(x))).join(F.broadcast(numbered), F.col("__place") == F.col("__nth"), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in left.columns], *[F.col("__band")[f"v{i}"].alias(f"{out_prefix}{v}") for i, v in enumerate(values)])
+
+
+def approximate_match(left: DataFrame, key: str, right: DataFrame, right_key: str, order: str, out: str, range_rows: int = RANGE_ROWS, small: int = SMALL) -> DataFrame:
     """left with out: the 1-based place in right, in its order, that an approximate MATCH finds; null for
     #N/A. It holds for unsorted tables too: the scan's stop for x is the first key above x, so the rows
     that matter are the running maxima, and the place is the last row before the stop, or the first equal.
@@ -95,7 +116,7 @@ def approximate_match(left: DataFrame, key: str, right: DataFrame, right_key: st
     after = carried(firsts.withColumn("__range", F.lit(m - 1) - F.col("__range")), m, "first", lambda v: F.last(v, ignorenulls=True)).withColumn("__at", F.lit(m - 1) - F.col("__at"))
     stops = peaks.withColumn("stop", F.lead("place").over(Window.partitionBy("__range").orderBy("place"))).join(after, F.col("__range") == F.col("__at"))
     stops = stops.withColumn("end", F.coalesce(F.col("stop") - 1, -F.col("carried") - 1, F.lit(total)))
-    near = as_of(left, key, stops.select("k", "end"), "k", ["end"], "__", range_rows=range_rows)
+    near = as_of(left, key, stops.select("k", "end"), "k", ["end"], "__", range_rows=range_rows, small=small)
     same = own.groupBy("k").agg(F.min("place").alias("__same"))
     joined = near.join(same, F.col(key).cast("double") == F.col("k"), "left")
     place = F.when((F.col("__same").isNotNull()) & (F.col("__same") <= F.col("__end")), F.col("__same")).otherwise(F.col("__end"))

@@ -165,7 +165,7 @@ def test_approximate_match_is_the_scan(spark):
         keys = [float(rng.randrange(12)) for _ in range(rng.randrange(1, 15))]
         table = spark.createDataFrame(list(enumerate(keys)), "ord int, k double")
         left = spark.createDataFrame([(x / 2,) for x in range(-2, 28)], "x double")
-        for r in lookup.approximate_match(left, "x", table, "k", "ord", "place", range_rows=4).collect():
+        for r in [*lookup.approximate_match(left, "x", table, "k", "ord", "place", range_rows=4, small=0).collect(), *lookup.approximate_match(left, "x", table, "k", "ord", "place").collect()]:
             want = approximate(keys, r.x)
             assert (r.place is None) == (want is None) and (want is None or r.place == want + 1), (keys, r)
 
@@ -175,8 +175,10 @@ def test_as_of_both_ways(spark):
     keys = sorted({rng.randrange(500) for _ in range(60)})
     right = spark.createDataFrame([(float(k), f"v{k}") for k in keys], "k double, v string")
     left = spark.createDataFrame([(float(x),) for x in range(-5, 510, 3)] + [(None,)], "x double")
-    for up in (False, True):
-        for r in lookup.as_of(left, "x", right, "k", ["v"], upward=up, range_rows=9).collect():
+    for up, small in ((False, 0), (True, 0), (False, 99), (True, 99)):
+        got = lookup.as_of(left, "x", right, "k", ["v"], upward=up, range_rows=9, small=small).collect()
+        assert len(got) == left.count()
+        for r in got:
             fit = [k for k in keys if r.x is not None and (k >= r.x if up else k <= r.x)]
             assert r.v == (f"v{min(fit) if up else max(fit)}" if fit else None)
 
