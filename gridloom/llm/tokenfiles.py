@@ -6,16 +6,19 @@ the data bytes, 1 to 4. So frequent ids take one byte, and a block is decoded by
 gathers in numpy, without a loop. Blocks are rows of a Parquet table in the shared folder (executors
 reach no other store), each complete in itself: its table of ids, its documents and a checksum.
 
-The tokenizer drops white space, so each distinct white-space-separated chunk of text is encoded once
-in a task and looked up from then on.
+A tokenizer that drops white space and parts letters from marks (cuttable) gets each distinct
+white-space-separated chunk of text once in a task, and its ids are looked up from then on; others get
+whole texts. The ids of a text depend on nothing but the text.
 
-A null text is an empty one: its only id is the end id. Rows that repeat a doc_id, and rows without
-one, come in order of their text; missing ids and texts first. No documents: an empty result.
+A null text is an empty one: its only id is the end id. Very long texts are encoded whole. Rows that
+repeat a doc_id, and rows without one, which come first, lie in order of a hash of their text; rows that
+are the same lie next to each other. No documents: an empty result.
 """
 
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import re
 import struct
@@ -40,6 +43,22 @@ _HEAD = struct.Struct("<4sIIIII")  # magic, distinct ids, documents, ids, data b
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
 
+#: How the tokenizers that texts may be cut up for prepare a text, as their files say it.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_END, SPECIAL = "</w>", "<|"
+
+
+def cuttable(spec: dict) -> bool:
+    """Whether a tokenizer drops white space, ignores case but for special tokens that begin with <|, and parts
+    letters from marks, so that texts may be encoded by chunks. Any other tokenizer gets whole texts."""
+    parts = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    split = {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}
+    level = all(p.get("type") == "ByteLevel" and not p.get("add_prefix_space") and not p.get("use_regex") for p in parts[1:])
+    plain = all(t["content"].startswith(SPECIAL) and not t["lstrip"] and not t["rstrip"] and not t["single_word"] and not t["normalized"] for t in spec.get("added_tokens", []))
+    return spec.get("normalizer") == NORMALIZER and parts[0] == split and level and plain and spec["model"].get("end_of_word_suffix") == WORD_END and spec.get("truncation") is None
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -64,9 +83,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.cut = cuttable(json.loads(self.tokenizer.to_str()))
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.ends = np.zeros(self.size, bool)
-        self.ends[[i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token.endswith("</w>")]] = True
+        self.ends[[i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token.endswith(WORD_END)]] = True
         self._clear()
 
     def _clear(self) -> None:
@@ -127,7 +147,7 @@ class Encoder:
 
     def _chunks(self, text: bytes | None) -> list[bytes]:
         text = text or b""
-        return text.split() if b"<|" in text else self._TAILED.sub(rb" \1", text.lower()).split()
+        return text.split() if SPECIAL.encode() in text else self._TAILED.sub(rb" \1", text.lower()).split()
 
     def places(self, words: list[bytes]) -> np.ndarray:
         if len(self.known) > self.BOUND:
@@ -142,6 +162,10 @@ class Encoder:
     def encode(self, texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For runs of texts: their ids, the end id after each text, and the number of each text's ids."""
         for a, b in chunked(texts, 1 << 20):
+            if not self.cut:
+                counts, ids = self._alone([t or b"" for t in texts[a:b]])
+                yield np.insert(ids, np.cumsum(counts), np.uint32(END_ID)), counts + 1
+                continue
             words = list(map(self._chunks, texts[a:b]))
             counts = np.fromiter(map(len, words), np.int64, len(words))
             places = self.places(list(itertools.chain.from_iterable(words)))
@@ -235,7 +259,9 @@ def write(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str | None
             yield out()
 
     parts = 1 + text_bytes(docs) // RANGE_BYTES
-    ordered = docs.repartitionByRange(int(parts), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    # the text's hash lets rows that share an id, or have none, lie in several ranges
+    keys = F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()
+    ordered = docs.repartitionByRange(int(parts), *keys).sortWithinPartitions(*keys, F.col("text").asc_nulls_first())
     ordered.mapInArrow(blocks, "part int, seq int, before long, n_ids long, block binary").write.option("compression", "zstd").parquet(path)
 
 
