@@ -291,18 +291,20 @@ class Compiler:
         """A whole formula evaluated in Python for each row, as struct<v: struct<k, n, s, b>, e>."""
         used = sorted({n for n in _names(e) if n in self.names})
         kinds = [self.names[n].kind for n in used]
+        failed = [i for i, n in enumerate(used) if self.names[n].error is not None]
         evaluate(Book({"s": {}}, {(None, n): "0" for n in used}), "s", 1, 1, e)  # Unsupported shows here
 
         @F.pandas_udf("v struct<k: string, n: double, s: string, b: boolean>, e string")
         def run(*columns: pd.Series) -> pd.DataFrame:
             out, names = [], {(None, n): f"$A${i + 1}" for i, n in enumerate(used)}
-            for row in zip(*columns, strict=True):
-                cells = {(i + 1, 1): _cell(k, x) for i, (k, x) in enumerate(zip(kinds, row, strict=True))}
+            for row in zip(*columns, strict=True):  # the names' values, then the errors of some
+                cells = {(i + 1, 1): _cell(k, x) for i, (k, x) in enumerate(zip(kinds, row[: len(kinds)], strict=True))}
+                cells |= {(i + 1, 1): Err(code) for i, code in zip(failed, row[len(kinds) :], strict=True) if isinstance(code, str)}
                 out.append(evaluate(Book({"s": cells}, names), "s", 1, 2, e))
             tags = [None if isinstance(v, Err) else {"k": B if isinstance(v, bool) else N if isinstance(v, float) else S, "n": v if isinstance(v, float) else None, "s": v if isinstance(v, str) else None, "b": v if isinstance(v, bool) else None} for v in out]
             return pd.DataFrame({"v": tags, "e": [v.code if isinstance(v, Err) else None for v in out]})
 
-        return run(*[self.names[n].value for n in used]) if used else run(F.lit(0.0))
+        return run(*[self.names[n].value for n in used], *[self.names[used[i]].error for i in failed]) if used else run(F.lit(0.0))
 
     def numbers(self, e: p.Expr) -> V:
         """An argument as SUM reads it, null where it does not count."""
@@ -1020,12 +1022,13 @@ def _shown(v: V, alias: str, with_error: bool = True) -> list[Column]:
     return [value.alias(alias), *[error.alias(f"{alias}__err")] * with_error]
 
 
-def with_formulas(df: DataFrame, formulas: dict[str, str], errors: bool = True, order: Column | None = None) -> DataFrame:
-    """df with a column for each formula, one projection for all, and a column __err for its errors.
+def with_formulas(df: DataFrame, formulas: dict[str, str | p.Expr], errors: bool = True, order: Column | None = None, names: dict[str, V] | None = None) -> DataFrame:
+    """df with a column for each formula, one projection for all, and a column __err for its errors. names: what
+    else formulas may call by name.
 
     A formula whose value is of no one kind becomes struct<k, n, s, b> with the kind of each row."""
     global _bindings
-    c, out, bound = RowCompiler(df, order), [], Bindings()
+    c, out, bound = RowCompiler(df, order, names), [], Bindings()
     _bindings = bound
     try:
         for alias, f in formulas.items():
@@ -1033,7 +1036,7 @@ def with_formulas(df: DataFrame, formulas: dict[str, str], errors: bool = True,
                 out += _shown(c.compile(f), alias, errors)
             except Unsupported:
                 bound.own = []
-                value = c.tagged(p.parse(f))
+                value = c.tagged(p.parse(f) if isinstance(f, str) else f)
                 out += [value["v"].alias(alias), *[value["e"].alias(f"{alias}__err")] * errors]
             bound.keep()
     finally:

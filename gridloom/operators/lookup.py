@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.formula.values import wildcard
+
 #: Rows of one range that rows are dealt out to by a key, about, and the most ranges there are.
 RANGE_ROWS, RANGES = 500_000, 1000
 #: Rows of a table that a lookup searches in memory, at most.
@@ -41,11 +43,12 @@ def _is_text(df: DataFrame, name: str) -> bool:
     return dict(df.dtypes)[name] == "string"
 
 
-def exact(left: DataFrame, key: str, right: DataFrame, right_key: str, value: str, order: str, out: str, last: bool = False, default=None) -> DataFrame:
+def exact(left: DataFrame, key: str, right: DataFrame, right_key: str, value: str, order: str, out: str, last: bool = False, default=None, wild: bool = False) -> DataFrame:
     """left with out, the value of the first row of right (last: the last one) whose key is equal, texts
     without regard to case; out__err is #N/A where there is none, unless a default is given.
 
-    right is reduced to a row for each key before the join, so its copies of a key never multiply rows."""
+    right is reduced to a row for each key before the join, so its copies of a key never multiply rows. wild:
+    texts with * ? or ~ fit keys as patterns do; there may be PATTERNS different ones."""
     if _is_text(left, key) != _is_text(right, right_key):
         found = right.limit(0)  # values of different kinds are never equal
     else:
@@ -53,7 +56,10 @@ def exact(left: DataFrame, key: str, right: DataFrame, right_key: str, value: st
     pick = F.max_by if last else F.min_by
     folded = _fold(F.col(right_key), _is_text(right, right_key))
     firsts = found.filter(F.col(right_key).isNotNull()).groupBy(folded.alias("__key")).agg(pick(F.struct(F.col(value).alias("v")), F.col(order)).alias("__hit"))
-    joined = left.join(firsts, _fold(F.col(key), _is_text(left, key)) == F.col("__key"), "left")
+    folded_key = _fold(F.col(key), _is_text(left, key))
+    if wild and _is_text(left, key) and _is_text(right, right_key):
+        firsts = firsts.filter(~F.col("__key").rlike(WILD)).unionByName(_fitting(left.select(folded_key.alias("__key")), found, right_key, value, order, pick))
+    joined = left.join(firsts, folded_key == F.col("__key"), "left")
     hit = F.col("__hit").isNotNull()
     got = F.col("__hit")["v"] if default is None else F.when(hit, F.col("__hit")["v"]).otherwise(F.lit(default))
     error = F.lit(None).cast("string") if default is not None else F.when(~hit, F.lit("#N/A"))
@@ -85,6 +91,29 @@ def as_of(left: DataFrame, key: str, right: DataFrame, right_key: str, values: l
     return joined.select(*[F.col(f"`{c}`") for c in left.columns], *[F.col("__hit")[f"v{i}"].alias(f"{out_prefix}{v}") for i, v in enumerate(values)])
 
 
+#: Characters that make a text a pattern, and the number of different patterns that one lookup may have.
+WILD, PATTERNS = r"[*?~]", 1000
+
+
+def _fitting(keys: DataFrame, right: DataFrame, right_key: str, value: str, order: str, pick) -> DataFrame:
+    """(__key, __hit) for each pattern among keys that some row of right fits. Every pattern is tried on every row,
+    so their number is checked."""
+    asked = [r[0] for r in keys.filter(F.col("__key").rlike(WILD)).distinct().limit(PATTERNS + 1).collect()]
+    if len(asked) > PATTERNS:
+        raise ValueError(f"a lookup by more than {PATTERNS} patterns")
+    patterns = keys.sparkSession.createDataFrame([(k, "(?is)" + wildcard(k).pattern) for k in asked], "__key string, __pattern string")
+    met = right.filter(F.col(right_key).isNotNull()).join(F.broadcast(patterns), F.rlike(F.col(right_key), F.col("__pattern")))
+    return met.groupBy("__key").agg(pick(F.struct(F.col(value).alias("v")), F.col(order)).alias("__hit"))
+
+
+def numbered(df: DataFrame, order: str, out: str, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """df with out, the number of each row from 1 on in an order, counted by ranges of it."""
+    rows, n = dealt(df, order, range_rows)
+    counts = carried(rows.groupBy("__range").agg(F.count("*").alias("rows")), n, "rows", F.sum)
+    nth = F.row_number().over(Window.partitionBy("__range").orderBy(order))
+    return rows.withColumn("__nth", nth).join(counts, F.col("__range") == F.col("__at")).select(*[F.col(f"`{c}`") for c in df.columns], (F.col("__nth") + F.coalesce("carried", F.lit(0))).cast("long").alias(out))
+
+
 def _searched(left: DataFrame, x: Column, bands: DataFrame, lows: np.ndarray, values: list[str], out_prefix: str) -> DataFrame:
     """as_of() with the keys of few bands, which are also broadcast: their number has been checked."""
 

@@ -524,3 +524,25 @@ def fill_from_row(spark, d):
 @query("""SELECT p_partkey, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '-', 'g'), '-') AS key FROM part""")
 def title_keys(spark, d):
     return _t(spark, d, "part").select("p_partkey", text.title_key(F.concat(F.lit(" 2.1) "), F.col("p_type"))).alias("key"))
+
+
+@query("""SELECT c_custkey, n_name AS nation, 'in ' || coalesce(CASE WHEN r_regionkey <> 1 THEN r_name END, 'none') AS region, (n_nationkey + 1)::DOUBLE AS place, CASE WHEN c_acctbal >= 0 THEN 'band ' || CAST(least(39, floor(c_acctbal / 500))::INT AS VARCHAR) END AS band, CASE WHEN c_acctbal < 0 THEN '#N/A' END AS band__err,
+  (SELECT min_by(n_name, n_nationkey) FROM nation WHERE n_name ILIKE '_%1' || CASE WHEN c_custkey % 2 = 0 THEN '%' ELSE '' END) AS fits, (SELECT n_name FROM nation WHERE n_nationkey = c_custkey % 30) AS nth, CASE WHEN c_custkey % 30 > 24 THEN '#REF!' END AS nth__err,
+  CASE WHEN c_acctbal <= 9000 THEN greatest(0, ceil(c_acctbal / 500)) * 2 ELSE -1 END::DOUBLE AS above
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def lookup_formulas(spark, d):
+    """Lookups within formulas, one of them by the result of another."""
+    from gridloom.plans.lookups import Table, with_lookups
+
+    steps = spark.range(0, 40).select((F.col("id") * 500.0).alias("lo"), F.concat(F.lit("band "), F.col("id")).alias("band"), F.col("id").alias("ord"), (F.col("id") * 2).alias("twice"))
+    tables = {"nations": Table(_t(spark, d, "nation"), ("n_nationkey", "n_name", "n_regionkey"), "n_nationkey"), "regions": Table(_t(spark, d, "region").filter("r_regionkey <> 1"), ("r_regionkey", "r_name"), "r_regionkey"), "steps": Table(steps, ("lo", "band"), "ord"), "few": Table(steps.filter("lo <= 9000"), ("lo", "twice"), "ord")}
+    out = with_lookups(_t(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal"), {
+        "nation": "VLOOKUP(c_nationkey,nations,2,FALSE)",
+        "region": '"in "&XLOOKUP(VLOOKUP(c_nationkey,nations,3,FALSE),regions.r_regionkey,regions.r_name,"none")',
+        "place": "MATCH(c_nationkey,nations.n_nationkey,0)",
+        "band": "VLOOKUP(c_acctbal,steps,2)",
+        "fits": 'XLOOKUP(IF(ISEVEN(c_custkey),"?*1*","?*1"),nations.n_name,nations.n_name,,2)',
+        "nth": "INDEX(nations.n_name,MOD(c_custkey,30)+1)",
+        "above": "XLOOKUP(c_acctbal,few.lo,few.twice,-1,1)",
+    }, tables)
+    return out.select("c_custkey", "nation", "region", "place", "band", "band__err", "fits", "nth", "nth__err", "above")

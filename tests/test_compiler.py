@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.formula.compiler import aggregated, with_formulas
 from gridloom.formula.interpreter import Book, evaluate
 from gridloom.formula.values import Err
+from gridloom.plans.lookups import Table, with_lookups
 
 ROWS = [(0, 1.5, -2.0, "norte", True), (1, 0.0, 3.0, "Sur 12", False), (2, None, 0.0, None, None), (3, 2.675, 1e9, " x  Y ", True), (4, -7.25, 100.0, "12.5", False), (5, 45000.75, 45100.0, "a-b-a-b", True), (6, 60.0, 61.0, "ñandú €", None), (7, 1e-12, 2.0, "50%", True), (8, 0.30000000000000004, -1.0, "TRUE", False)]
 NAMES = ["id", "x", "y", "s", "b"]
@@ -91,3 +92,34 @@ def test_aggregates_are_what_the_interpreter_makes(table):
         if not _same(out[f"f{i}"], out[f"f{i}__err"], want):
             wrong.append((f, out[f"f{i}"], out[f"f{i}__err"], want))
     assert not wrong, wrong
+
+
+LOOKUPS = {
+    "VLOOKUP(x,t,2,FALSE)": "VLOOKUP({x},{t},2,FALSE)", "VLOOKUP(x,t,3)": "VLOOKUP({x},{t},3)", "VLOOKUP(s,u,2,FALSE)": "VLOOKUP({s},{u},2,FALSE)", "MATCH(x,t.k,0)": "MATCH({x},{tk},0)", "MATCH(x,t.k)": "MATCH({x},{tk})", "MATCH(x,f.k,-1)": "MATCH({x},{fk},-1)", "MATCH(s,u.k,0)": "MATCH({s},{uk},0)",
+    "XLOOKUP(x,t.k,t.n)": "XLOOKUP({x},{tk},{tn})", 'XLOOKUP(x,t.k,t.v,"no")': 'XLOOKUP({x},{tk},{tv},"no")', "XLOOKUP(x,t.k,t.n,,1)": "XLOOKUP({x},{tk},{tn},,1)", "XLOOKUP(x,t.k,t.n,0,-1)": "XLOOKUP({x},{tk},{tn},0,-1)", "XLOOKUP(x,t.k,t.n,,0,-1)": "XLOOKUP({x},{tk},{tn},,0,-1)", 'XLOOKUP(s,u.k,u.n,"-",2)': 'XLOOKUP({s},{uk},{un},"-",2)', "XLOOKUP(s,u.k,u.n,,2,-1)": "XLOOKUP({s},{uk},{un},,2,-1)", "XLOOKUP(s,u.k,u.n)": "XLOOKUP({s},{uk},{un})",
+    "INDEX(t.v,x)": "INDEX({tv},{x})", "VLOOKUP(VLOOKUP(x,t,2,FALSE),t,3)&s": "VLOOKUP(VLOOKUP({x},{t},2,FALSE),{t},3)&{s}", "IFERROR(VLOOKUP(1/x,t,2,FALSE),-1)": "IFERROR(VLOOKUP(1/{x},{t},2,FALSE),-1)", "VLOOKUP(x,t,4,FALSE)": "VLOOKUP({x},{t},4,FALSE)",
+}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_lookups_are_what_the_interpreter_makes(spark, seed):
+    rng = random.Random(seed)
+    keys = [float(rng.randrange(8)) for _ in range(9)]
+    t = [(i, k, float(rng.randrange(8)), f"v{i}") for i, k in enumerate(sorted(keys) if seed == 1 else keys)]
+    f = [(i, k) for i, k in enumerate(sorted(keys, reverse=True) if seed == 1 else keys)]
+    u = [(i, k, float(i)) for i, k in enumerate(["plum", "Pear", "fig", "pear", "f*g", "date"])]
+    tables = {"t": Table(spark.createDataFrame(t, "o int, k double, n double, v string"), ("k", "n", "v"), "o"), "f": Table(spark.createDataFrame(f, "o int, k double"), ("k",), "o"), "u": Table(spark.createDataFrame(u, "o int, k string, n double"), ("k", "n"), "o")}
+    rows = [(i, x / 2, s) for i, (x, s) in enumerate(zip(range(2, 20), ["pear", "PEAR", "p*", "?ig", "f~*g", "kiwi", "*", "dat?", "d", "fig"] * 2, strict=False))]
+    out = with_lookups(spark.createDataFrame(rows, "id int, x double, s string"), {f"f{i}": x for i, x in enumerate(LOOKUPS)}, tables).orderBy("id").collect()
+    cells = {(r + 1, c): v for r, row in enumerate(t) for c, v in enumerate(row[1:], 2)} | {(r + 1, 6): row[1] for r, row in enumerate(f)} | {(r + 1, c): v for r, row in enumerate(u) for c, v in enumerate(row[1:], 8)}
+    at = {"t": "$B$1:$D$9", "tk": "$B$1:$B$9", "tn": "$C$1:$C$9", "tv": "$D$1:$D$9", "fk": "$F$1:$F$9", "u": "$H$1:$I$6", "uk": "$H$1:$H$6", "un": "$I$1:$I$6"}
+    wrong = []
+    for (i, x, s), got in zip(rows, out, strict=True):
+        for k, (formula, plain) in enumerate(LOOKUPS.items()):
+            book = Book({"s": cells | {(30, 1): x, (30, 2): s}}, {})
+            want = evaluate(book, "s", 30, 20, plain.format(x="$A$30", s="$B$30", **at))
+            value = got[f"f{k}"]
+            value = value[{"number": "n", "text": "s", "bool": "b"}[value.k]] if isinstance(value, Row) else value
+            if not _same(value, got[f"f{k}__err"], want):
+                wrong.append((formula, x, s, value, got[f"f{k}__err"], want))
+    assert not wrong, (len(wrong), wrong[:12], keys)
