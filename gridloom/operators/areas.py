@@ -68,8 +68,9 @@ def regions(cells: DataFrame) -> DataFrame:
 
 
 def region_at(areas: DataFrame, points: DataFrame) -> DataFrame:
-    """points (workbook_id, sheet, row, col) with the smallest area around each."""
-    size = (F.col("r2") - F.col("r1") + 1) * (F.col("c2") - F.col("c1") + 1)
+    """points (workbook_id, sheet, row, col) with the area around each: a table if there is one, the smallest."""
+    table = (F.col("kind") != "table") if "kind" in areas.columns else F.lit(True)
+    size = F.struct(table, (F.col("r2") - F.col("r1") + 1) * (F.col("c2") - F.col("c1") + 1))
     inside = F.col("row").between(F.col("r1"), F.col("r2")) & F.col("col").between(F.col("c1"), F.col("c2"))
     found = points.join(areas, ["workbook_id", "sheet"], "left").withColumn("__box", F.when(inside, F.struct("r1", "c1", "r2", "c2")))
     return found.groupBy("workbook_id", "sheet", "row", "col").agg(F.min_by("__box", F.when(inside, size)).alias("area"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,8 +58,14 @@ def merged(blocks: DataFrame, doc_id, at: int) -> DataFrame:
 
 def with_rows(cells: DataFrame, doc_id, table: int, move: LineMove) -> DataFrame:
     """Cells of tables (doc_id, table, row, col, ...) after rows of one were inserted, deleted or moved;
-    refused where a cell spans rows."""
+    refused where a cell spans rows (row_span) that would not stay together, or that are deleted in part."""
     own = _at(doc_id) & (F.col("table") == table)
+    if "row_span" in cells.columns:
+        spans = cells.filter(own & (F.col("row_span") > 1)).select("row", (F.col("row") + F.col("row_span") - 1).alias("end"))
+        edges = {"move": (move.first, move.first + move.count, move.before), "insert": (move.first,), "delete": (move.first, move.first + move.count)}[move.kind]
+        torn = [(F.col("row") < x) & (F.col("end") >= x) for x in edges]
+        if not spans.filter(functools.reduce(lambda a, b: a | b, torn)).isEmpty():
+            raise ValueError("a cell spans the rows")
     return cells.withColumn("row", F.when(own, move.column(F.col("row"))).otherwise(F.col("row"))).filter("row is not null")
 
 

@@ -199,3 +199,69 @@ def label(n: int, style: str) -> str:
     if style == "ordinal":
         return f"{n}º"
     return str(n)
+
+
+def _digit(n, ones: str, five: str, ten: str):
+    """A digit of a Roman number."""
+    marks = ["", ones, ones * 2, ones * 3, ones + five, five, five + ones, five + ones * 2, five + ones * 3, ones + ten]
+    return F.get(F.array(*map(F.lit, marks)), F.pmod(n, F.lit(10)).cast("int"))
+
+
+def label_column(n, style):
+    """label() of columns: a number and the name of a style."""
+    letter = F.char((65 + F.pmod(n - 1, F.lit(26))).cast("long"))
+    letters = F.when(n > 0, F.repeat(letter, F.floor((n - 1) / 26).cast("int") + 1)).otherwise(F.lit(""))
+    roman = F.when(n > 0, F.concat(F.repeat(F.lit("M"), F.floor(n / 1000).cast("int")), _digit(F.floor(n / 100), "C", "D", "M"), _digit(F.floor(n / 10), "X", "L", "C"), _digit(n, "I", "V", "X"))).otherwise(F.lit(""))
+    plain = n.cast("string")
+    out = F.when(style == "upperLetter", letters).when(style == "lowerLetter", F.lower(letters)).when(style == "upperRoman", roman).when(style == "lowerRoman", F.lower(roman))
+    return out.when((style == "decimalZero") & n.between(0, 9), F.concat(F.lit("0"), plain)).when(style == "ordinal", F.concat(plain, F.lit("º"))).otherwise(plain)
+
+
+#: Levels of a list.
+LEVELS = 9
+
+
+def list_labels(items: DataFrame, levels: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """items (doc_id, ord, list_id, level; num_id if starts are given) with label, each list's own way. levels:
+    (list_id, level, start, style, pattern), where %1 to %9 in a pattern stand for the levels' numbers; styles none
+    and bullet show no number. starts: (num_id, level, start) begin a level anew at the first item of a num_id;
+    lists that several num_ids share go on counting otherwise.
+
+    An item ends the counts of deeper levels, and so does a new start, of its own level too. A level's number is
+    its start and the items since its count was last ended: running sums over a document's list."""
+    at = Window.partitionBy("doc_id", "list_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    struct = F.struct("start", "style", "pattern")
+    lists = levels.groupBy("list_id").agg(F.map_from_entries(F.collect_list(F.struct("level", struct))).alias("__levels"))  # a list's few levels
+    top = min(LEVELS, (levels.agg(F.max("level")).first()[0] or 0) + 1)
+    rows = items.withColumn("level", F.least(F.col("level"), F.lit(LEVELS - 1)).cast("int")).join(lists, "list_id")
+    rows = rows.filter(F.map_contains_key("__levels", F.col("level")))  # items of other levels have no label and count nowhere
+    if starts is not None:
+        anew = starts.groupBy("num_id").agg(F.map_from_entries(F.collect_list(F.struct("level", "start"))).alias("__anew"))
+        first = F.row_number().over(Window.partitionBy("doc_id", "num_id").orderBy("ord")) == 1
+        rows = rows.withColumn("__first", first).join(anew, "num_id", "left").withColumn("__anew", F.when(F.col("__first"), F.col("__anew")))
+    else:
+        rows = rows.withColumn("__anew", F.lit(None).cast("map<int,int>"))
+    numbers = []
+    for k in range(top):
+        # what ends level k's count ahead of an item: an item above it, or a new start at k or above
+        own = F.try_element_at("__anew", F.lit(k))
+        above = functools.reduce(lambda a, b: a | b, [F.try_element_at(F.col("__anew"), F.lit(j)).isNotNull() for j in range(k)], F.lit(False))
+        ended = (F.col("level") < k) | above | own.isNotNull()
+        rows = rows.withColumns({f"__end{k}": F.sum(ended.cast("int")).over(at), f"__own{k}": own})
+        run = Window.partitionBy("doc_id", "list_id", f"__end{k}").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+        seen = F.sum((F.col("level") == k).cast("int")).over(run)
+        # a count that a new start opened goes on from it, even before its first item
+        opened = F.first(F.when(F.col("level") >= k, F.col(f"__own{k}"))).over(run)
+        start = F.coalesce(F.try_element_at("__levels", F.lit(k))["start"], F.lit(1))
+        rows = rows.withColumn(f"__n{k}", F.when(opened.isNotNull(), opened - 1 + seen).when(seen > 0, start + seen - 1).otherwise(start))
+        numbers.append(F.when(F.col("level") < k, start).otherwise(F.col(f"__n{k}")))
+    own = F.element_at("__levels", F.col("level"))
+    label = own["pattern"]
+    for k in reversed(range(LEVELS)):
+        if k >= top:
+            label = F.replace(label, F.lit(f"%{k + 1}"), F.lit("1"))
+            continue
+        style = F.coalesce(F.try_element_at("__levels", F.lit(k))["style"], F.lit("decimal"))
+        label = F.replace(label, F.lit(f"%{k + 1}"), label_column(numbers[k], style))
+    label = F.when(own["style"] == "none", F.lit("")).when(own["style"] == "bullet", own["pattern"]).otherwise(label)
+    return rows.withColumn("label", label).select(*[F.col(f"`{c}`") for c in items.columns], "label")

@@ -546,3 +546,13 @@ def lookup_formulas(spark, d):
         "above": "XLOOKUP(c_acctbal,few.lo,few.twice,-1,1)",
     }, tables)
     return out.select("c_custkey", "nation", "region", "place", "band", "band__err", "fits", "nth", "nth__err", "above")
+
+
+@query("""WITH i AS (SELECT user_id, event_id, CAST(event_id % 3 AS INT) AS level FROM events), r AS (SELECT *, sum(CASE WHEN level < 1 THEN 1 ELSE 0 END) OVER w AS a, sum(CASE WHEN level < 2 THEN 1 ELSE 0 END) OVER w AS z FROM i WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+  n AS (SELECT *, sum(CASE WHEN level = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, a ORDER BY event_id) AS b, row_number() OVER (PARTITION BY user_id, level, z ORDER BY event_id) AS c FROM r)
+  SELECT user_id AS doc_id, event_id AS ord, CASE level WHEN 0 THEN CAST(4 + a AS VARCHAR) || '.' WHEN 1 THEN CAST(greatest(5, 4 + a) AS VARCHAR) || '.' || lpad(b::VARCHAR, greatest(2, length(b::VARCHAR))::INT, '0') ELSE '(' || chr(CAST(97 + (c + 1) % 26 AS INT)) || repeat(chr(CAST(97 + (c + 1) % 26 AS INT)), CAST((c + 1) // 26 AS INT)) || ') ' || CASE WHEN b < 10 THEN '0' ELSE '' END || greatest(1, b) END AS label FROM n""")
+def list_texts(spark, d):
+    """Labels with starts and patterns: 5. then 5.01 then (c) 01, where no count of a level makes its start."""
+    items = _t(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("ord"), F.lit("l").alias("list_id"), (F.col("event_id") % 3).cast("int").alias("level"))
+    levels = spark.createDataFrame([("l", 0, 5, "decimal", "%1."), ("l", 1, 1, "decimalZero", "%1.%2"), ("l", 2, 3, "lowerLetter", "(%3) %2")], "list_id string, level int, start int, style string, pattern string")
+    return sections.list_labels(items, levels).select("doc_id", "ord", "label")

@@ -377,3 +377,73 @@ def test_side_tables(spark):
     for box in ((1, 1, 3, 1), (2, 2, 4, 4)):
         with pytest.raises(ValueError):
             areas.merge(one, cells, "w.xlsx", 1, *box)
+
+
+def test_list_labels_as_counters_that_run_along(spark):
+    """The same by counters over a document's items in order."""
+    rng = random.Random(8)
+    styles = [("decimal", "%1."), ("upperRoman", "%1-%2)"), ("lowerLetter", "%3"), ("ordinal", "%2/%4"), ("bullet", "•"), ("none", "x")]
+    levels = [(a, k, rng.randrange(1, 4), *styles[k]) for a in ("p", "q") for k in range(6) if (a, k) != ("q", 2)]
+    starts = [("n2", 0, 7), ("n3", 1, 4), ("n3", 2, 9)]
+    lists = {"n1": "p", "n2": "p", "n3": "p", "n4": "q"}
+    items = [(d, i, lists[n], n, rng.randrange(6)) for d in "ab" for i in range(80) for n in [rng.choice(list(lists))]]
+    spec, anew = {(a, k): x for a, k, *x in levels}, {}
+    for n, k, start in starts:
+        anew.setdefault(n, {})[k] = start
+    want, counts, seen = [], {}, set()
+    for d, i, a, n, level in items:
+        if (a, level) not in spec:
+            continue
+        own = counts.setdefault((d, a), {})
+        if (d, n) not in seen:
+            seen.add((d, n))
+            for k, start in sorted(anew.get(n, {}).items()):
+                own[k] = start - 1
+                for deeper in [x for x in own if x > k]:
+                    del own[deeper]
+        own[level] = own[level] + 1 if level in own else spec[a, level][0]
+        for deeper in [x for x in own if x > level]:
+            del own[deeper]
+        start, style, label = spec[a, level]
+        if style not in ("none", "bullet"):
+            for k in range(8, -1, -1):
+                first, form = spec[a, k][:2] if (a, k) in spec else (1, "decimal")
+                label = label.replace(f"%{k + 1}", sections.label(own.get(k, first), form))
+        want.append((d, i, "" if style == "none" else label))
+    df = spark.createDataFrame(items, "doc_id string, ord int, list_id string, num_id string, level int")
+    got = sections.list_labels(df, spark.createDataFrame(levels, "list_id string, level int, start int, style string, pattern string"), spark.createDataFrame(starts, "num_id string, level int, start int")).collect()
+    assert sorted((r.doc_id, r.ord, r.label) for r in got) == sorted(want)
+
+
+def test_labels_of_columns(spark):
+    styles = ["upperLetter", "lowerLetter", "upperRoman", "lowerRoman", "decimalZero", "ordinal", "decimal"]
+    rows = [(n, s) for n in (0, 1, 4, 9, 10, 26, 27, 53, 444, 1994, 3999) for s in styles]
+    got = spark.createDataFrame(rows, "n int, style string").select("n", "style", sections.label_column(F.col("n"), F.col("style")).alias("t")).collect()
+    assert all(r.t == sections.label(r.n, r.style) for r in got)
+
+
+def test_tables_filters_and_names_of_workbooks(spark, tmp_path):
+    made = package.parts(xlsx.file(_cells([(1, 1, 1, "x", None), (2, 1, 1, "y", None)]), {1: "Stock", 2: "Q 2"}))
+    sheet = "xl/worksheets/sheet1.xml"
+    made[sheet] = made[sheet].replace(b"</worksheet>", b'<autoFilter ref="B2:C9"/></worksheet>')
+    made["xl/worksheets/_rels/sheet1.xml.rels"] = b'<Relationships><Relationship Id="t" Type="x/table" Target="../tables/table1.xml"/></Relationships>'
+    made["xl/tables/table1.xml"] = b'<table name="T1" displayName="Fruit" ref="E3:F8" totalsRowCount="1"><tableColumns><tableColumn name="Kind"/><tableColumn name="Crates"/></tableColumns></table>'
+    names = b"<definedNames><definedName name=\"AREA\">'Q 2'!$A$1:$B$4</definedName><definedName name=\"RATE\">0.2</definedName><definedName name=\"COLS\">Stock!$A:$B</definedName></definedNames></workbook>"
+    made["xl/workbook.xml"] = made["xl/workbook.xml"].replace(b"</workbook>", names)
+    (tmp_path / "w.xlsx").write_bytes(package.packed(made))
+    got = sorted((tuple(r)[1:] for r in xlsx.areas(spark, f"file://{tmp_path}").collect()), key=str)
+    assert got == sorted([(1, "table", "Fruit", 3, 5, 8, 6, 1, 1, ["Kind", "Crates"]), (1, "filter", None, 2, 2, 9, 3, 1, 0, None), (2, "name", "AREA", 1, 1, 4, 2, None, None, None)], key=str)
+
+
+def test_a_table_comes_before_smaller_areas(spark):
+    found = spark.createDataFrame([("w", 1, "table", 1, 1, 9, 9), ("w", 1, "region", 2, 2, 3, 3)], "workbook_id string, sheet int, kind string, r1 int, c1 int, r2 int, c2 int")
+    points = spark.createDataFrame([("w", 1, 2, 2)], "workbook_id string, sheet int, row int, col int")
+    assert tuple(areas.region_at(found, points).first().area) == (1, 1, 9, 9)
+
+
+def test_rows_under_spanning_cells_are_refused(spark):
+    cells = spark.createDataFrame([("d", 0, r, 0, 2 if r == 1 else 1) for r in range(4)], "doc_id string, table int, row int, col int, row_span int")
+    assert blocks.with_rows(cells, "d", 0, moves.LineMove("delete", 3, 1)).count() == 3
+    for m in (moves.LineMove("delete", 2, 1), moves.LineMove("insert", 2, 1), moves.LineMove("move", 0, 1, 2)):
+        with pytest.raises(ValueError):
+            blocks.with_rows(cells, "d", 0, m)
