@@ -342,8 +342,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("__items").cast("long").alias("n_items"),
         F.sha2(F.array_join("__items", ",").cast("binary"), 256).alias("items_sha256"),
         F.col("__bad").alias("contaminated"),
-        F.coalesce("__match.words", F.lit(0)).cast("long").alias("longest_match"),
-        F.col("__match.at").alias("match_start"),
     )
 
 
