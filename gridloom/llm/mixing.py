@@ -110,7 +110,7 @@ def mixture(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixed(written(sized(table(spark, sf_dir, "documents")), "sizes"))
-    return out.select("doc_id", "size", "source_size", "target", "taken", "position").orderBy("position")
+    return out.select("doc_id", "size", "source_size", "target", "taken", "position").orderBy("position", F.xxhash64("doc_id"))  # the hash deals out those never taken
 
 
 SQL = r"""
