@@ -649,6 +649,26 @@ def _(c, _n, args):
     return guarded(N, at.cast("double"), first_error(a, b, e), ((s < 1) | (s > F.length(b.value) + 1) | (at == 0), "#VALUE!"))
 
 
+@scalar("SEARCH")
+def _(c, name, args):
+    if not isinstance(args[0], p.Text):
+        return c.interpreted(p.Call(name, tuple(args)))  # a pattern for each row
+    b, ((s,), e) = text(c.node(args[1])), _numbers(c, args[2:], 1.0)
+    s, pattern = once(_int(_trunc(s))), java_wildcard(args[0].value, whole=False)
+    rest = once(F.substring(b.value, F.greatest(s, F.lit(1)), F.length(b.value)))
+    at = F.when(rest.rlike(pattern), F.length(F.regexp_extract(rest, pattern.replace("(?isu)", "(?isu)^(.*?)", 1), 1)) + s)
+    return guarded(N, at.cast("double"), first_error(b, e), ((s < 1) | (s > F.length(b.value) + 1) | at.isNull(), "#VALUE!"))
+
+
+@scalar("CODE")
+def _(c, _n, args):
+    a = text(c.node(args[0]))
+    first = once(F.substring(a.value, 1, 1))
+    k, place = F.ascii(first), F.instr(F.lit(CP1252), first)
+    out = F.when((k < 128) | k.between(160, 255), k).when(place > 0, place + 127).otherwise(F.lit(63))
+    return guarded(N, out.cast("double"), a.error, (first == "", "#VALUE!"))
+
+
 @scalar("CHAR")
 def _(c, _n, args):
     (x,), e = _numbers(c, args)

@@ -118,22 +118,37 @@ def runs(cells: DataFrame) -> DataFrame:
     return own.groupBy("workbook_id", "sheet", "col", "__g").agg(F.min("row").alias("first"), F.max("row").alias("last"), F.sum("n").alias("sum")).drop("__g")
 
 
-def find_cells(cells: DataFrame, pattern: str, whole: bool = False) -> DataFrame:
-    """Text cells and formulas that a search with * ? ~ hits, in order of sheet, row and column."""
-    from gridloom.formula.compiler import java_wildcard
+def find_cells(cells: DataFrame, pattern: str, whole: bool = False, hidden: DataFrame | None = None) -> DataFrame:
+    """Cells whose value, as a cell in General format shows it, or whose formula a search with * ? ~ hits, in order
+    of sheet, row and column. Sheets of hidden (workbook_id, sheet) are passed over."""
+    from gridloom.formula.compiler import java_wildcard, number_text
 
-    shown = F.coalesce("s", "formula")
-    return cells.filter(shown.rlike(java_wildcard(pattern, whole))).orderBy("sheet", "row", "col")
+    regex = java_wildcard(pattern, whole)
+    shown = F.when(F.col("k") == "n", number_text(F.col("n"))).when(F.col("k") == "b", F.upper(F.col("b").cast("string"))).when(F.col("k") == "e", F.col("e")).otherwise(F.col("s"))
+    seen = cells if hidden is None else cells.join(hidden.select("workbook_id", "sheet"), ["workbook_id", "sheet"], "left_anti").select(*cells.columns)
+    return seen.filter(F.coalesce(shown.rlike(regex), F.lit(False)) | F.coalesce(F.col("formula").rlike(regex), F.lit(False))).orderBy("sheet", "row", "col")
 
 
-def replace_cells(cells: DataFrame, pattern: str, replacement: str) -> DataFrame:
-    """cells with every hit in texts and formulas replaced, the replacement taken as it is, and n_replaced."""
+def replace_cells(cells: DataFrame, pattern: str, replacement: str, tag: str = "en") -> DataFrame:
+    """cells with every hit in texts and formulas replaced, the replacement taken as it is, and n_replaced. A text
+    that has changed is typed again: what reads as a number, a share or a truth value becomes one."""
     from gridloom.formula.compiler import java_wildcard
+    from gridloom.functions.typed import infer_column
 
     regex = java_wildcard(pattern, whole=False)
     literal = replacement.replace("\\", "\\\\").replace("$", "\\$")
     count = lambda c: F.coalesce(F.regexp_count(c, F.lit(regex)), F.lit(0))
-    return cells.withColumn("n_replaced", count(F.col("s")) + count(F.col("formula"))).withColumns({"s": F.regexp_replace("s", regex, literal), "formula": F.regexp_replace("formula", regex, literal)})
+    out = cells.withColumns({"n_replaced": count(F.col("s")) + count(F.col("formula")), "__changed": count(F.col("s")) > 0})
+    out = out.withColumns({"s": F.regexp_replace("s", regex, literal), "formula": F.regexp_replace("formula", regex, literal)})
+    own = F.col("__changed") & (F.col("k") == "s") & F.col("formula").isNull()
+    # only texts that begin as a number or a truth value can turn into one; few enough to look at in Python
+    out = out.withColumn("__t", F.when(own & F.col("s").rlike(r"(?iu)^\s*([-+($€£.,]?\s*[$€£]?\s*[0-9.,]|true\s*$|false\s*$|verdadero\s*$|falso\s*$)"), F.col("s")))
+    out = out.withColumn("__v", infer_column(F.col("__t"), tag))
+    kind = F.when(F.col("__t").isNull(), None).when(F.col("__v.type").isin("number", "percent"), F.lit("n")).when(F.col("__v.type") == "boolean", F.lit("b"))
+    out = out.withColumn("__k", kind)
+    typed = F.col("__k").isNotNull()
+    new = {"k": F.coalesce("__k", "k"), "n": F.when(F.col("__k") == "n", F.col("__v.number")).otherwise(F.col("n")), "b": F.when(F.col("__k") == "b", F.col("__v.number") != 0).otherwise(F.col("b")), "s": F.when(~typed, F.col("s"))}
+    return out.withColumns(new).select(*cells.columns, "n_replaced")
 
 
 def offsets(lines: DataFrame, axis: str = "row", size: str = "size") -> DataFrame:

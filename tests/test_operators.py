@@ -447,3 +447,14 @@ def test_rows_under_spanning_cells_are_refused(spark):
     for m in (moves.LineMove("delete", 2, 1), moves.LineMove("insert", 2, 1), moves.LineMove("move", 0, 1, 2)):
         with pytest.raises(ValueError):
             blocks.with_rows(cells, "d", 0, m)
+
+
+def test_cells_are_found_as_shown_and_typed_again(spark):
+    rows = [(1, 1, 1, "12 kg", None), (1, 2, 1, 0.1 + 0.2, None), (1, 3, 1, "kg", None), (1, 4, 1, 5.0, "A1*12"), (2, 1, 1, "12 kg", None), (1, 5, 1, "true kg", None), (1, 6, 1, "$3kg", None)]
+    cells = spark.createDataFrame(_cells(rows).astype(object).where(lambda d: d.notna(), None), areas.CELLS)
+    hidden = spark.createDataFrame([("w.xlsx", 2)], "workbook_id string, sheet int")
+    assert [r.row for r in areas.find_cells(cells, "12", hidden=hidden).collect()] == [1, 4]
+    assert [r.row for r in areas.find_cells(cells, "0.3", whole=True).collect()] == [2]
+    got = {(r.sheet, r.row): (r.k, r.n, r.s, r.b, r.n_replaced) for r in areas.replace_cells(cells, "kg", "").collect()}
+    assert got[1, 1] == ("n", 12.0, None, None, 1) and got[1, 3] == ("s", None, "", None, 1) and got[1, 5] == ("b", None, None, True, 1) and got[1, 6] == ("n", 3.0, None, None, 1)
+    assert got[1, 2] == ("n", 0.1 + 0.2, None, None, 0) and got[2, 1][0] == "n"
