@@ -62,6 +62,65 @@ def series(source: list, count: int, dates: bool = False) -> list:
     return [source[i % n] for i in range(count)]
 
 
+#: Cells that one fill makes at most.
+MOST_CELLS = 200_000
+
+
+def _lane(source: list[dict], steps: list[int], down: bool, dates: bool) -> list[dict]:
+    """What a lane of cells goes on to, that many steps away from its first cell (negative: ahead of it)."""
+    n, out = len(source), []
+    values = [c["n"] if c["k"] == "n" else c["s"] if c["k"] == "s" else None for c in source]
+    back = steps and steps[0] < 0
+    plain = all(c["formula"] is None for c in source) and None not in values
+    grown = series([v if not isinstance(v, str) or not v.startswith("=") else " " + v for v in (values[::-1] if back else values)], len(steps), dates) if plain and n else None
+    for i, step in enumerate(sorted(steps, key=abs)):
+        like = source[step % n]
+        made = dict(like)
+        if like["formula"] is not None:
+            by = step - step % n
+            made["formula"] = p.show(p.shifted(p.parse(like["formula"]), by if down else 0, 0 if down else by))
+        elif grown is not None and like["k"] in ("n", "s"):
+            v = grown[i]
+            v = v[1:] if isinstance(v, str) and v.startswith(" =") else v
+            if isinstance(v, str) == (like["k"] == "s"):
+                made["s" if like["k"] == "s" else "n"] = v
+        out.append(made | {"step": step})
+    return out
+
+
+def filled_cells(cells: DataFrame, workbook: str, sheet: int, source: tuple[int, int, int, int], target: tuple[int, int, int, int], merges: DataFrame | None = None, dates: bool = False) -> DataFrame:
+    """cells after an area (r1, c1, r2, c2) was filled on into a target that holds it: each column (or row) goes on by
+    its own series, up or left as well. Refused: a target that holds not all of it, or grows along both axes; merged
+    areas in the new part; more than MOST_CELLS new cells."""
+    (r1, c1, r2, c2), (a1, b1, a2, b2) = source, target
+    down = (b1, b2) == (c1, c2)
+    if not (a1 <= r1 <= r2 <= a2 and b1 <= c1 <= c2 <= b2) or not (down or (a1, a2) == (r1, r2)):
+        raise ValueError("the target must hold the source and grow along one axis")
+    if (a2 - a1 + 1) * (b2 - b1 + 1) - (r2 - r1 + 1) * (c2 - c1 + 1) > MOST_CELLS:
+        raise ValueError(f"more than {MOST_CELLS} cells to fill")
+    own = (F.col("workbook_id") == workbook) & (F.col("sheet") == sheet)
+    if merges is not None:
+        meets = (F.col("r1") <= a2) & (F.col("r2") >= a1) & (F.col("c1") <= b2) & (F.col("c2") >= b1)
+        if not merges.filter(own & meets).isEmpty():
+            raise ValueError("a merged area is in the way")
+    inside = lambda box: F.col("row").between(box[0], box[2]) & F.col("col").between(box[1], box[3])
+    empty = dict.fromkeys(cells.columns) | {"workbook_id": workbook, "sheet": sheet}
+    have = {(r["row"], r["col"]): r.asDict() for r in cells.filter(own & inside(source)).collect()}
+    first, last, lo, hi = (r1, r2, a1, a2) if down else (c1, c2, b1, b2)
+    new = []
+    for line in range(c1, c2 + 1) if down else range(r1, r2 + 1):
+        place = lambda i, line=line: (i, line) if down else (line, i)
+        lane = [have.get(place(i), empty) for i in range(first, last + 1)]
+        for steps in ([i - first for i in range(last + 1, hi + 1)], [i - first for i in range(first - 1, lo - 1, -1)]):
+            for made in _lane(lane, steps, down, dates) if steps else ():
+                at = place(first + made.pop("step"))
+                if made["k"] is not None or made["formula"] is not None:
+                    new.append(made | {"row": at[0], "col": at[1]})
+    kept = cells.filter(~(own & inside(target) & ~inside(source)))
+    rows = cells.sparkSession.createDataFrame([[r[c] for c in cells.columns] for r in new], cells.schema)
+    return kept.unionByName(rows)
+
+
 def filled_trend(df: DataFrame, by: list[str], place: str, value: str, count: int) -> DataFrame:
     """For each group of rows: count values on along the least squares line over place, as rows
     (by, place, value). The line is an aggregate; the new places are generated."""

@@ -458,3 +458,17 @@ def test_cells_are_found_as_shown_and_typed_again(spark):
     got = {(r.sheet, r.row): (r.k, r.n, r.s, r.b, r.n_replaced) for r in areas.replace_cells(cells, "kg", "").collect()}
     assert got[1, 1] == ("n", 12.0, None, None, 1) and got[1, 3] == ("s", None, "", None, 1) and got[1, 5] == ("b", None, None, True, 1) and got[1, 6] == ("n", 3.0, None, None, 1)
     assert got[1, 2] == ("n", 0.1 + 0.2, None, None, 0) and got[2, 1][0] == "n"
+
+
+def test_areas_are_filled(spark):
+    rows = [(1, 3, 1, 10.0, None), (1, 4, 1, 14.0, None), (1, 3, 2, "Lot 8", None), (1, 4, 2, "Lot 9", None), (1, 3, 3, 20.0, "A3*2+$A$3"), (1, 4, 3, 38.0, "A4*2+$A$3"), (1, 3, 4, "x", None), (1, 4, 4, 3.0, None), (1, 6, 1, "old", None), (2, 5, 1, "other", None)]
+    cells = spark.createDataFrame(_cells(rows).astype(object).where(lambda d: d.notna(), None), areas.CELLS)
+    got = {(r.sheet, r.row, r.col): r.formula or (r.n if r.k == "n" else r.s) for r in fill.filled_cells(cells, "w.xlsx", 1, (3, 1, 4, 4), (3, 1, 6, 4)).collect()}
+    assert [got[1, r, 1] for r in (5, 6)] == [18, 22] and [got[1, r, 2] for r in (5, 6)] == ["Lot 10", "Lot 11"]
+    assert [got[1, r, 3] for r in (5, 6)] == ["A5*2+$A$3", "A6*2+$A$3"] and [got[1, r, 4] for r in (5, 6)] == ["x", 3] and got[2, 5, 1] == "other"
+    up = {(r.row, r.col): r.formula or (r.n if r.k == "n" else r.s) for r in fill.filled_cells(cells, "w.xlsx", 1, (3, 1, 4, 3), (1, 1, 4, 3)).filter("sheet = 1").collect()}
+    assert [up[r, 1] for r in (1, 2)] == [2, 6] and [up[r, 2] for r in (1, 2)] == ["Lot 6", "Lot 7"] and [up[r, 3] for r in (1, 2)] == ["A1*2+$A$3", "A2*2+$A$3"]
+    merges = spark.createDataFrame([("w.xlsx", 1, 6, 1, 6, 2)], "workbook_id string, sheet int, r1 int, c1 int, r2 int, c2 int")
+    for target in ((3, 1, 6, 5), (4, 1, 9, 4), (3, 1, 9, 4)):
+        with pytest.raises(ValueError):
+            fill.filled_cells(cells, "w.xlsx", 1, (3, 1, 4, 4), target, merges)
