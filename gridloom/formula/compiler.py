@@ -767,21 +767,83 @@ def _(c, name, args):
 @scalar("ISOWEEKNUM")
 def _(c, _n, args):
     (x,), e = _numbers(c, args)
-    return guarded(N, F.weekofyear(from_serial(x)).cast("double"), e, (x < 0, "#NUM!"))
+    return guarded(N, F.weekofyear(from_serial(x)).cast("double"), e, ((x < 1) | (x > 2_958_466), "#NUM!"))
+
+
+def _constants(e: p.Expr) -> list[float] | None:
+    """The numbers of a constant or a constant array."""
+    cells = [x for row in e.rows for x in row] if isinstance(e, p.Array) else [e]
+    return [x.value for x in cells] if all(isinstance(x, p.Number) for x in cells) else None
+
+
+_DATES_END = 2_958_466
 
 
 @scalar("NETWORKDAYS")
 def _(c, _n, args):
-    if len(args) > 2:
-        raise Unsupported("holidays in a column formula")
-    (a, b), e = _numbers(c, args)
-    lo, hi = _int(F.floor(F.least(a, b)), 2e9), _int(F.floor(F.greatest(a, b)), 2e9)
+    holidays = _constants(args[2]) if len(args) > 2 else []
+    if holidays is None:
+        raise Unsupported("holidays that are not constants in a column formula")
+    (a, b), e = _numbers(c, args[:2])
+    lo, hi = once(_int(F.floor(F.least(a, b)), 2e9)), once(_int(F.floor(F.greatest(a, b)), 2e9))
     # whole weeks have five working days; those before serial n, counted from a Monday
     before = lambda n: F.floor((n - 2) / 7) * 5 + F.least(F.pmod(n - 2, F.lit(7)), F.lit(5))
-    days = before(hi + 1) - before(lo)
+    free = sorted({int(x // 1) for x in holidays if (int(x // 1) - 2) % 7 < 5})
+    off = F.size(F.filter(F.array(*map(F.lit, free)), lambda x: x.between(lo, hi))) if free else F.lit(0)
+    days = once(before(hi + 1) - before(lo) - off)
     return guarded(N, F.when(a > b, -days).otherwise(days).cast("double"), e, ((a < 0) | (b < 0), "#NUM!"))
 
 
+@scalar("WORKDAY")
+def _(c, name, args):
+    if len(args) > 2:
+        return c.interpreted(p.Call(name, tuple(args)))
+    (x, n), e = _numbers(c, args)
+    x, n = once(_int(F.floor(x), 2e9)), once(_trunc(n))
+    day = once(F.pmod(x - 2, F.lit(7)))  # from Monday on
+    # from a weekend steps begin as if from the working day on its other side
+    forth = once(F.least(day, F.lit(4)) + n)
+    back = once(F.when(day > 4, 0).otherwise(day) + n)
+    ahead = x - day + F.floor(forth / 5) * 7 + F.pmod(forth, F.lit(5.0))
+    behind = x - day + F.when(day > 4, 7).otherwise(0) + F.floor(back / 5) * 7 + F.pmod(back, F.lit(5.0))
+    out = once(F.when(n > 0, ahead).when(n < 0, behind).otherwise(x.cast("double")))
+    return guarded(N, out, e, ((x < 0) | (F.abs(n) > 1_000_000) | (out < 0), "#NUM!"))
+
+
+#: By a kind of week, the day from Sunday on that it begins with.
+_WEEK_STARTS = {1: 0, 2: 1, 11: 1, 12: 2, 13: 3, 14: 4, 15: 5, 16: 6, 17: 0}
+
+
+@scalar("WEEKNUM")
+def _(c, name, args):
+    kind = _constants(args[1]) if len(args) > 1 else [1.0]
+    if kind == [21.0]:
+        return SCALARS["ISOWEEKNUM"](c, "ISOWEEKNUM", args[:1])
+    if not kind or len(kind) != 1 or int(kind[0]) not in _WEEK_STARTS:
+        return c.interpreted(p.Call(name, tuple(args)))
+    (x,), e = _numbers(c, args[:1])
+    x = once(x)
+    first = once(_month_start(_ymd(x)[0] * 12)[0])
+    out = F.floor((_int(F.floor(x)) - first + F.pmod(first - 1 - _WEEK_STARTS[int(kind[0])], F.lit(7))) / 7) + 1
+    return guarded(N, out.cast("double"), e, ((x < 0) | (x > _DATES_END), "#NUM!"))
+
+
+@scalar("DATEDIF")
+def _(c, name, args):
+    unit = args[2].value.upper() if isinstance(args[2], p.Text) else None
+    if unit not in ("D", "M", "Y", "YM"):
+        return c.interpreted(p.Call(name, tuple(args)))
+    (a, b), e = _numbers(c, args[:2])
+    a, b = once(F.floor(a)), once(F.floor(b))
+    bad = (a < 0) | (b < 0) | (a > _DATES_END) | (b > _DATES_END) | (a > b)
+    if unit == "D":
+        return guarded(N, (b - a).cast("double"), e, (bad, "#NUM!"))
+    (y1, m1, d1), (y2, m2, d2) = _ymd(a.cast("double")), _ymd(b.cast("double"))
+    months = once((y2 - y1) * 12 + m2 - m1 - (d2 < d1).cast("int"))
+    out = {"M": months, "Y": F.floor(months / 12), "YM": F.pmod(months, F.lit(12))}[unit]
+    return guarded(N, out.cast("double"), e, (bad, "#NUM!"))
+
+
 @scalar("PMT PV FV NPER")
 def _(c, name, args):
     (r, x, y, z, t), e = _numbers(c, args, 0.0, 0.0, 0.0, 0.0, 0.0)

@@ -19,3 +19,19 @@ def as_of(log: DataFrame, version: int) -> DataFrame:
 
 def can_undo(current: int, newest: int) -> bool:
     return current > max(0, newest - STEPS)
+
+
+def can_redo(current: int, newest: int) -> bool:
+    return current < newest
+
+
+def edited(log: DataFrame, current: int, changes: DataFrame) -> DataFrame:
+    """log after an edit at a version: changes (cells, op) become the next one, and what could be redone goes."""
+    return log.filter(F.col("version") <= current).unionByName(changes.withColumn("version", F.lit(current + 1).cast(log.schema["version"].dataType)))
+
+
+def trimmed(log: DataFrame, newest: int) -> DataFrame:
+    """log without versions that can no longer be undone: the last state before them becomes one version."""
+    oldest = max(0, newest - STEPS)
+    base = as_of(log, oldest).withColumns({"version": F.lit(oldest).cast(log.schema["version"].dataType), "op": F.lit("set")})
+    return base.unionByName(log.filter(F.col("version") > oldest))

@@ -17,7 +17,7 @@ ROW_FORMULAS = [
     "x+y", "x-y*2", "x/y", "x^2", "x&s", "x&y", "s&b", "-x%", "x=y", "x<>y", "x<s", 's="NORTE"', "b>x", "b=b", 's>="m"', "s+1", "s*1", "b+1", "x=\"\"", "ROUND(x,2)", "ROUND(x,-1)", "ROUNDUP(x,1)", "ROUNDDOWN(x,1)", "INT(x)", "TRUNC(x,1)", "ABS(x)", "SIGN(x)", "SQRT(x)", "POWER(x,y)", "MOD(x,y)", "CEILING(x,0.5)", "FLOOR(x,2)", "CEILING.MATH(x,2,1)",
     "FLOOR.MATH(x,2,1)", "LN(x)", "LOG(x)", "LOG(x,2)", "LOG10(x)", "EXP(x)", "EVEN(x)", "ODD(x)", "MROUND(x,0.5)", "QUOTIENT(x,y)", "ISEVEN(x)", "ISODD(y)", 'IF(x>1,"a","b")', "IF(x>1,x)*1", "IF(b,x,y)", "IFS(x>100,1,x>1,2)", 'SWITCH(x,0,"zero",1.5,"more","other")', "CHOOSE(x,1,2,3)", "IFERROR(x/y,-1)", "IFNA(x/y,-1)", "NOT(b)", "ISBLANK(x)",
     "ISNUMBER(x)", "ISTEXT(s)", "ISERROR(1/x)", "ISERR(x/y)", "ISNA(x)", "AND(x>0,y>0)", "OR(x>0,y>0)", "XOR(x>0,y>0)", 'CONCATENATE(s,"-",x)', "LEFT(s,2)", "LEFT(s)", "RIGHT(s,3)", "MID(s,2,2)", "MID(s,0,2)", "LEN(s)", "UPPER(s)", "LOWER(s)", "TRIM(s)", "PROPER(s)", 'SUBSTITUTE(s,"a","Z")', 'SUBSTITUTE(s,"a","Z",2)', "REPT(s,2)", "EXACT(s,s)", 'FIND("a",s)', 'SEARCH("?b",s)', "CHAR(y)",
-    "CODE(s)", 'SEARCH("",s)', 'SEARCH("A",s,2)', 'SEARCH("~*",s)', 'SEARCH("1*5",s)', "SEARCH(s,s)", 'SEARCH("x",s,99)', 'CODE(RIGHT(s))', "CLEAN(s)", "VALUE(s)", 'TEXT(x,"0.00")', "YEAR(x)", "MONTH(x)", "DAY(x)", "WEEKDAY(x)", "WEEKDAY(x,2)", "EDATE(x,1)", "EOMONTH(y,-1)", "DAYS(y,x)", "TIME(x,y,0)", "HOUR(x)", "MINUTE(x)", "SECOND(x)", 'DATEDIF(x,y,"M")', "NETWORKDAYS(x,y)", "WORKDAY(x,3)", "WEEKNUM(x)", "DATE(2024,y,31)", "PMT(x,12,1000)", "FV(0.01,y,-5)", "PV(0.01,y,-5)", "NPER(0.01,y,-500)", "SUM(x,y)", "MAX(x,y,1)", "PI()*x", "NA()", "nope+1", "TRUE()",
+    "CODE(s)", 'SEARCH("",s)', 'SEARCH("A",s,2)', 'SEARCH("~*",s)', 'SEARCH("1*5",s)', "SEARCH(s,s)", 'SEARCH("x",s,99)', 'CODE(RIGHT(s))', "CLEAN(s)", "VALUE(s)", 'TEXT(x,"0.00")', "YEAR(x)", "MONTH(x)", "DAY(x)", "WEEKDAY(x)", "WEEKDAY(x,2)", "EDATE(x,1)", "EOMONTH(y,-1)", "DAYS(y,x)", "TIME(x,y,0)", "HOUR(x)", "MINUTE(x)", "SECOND(x)", 'DATEDIF(x,y,"M")', "NETWORKDAYS(x,y)", "WORKDAY(x,3)", "WEEKNUM(x)", "WEEKNUM(y,2)", "WEEKNUM(x,15)", "WEEKNUM(y,21)", "WEEKNUM(x,9)", "WORKDAY(y,-3)", "WORKDAY(x,y)", "WORKDAY(45003,x)", 'DATEDIF(x,y,"D")', 'DATEDIF(x,45100,"Y")', 'DATEDIF(y,46000,"YM")', 'DATEDIF(x,46000,"MD")', "NETWORKDAYS(x,45200,{45001,45003,45050})", "DATE(2024,y,31)", "PMT(x,12,1000)", "FV(0.01,y,-5)", "PV(0.01,y,-5)", "NPER(0.01,y,-500)", "SUM(x,y)", "MAX(x,y,1)", "PI()*x", "NA()", "nope+1", "TRUE()",
 ]
 
 
@@ -76,6 +76,14 @@ def test_extremes_are_what_the_interpreter_makes(spark):
     assert not wrong, (len(wrong), wrong[:20])
 
 
+def test_working_days_from_every_day_of_a_week(spark):
+    rows = [(i, float(d), float(n)) for i, (d, n) in enumerate((d, n) for d in range(45000, 45009) for n in (*range(-12, 13), 0.9, -1.5, 40))]
+    got = with_formulas(spark.createDataFrame(rows, "id int, x double, y double"), {"w": "WORKDAY(x,y)", "n": "NETWORKDAYS(x,x+y)", "k": "WEEKNUM(x+y*9,13)"}).collect()
+    for r in got:
+        for name, f in (("w", "WORKDAY(x,y)"), ("n", "NETWORKDAYS(x,x+y)"), ("k", "WEEKNUM(x+y*9,13)")):
+            assert _same(r[name], r[f"{name}__err"], _interpreted(f, (r.id, r.x, r.y))), (f, r)
+
+
 AGG_FORMULAS = [
     "SUM(x)", "SUM(x,1)", "PRODUCT(y)", "AVERAGE(x)", "MIN(x)", "MAX(x,y)", "MEDIAN(x)", "COUNT(x)", "COUNT(s)", "COUNTA(s)", "COUNTBLANK(x)", "SUMSQ(y)", "SUMPRODUCT(x,y)", "STDEV(x)", "VAR.P(y)", "LARGE(x,2)", "SMALL(x,3)", "LARGE(x,99)", "AND(b)", "OR(b)", "XOR(b)", "AND(s)",
     'SUMIF(x,">1")', 'SUMIF(s,"norte",x)', 'SUMIF(s,"*a*",y)', 'COUNTIF(s,"")', 'COUNTIF(s,"<>")', 'COUNTIF(s,"<>norte")', 'COUNTIF(x,"<=1.5")', "COUNTIF(x,1.5)", 'COUNTIF(s,12.5)', "COUNTIF(b,TRUE)", 'AVERAGEIF(s,"zzz",x)', 'SUMIFS(x,y,">0",s,"?*")', 'MAXIFS(x,b,TRUE)', 'MINIFS(y,x,">100000")', 'COUNTIFS(x,">0",y,">0")', "SUM(x)/COUNT(x)-AVERAGE(x)", 'IF(SUM(x)>10,"big","small")', "CONCAT(s)", 'TEXTJOIN("|",TRUE,s)', 'TEXTJOIN("|",FALSE,s)', "SUM(1/x)",

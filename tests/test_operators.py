@@ -324,6 +324,11 @@ def test_history(spark):
     log = spark.createDataFrame([("w", 1, 1, 1, 1.0, 1, "set"), ("w", 1, 1, 1, 2.0, 2, "set"), ("w", 1, 2, 1, 5.0, 2, "set"), ("w", 1, 1, 1, 0.0, 3, "clear")], "workbook_id string, sheet int, row int, col int, n double, version int, op string")
     assert [sorted((r.row, r.n) for r in history.as_of(log, v).collect()) for v in (1, 2, 3)] == [[(1, 1.0)], [(1, 2.0), (2, 5.0)], [(2, 5.0)]]
     assert history.can_undo(10, 10) and not history.can_undo(10, 210)
+    assert history.can_redo(1, 3) and not history.can_redo(3, 3)
+    new = history.edited(log, 1, log.limit(0).drop("version").unionByName(spark.createDataFrame([("w", 1, 9, 1, 7.0, "set")], "workbook_id string, sheet int, row int, col int, n double, op string")))
+    assert sorted((r.row, r.n) for r in history.as_of(new, 9).collect()) == [(1, 1.0), (9, 7.0)] and new.agg(F.max("version")).first()[0] == 2
+    short = history.trimmed(log, 202)
+    assert short.filter("version <= 2").count() == 2 and sorted((r.row, r.n) for r in history.as_of(short, 3).collect()) == [(2, 5.0)]
 
 
 def test_streams(spark, tmp_path):
