@@ -989,7 +989,7 @@ def _(c, name, args):
     import math
 
     k, v = math.ceil(args[1].value), c.numbers(args[0])
-    # a column may have any length: see operators.ranking.kth for the way without a list
+    # over a whole table long columns do not come this far, see _by_ranges
     n = F.count(v.value)
     values = F.sort_array(F.collect_list(v.value), asc=name == "SMALL")
     return guarded(N, F.try_element_at(values, F.lit(k)) if k > 0 else no_value(N), _error_of(c, v), ((n < k) | F.lit(k < 1), "#NUM!"))
@@ -1126,11 +1126,42 @@ def with_formulas(df: DataFrame, formulas: dict[str, str | p.Expr], errors: bool
     return bound.over(df).select(*[F.col(f"`{x}`") for x in df.columns], *out)
 
 
-def aggregated(df: DataFrame, formulas: dict[str, str], by: Iterable[str] = (), errors: bool = True, order: Column | None = None) -> DataFrame:
-    """One row (one for each value of by) with the value of each formula over whole columns, in one pass."""
-    c = Compiler(df, order)
-    out = [x for alias, f in formulas.items() for x in _shown(c.compile(f), alias, errors)]
-    keys = list(by)
+#: Numbers that an order statistic over a whole table may hold in one task; more are counted by ranges.
+IN_TASK = 1_000_000
+
+
+def _by_ranges(df: DataFrame, c: Compiler, e: p.Expr, in_task: int) -> p.Expr:
+    """e with each MEDIAN, LARGE and SMALL of more numbers than one task may hold as the constant it comes to."""
+    e = p.rebuilt(e, lambda x: _by_ranges(df, c, x, in_task))
+    median = isinstance(e, p.Call) and e.name == "MEDIAN" and len(e.args) == 1
+    if not median and not (isinstance(e, p.Call) and e.name in ("LARGE", "SMALL") and len(e.args) == 2 and isinstance(e.args[1], p.Number)):
+        return e
+    v = c.numbers(e.args[0])
+    failed = F.lit(None).cast("string") if v.error is None else v.error
+    n, errors = df.agg(F.count(v.value), F.count(failed)).first()
+    if n <= max(in_task, 0):
+        return e
+    if errors:
+        return p.Call("SUM", e.args[:1])  # which fails alike
+    from gridloom.operators.ranking import at_places
+
+    k = -(-e.args[1].value // 1) if not median else 0
+    places = [(n + 1) // 2, n // 2 + 1] if median else [int(k if e.name == "SMALL" else n - k + 1)]
+    if not median and not 1 <= k <= n:
+        return p.Error("#NUM!")
+    found = at_places(df.select(v.value.alias("v")), "v", places)
+    x = sum(found) / len(found)
+    return p.Number(x) if x >= 0 else p.Unary("-", p.Number(-x))
+
+
+def aggregated(df: DataFrame, formulas: dict[str, str], by: Iterable[str] = (), errors: bool = True, order: Column | None = None, in_task: int = IN_TASK) -> DataFrame:
+    """One row (one for each value of by) with the value of each formula over whole columns, in one pass; order
+    statistics over more than in_task numbers of the whole table take a pass of their own."""
+    c, keys = Compiler(df, order), list(by)
+    parsed = {alias: p.parse(f) for alias, f in formulas.items()}
+    if not keys:
+        parsed = {alias: _by_ranges(df, c, e, in_task) for alias, e in parsed.items()}
+    out = [x for alias, e in parsed.items() for x in _shown(c.compile(e), alias, errors)]
     return df.groupBy(*keys).agg(*out) if keys else df.agg(*out)
 
 

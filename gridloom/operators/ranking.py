@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import pyarrow as pa
@@ -28,6 +29,14 @@ def ranked(df: DataFrame, value: str, out: str, ascending: bool = False) -> Data
     return df.join(ranks, F.col(value) == F.col("__v"), "left").drop("__v")
 
 
+def at_places(df: DataFrame, value: str, places: list[int]) -> list:
+    """The values at places from 1 on of a column in rising order; each place must be there."""
+    counts = running_counts(df, value)
+    hits = functools.reduce(lambda a, b: a | b, [(F.col("before") < k) & (F.col("before") + F.col("n") >= k) for k in places])
+    rows = counts.filter(hits).select(value, "n", "before").collect()  # a row for each place at most
+    return [next(r[0] for r in rows if r["before"] < k <= r["before"] + r["n"]) for k in places]
+
+
 def kth(df: DataFrame, value: str, k: int, largest: bool = True, out: str = "kth") -> DataFrame:
     """LARGE or SMALL of a column by its distinct values' counts; #NUM! beyond its ends."""
     counts = running_counts(df, value)

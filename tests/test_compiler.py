@@ -102,6 +102,12 @@ def test_aggregates_are_what_the_interpreter_makes(table):
     assert not wrong, wrong
 
 
+def test_order_statistics_by_ranges_are_those_of_one_task(spark, table):
+    names = {"m": "MEDIAN(x)", "e": "MEDIAN(y)+1", "l": "LARGE(x,2)", "s": "SMALL(y,1.5)", "far": "LARGE(x,99)", "err": "SMALL(1/x,1)", "txt": "MEDIAN(s)"}
+    one, many = (aggregated(table, names, order=F.col("id"), in_task=n).first().asDict() for n in (10**6, -1))
+    assert one == many and one["far__err"] == "#NUM!" and one["err__err"] == "#DIV/0!"
+
+
 LOOKUPS = {
     "VLOOKUP(x,t,2,FALSE)": "VLOOKUP({x},{t},2,FALSE)", "VLOOKUP(x,t,3)": "VLOOKUP({x},{t},3)", "VLOOKUP(s,u,2,FALSE)": "VLOOKUP({s},{u},2,FALSE)", "MATCH(x,t.k,0)": "MATCH({x},{tk},0)", "MATCH(x,t.k)": "MATCH({x},{tk})", "MATCH(x,f.k,-1)": "MATCH({x},{fk},-1)", "MATCH(s,u.k,0)": "MATCH({s},{uk},0)",
     "XLOOKUP(x,t.k,t.n)": "XLOOKUP({x},{tk},{tn})", 'XLOOKUP(x,t.k,t.v,"no")': 'XLOOKUP({x},{tk},{tv},"no")', "XLOOKUP(x,t.k,t.n,,1)": "XLOOKUP({x},{tk},{tn},,1)", "XLOOKUP(x,t.k,t.n,0,-1)": "XLOOKUP({x},{tk},{tn},0,-1)", "XLOOKUP(x,t.k,t.n,,0,-1)": "XLOOKUP({x},{tk},{tn},,0,-1)", 'XLOOKUP(s,u.k,u.n,"-",2)': 'XLOOKUP({s},{uk},{un},"-",2)', "XLOOKUP(s,u.k,u.n,,2,-1)": "XLOOKUP({s},{uk},{un},,2,-1)", "XLOOKUP(s,u.k,u.n)": "XLOOKUP({s},{uk},{un})",
