@@ -55,26 +55,36 @@ def field_keys(text: Column) -> Column:
     return F.array_distinct(F.transform(whole, lambda m: F.regexp_extract(m, rf"^\{{+[{_BLANK}]*([^:}}]*[^:}}{_BLANK}])", 1)))
 
 
+#: {{KEY}} or {{KEY: hint}} at the start of a piece; hints of templates may run over several lines.
+_PLACEHOLDER = r"^\{\{([\s\S]*?)\}\}"
+
+
+def _pieces(text: Column) -> Column:
+    """A text cut ahead of every {{, so that each piece has one placeholder at most, at its start."""
+    return F.split(text, r"(?=\{\{)", -1)
+
+
+def _key_of(piece: Column) -> Column:
+    return F.regexp_replace(F.split(F.regexp_extract(piece, _PLACEHOLDER, 1), ":", 2)[0], r"^\s+|\s+$", "")
+
+
 def filled(text: Column, values: dict[str, str]) -> Column:
     """text with {{KEY}} or {{KEY: hint}} replaced where values has the key; other markers stay as they are."""
-    return replaced(text, [(rf"\{{\{{\s*{_quote(k)}\s*(?::[\s\S]*?)?\}}\}}", v) for k, v in values.items()], regex=True)
+    if not values:
+        return text
+    return filled_from(text, F.create_map(*[F.lit(x) for kv in values.items() for x in kv]))
 
 
 def filled_from(text: Column, values: Column) -> Column:
-    """The same with a map column of values, which may differ by row."""
-    pieces = F.split(text, r"(?=\{\{)", -1)
-    inner = lambda x: F.trim(F.regexp_extract(x, r"^\{\{([\s\S]*?)\}\}", 1))
-    key = lambda x: F.trim(F.split(inner(x), ":", 2)[0])
-    whole = F.transform(pieces, lambda x: F.when(x.rlike(r"^\{\{[\s\S]*?\}\}") & F.map_contains_key(values, key(x)), F.concat(F.element_at(values, key(x)), F.regexp_replace(x, r"^\{\{[\s\S]*?\}\}", ""))).otherwise(x))
-    return F.array_join(whole, "")
+    """The same with a map column of values, which may differ by row. One pass over the text, whatever the number
+    of keys; what is put in is not looked at again."""
+    fill = lambda x: F.when(x.rlike(_PLACEHOLDER) & F.map_contains_key(values, _key_of(x)), F.concat(F.element_at(values, _key_of(x)), F.regexp_replace(x, _PLACEHOLDER, ""))).otherwise(x)
+    return F.array_join(F.transform(_pieces(text), fill), "")
 
 
 def count_filled(text: Column, keys: list[str]) -> Column:
-    return sum((F.regexp_count(text, F.lit(rf"\{{\{{\s*{_quote(k)}\s*(?::[\s\S]*?)?\}}\}}")) for k in keys), F.lit(0))
-
-
-def _quote(x: str) -> str:
-    return "".join(c if c.isalnum() or c == "_" else f"\\x{{{ord(c):x}}}" for c in x)
+    """How many placeholders of a text have one of the keys."""
+    return F.size(F.filter(_pieces(text), lambda x: x.rlike(_PLACEHOLDER) & F.array_contains(F.array(*map(F.lit, keys)).cast("array<string>"), _key_of(x))))
 
 
 def replaced(text: Column, rules: list[tuple[str, str]], regex: bool = False) -> Column:
@@ -113,6 +123,19 @@ def across_runs(runs: list[str], find: str, to: str) -> tuple[list[str], int]:
         at, count = hit + len(find), count + 1
 
 
+def runs_replaced(runs: Column, find: str, to: str) -> Column:
+    """across_runs() of a column of arrays, in Arrow batches, as struct<runs, n>; rows without a hit are not looked at."""
+
+    @F.pandas_udf("runs array<string>, n int")
+    def replaced_in(v: pd.Series) -> pd.DataFrame:
+        found = [(None, 0) if x is None else across_runs([r or "" for r in x], find, to) for x in v]
+        return pd.DataFrame({"runs": [r for r, _ in found], "n": [n for _, n in found]})
+
+    hit = F.contains(F.array_join(runs, "", ""), F.lit(find))
+    got = replaced_in(F.when(hit, runs))
+    return F.struct(F.when(hit, got["runs"]).otherwise(runs).alias("runs"), F.when(hit, got["n"]).otherwise(0).alias("n"))
+
+
 def statistics(df: DataFrame, text: str) -> DataFrame:
     """Paragraphs that hold text, words and characters (code points) of all rows, in one pass."""
     t = F.coalesce(F.col(text), F.lit(""))

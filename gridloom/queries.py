@@ -556,3 +556,11 @@ def list_texts(spark, d):
     items = _t(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("ord"), F.lit("l").alias("list_id"), (F.col("event_id") % 3).cast("int").alias("level"))
     levels = spark.createDataFrame([("l", 0, 5, "decimal", "%1."), ("l", 1, 1, "decimalZero", "%1.%2"), ("l", 2, 3, "lowerLetter", "(%3) %2")], "list_id string, level int, start int, style string, pattern string")
     return sections.list_labels(items, levels).select("doc_id", "ord", "label")
+
+
+@query("""SELECT c_custkey, replace(c_name, 'er#0000', ' no. ') AS t, (length(c_name) - length(replace(c_name, 'er#0000', ''))) // 7 AS n FROM customer""")
+def replace_across_runs(spark, d):
+    """Names as runs of three letters, in which what is looked for lies in several runs."""
+    runs = F.regexp_extract_all("c_name", F.lit("(?s).{1,3}"), F.lit(0))
+    out = _t(spark, d, "customer").select("c_custkey", text.runs_replaced(runs, "er#0000", " no. ").alias("x"))
+    return out.select("c_custkey", F.array_join("x.runs", "").alias("t"), F.col("x.n").cast("long").alias("n"))

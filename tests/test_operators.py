@@ -159,6 +159,13 @@ def test_texts_on_columns(spark):
         text.replaced(F.col("m"), [("(?=x)", "")], regex=True)
 
 
+def test_placeholders_and_runs_of_columns(spark):
+    df = spark.createDataFrame([("{{A}}{{ B :x\ny}}{{C}} {{A", ["ab{{", "X", None, "}} c{{X}}"]), (None, None), ("", ["x"])], "t string, r array<string>")
+    got = df.select(text.filled(F.col("t"), {"A": "{{B}}", "B": "$2"}).alias("t"), text.count_filled(F.col("t"), ["A", "B"]).alias("n"), text.runs_replaced(F.col("r"), "{{X}}", "1").alias("r")).collect()
+    assert (got[0].t, got[0].n, got[0].r.runs, got[0].r.n) == ("{{B}}$2{{C}} {{A", 2, ["ab1", "", "", " c1"], 2)
+    assert got[1].t is None and got[1].r.runs is None and (got[2].t, got[2].r.runs, got[2].r.n) == ("", ["x"], 0)
+
+
 def test_approximate_match_is_the_scan(spark):
     rng = random.Random(1)
     for _ in range(3):
