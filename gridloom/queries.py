@@ -564,3 +564,52 @@ def replace_across_runs(spark, d):
     runs = F.regexp_extract_all("c_name", F.lit("(?s).{1,3}"), F.lit(0))
     out = _t(spark, d, "customer").select("c_custkey", text.runs_replaced(runs, "er#0000", " no. ").alias("x"))
     return out.select("c_custkey", F.array_join("x.runs", "").alias("t"), F.col("x.n").cast("long").alias("n"))
+
+
+# files
+
+
+def _folder(spark) -> str:
+    """A new folder that executors share; it goes when the driver ends."""
+    import atexit
+    import contextlib
+    import uuid
+
+    def gone(path):
+        with contextlib.suppress(Exception):  # the session may be gone
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{shared.rstrip('/')}/gridloom-files-{uuid.uuid4().hex}"
+    atexit.register(gone, path)
+    return path
+
+
+@query("""SELECT 'region-' || n_regionkey || '.xlsx' AS workbook_id, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS INT) AS row, unnest([1, 2, 3])::INT AS col, unnest(['n', 's', 'n']) AS k, unnest([n_nationkey, NULL, n_nationkey * 2])::DOUBLE AS n, unnest([NULL, n_name, NULL]) AS s,
+  unnest([NULL, NULL, 'A' || row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) || '*2']) AS formula FROM nation""")
+def workbook_files(spark, d):
+    """A workbook for each region, written and read again."""
+    from gridloom.sources import xlsx
+
+    place = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey"))
+    rows = _t(spark, d, "nation").select("n_regionkey", F.col("n_nationkey").cast("double").alias("a"), "n_name", place.cast("int").alias("row"))
+    null = F.lit(None)
+    cell = lambda col, k, n, s, formula: F.struct(F.lit(col).alias("col"), F.lit(k).alias("k"), n.cast("double").alias("n"), s.cast("string").alias("s"), formula.cast("string").alias("formula"))
+    one = rows.withColumn("c", F.explode(F.array(cell(1, "n", F.col("a"), null, null), cell(2, "s", null, F.col("n_name"), null), cell(3, "n", F.col("a") * 2, null, F.concat(F.lit("A"), F.col("row").cast("string"), F.lit("*2"))))))
+    cells = one.select(F.concat(F.lit("region-"), F.col("n_regionkey").cast("string"), F.lit(".xlsx")).alias("workbook_id"), F.lit(1).alias("sheet"), "row", "c.col", "c.k", "c.n", "c.s", null.cast("boolean").alias("b"), null.cast("string").alias("e"), "c.formula")
+    path = _folder(spark)
+    xlsx.save(xlsx.files(cells, {1: "Nations"}), path)
+    return xlsx.read(spark, path).select("workbook_id", "row", "col", "k", "n", "s", "formula")
+
+
+@query("""SELECT conv_id || '.docx' AS doc_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS ord, CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 ELSE 0 END AS level, role || ' ' || turn AS text FROM conversations""")
+def document_files(spark, d):
+    """A document for each conversation, its turns' roles as paragraphs and headings, written and read again."""
+    from gridloom.sources import docx, xlsx
+
+    level = F.when(F.col("role") == "system", 1).when(F.col("role") == "user", 2).otherwise(0)
+    turns = _t(spark, d, "conversations").select(F.concat(F.col("conv_id").cast("string"), F.lit(".docx")).alias("doc_id"), F.col("turn").cast("int").alias("ord"), level.alias("level"), F.concat_ws(" ", "role", F.col("turn").cast("string")).alias("text"))
+    path = _folder(spark)
+    xlsx.save(docx.files(turns), path)
+    return docx.read(spark, path).select("doc_id", "ord", "level", "text")
