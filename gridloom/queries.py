@@ -506,7 +506,7 @@ def move_areas(spark, d):
     return moves.moved_areas(rows, 1, moves.LineMove.delete(3, 3)).select("n_name", "r1", "r2")
 
 
-@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, strftime(o_orderdate, '%d/%m/%y') AS short, printf('%.2E', o_totalprice) AS sci, printf('%.1f', floor(round(o_totalprice * 100) / 10 + 0.5) / 10) AS one, CASE WHEN o_orderkey % 2 = 0 THEN '(' || CAST(o_orderkey AS VARCHAR) || ')' ELSE CAST(o_orderkey AS VARCHAR) END AS signed_ FROM orders""")
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, strftime(o_orderdate, '%d/%m/%y') AS short, printf('%.2E', o_totalprice) AS sci, printf('%.1f', floor(round(o_totalprice * 100) / 10 + 0.5) / 10) AS one, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey > 0 THEN '(' || CAST(o_orderkey AS VARCHAR) || ')' ELSE CAST(o_orderkey AS VARCHAR) END AS signed_ FROM orders""")
 def formats_orders(spark, d):
     from gridloom.functions.numfmt import format_column
 
